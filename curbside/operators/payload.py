@@ -67,7 +67,7 @@ def normalize_home(homes: DataFrame, payload_baths: bool = False) -> DataFrame:
             "_baths": fn.number_text(text("baths")),
             "_street": text("streetLine", ""),
             "_city": text("city", F.col("dim_city")),
-            "_state": text("state", F.col("dim_state")),
+            "_state": text("state", F.upper("dim_state")),
             "_type": fn.payload_type(f("propertyType")),
             "_mls": text("mlsId", ""),
             "_status": text("mlsStatus", ""),
