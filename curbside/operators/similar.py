@@ -28,35 +28,56 @@ from curbside.functions.similarity import char_mask, with_similarity
 from curbside.operators.dedup import first_per
 from curbside.session import cut_lineage
 
-GROUP_LEADERS = 256
+GROUP_LEADERS = 1024
 PAD = "\x01"
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.select("ordinal", F.coalesce("title", F.lit("")).alias("t"), F.col("raw_price").alias("p"))
-
-
 def _distinct_titles(df: DataFrame) -> DataFrame:
-    """First ordinal of each title and price."""
-    return _keyed(df).groupBy("t", "p").agg(F.min("ordinal").alias("ordinal"))
+    """First ordinal of each title and price, with length and character set."""
+    title = F.coalesce("title", F.lit("")).alias("t")
+    firsts = df.groupBy(title, F.col("raw_price").alias("p")).agg(F.min("ordinal").alias("ordinal"))
+    return firsts.select(
+        "ordinal", "t", "p", F.length("t").alias("n"), F.expr(char_mask("t")).alias("mask")
+    )
 
 
-def _groups(reps: DataFrame, cutoff: int, leaders: int) -> DataFrame:
-    """(key, ordinal, role, n, mask) of every row in a group that can hold a
-    pair. ``role`` is true where the row offers the key as a chunk of its own;
-    a pair needs that on one side."""
+def _facts(reps: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame | None]:
+    """Titles that share their price: those of prices with few titles, and
+    those of prices with many, if any."""
     counts = (
         reps.groupBy(F.col("p").alias("price")).agg(F.count("*").alias("rows")).where("rows > 1")
     )
-    facts = reps.join(counts, F.col("p").eqNullSafe(F.col("price"))).select(
-        "ordinal", "t", "p", "rows", F.length("t").alias("n"), F.expr(char_mask("t")).alias("mask")
+    facts = reps.join(counts, F.col("p").eqNullSafe(F.col("price")))
+    few = facts.where(F.col("rows") <= leaders)
+    if counts.where(F.col("rows") > leaders).isEmpty():
+        return few, None
+    return few, facts.where(F.col("rows") > leaders)
+
+
+def _near(cutoff: int):
+    """Cheap bounds on (a, b), a before b: by length and by character set."""
+    room, total = F.lit(100 - cutoff), F.col("a.n") + F.col("b.n")
+    return (
+        (F.col("a.ordinal") < F.col("b.ordinal"))
+        & (F.abs(F.col("a.n") - F.col("b.n")) * 100 < room * total)
+        & (F.bit_count(F.col("a.mask").bitwiseXOR(F.col("b.mask"))) * 100 < room * total)
     )
-    whole = facts.where(F.col("rows") <= leaders).select(
-        F.xxhash64(F.lit("price"), "p").alias("key"), "ordinal", F.lit(True).alias("role"), "n", "mask"
+
+
+def _price_pairs(heads: DataFrame, rows: DataFrame, cutoff: int) -> DataFrame:
+    """Similar pairs inside prices with few titles."""
+    near = F.col("a.p").eqNullSafe(F.col("b.p")) & _near(cutoff)
+    pairs = heads.alias("a").join(rows.alias("b"), near).select(
+        F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"),
+        F.col("a.t").alias("ta"), F.col("b.t").alias("tb"),
     )
-    if counts.where(F.col("rows") > leaders).isEmpty():
-        return whole
-    many = facts.where(F.col("rows") > leaders)
+    return with_similarity(pairs, "ta", "tb", cutoff).select("a", "b")
+
+
+def _fragment_groups(many: DataFrame, cutoff: int) -> DataFrame:
+    """(key, ordinal, role, n, mask) of every row in a fragment group that can
+    hold a pair. ``role`` is true where the row offers the key as a chunk of
+    its own; a pair needs that on one side."""
     room = 100 - cutoff
     width = min(3, cutoff // (2 * room))
     # Fragments of each title with their places; one per character, padded.
@@ -77,29 +98,25 @@ def _groups(reps: DataFrame, cutoff: int, leaders: int) -> DataFrame:
     )
     needed = F.ceil(F.lit(2 * room) * F.col("n") / F.lit(cutoff))
     ranked = F.expr("row_number() over (partition by ordinal order by found, key)")
-    own = chunks.withColumn("at", ranked).where(F.col("at") <= needed).where("found > 1").select("ordinal", "key")
+    own = (
+        chunks.withColumn("at", ranked).where(F.col("at") <= needed).where("found > 1")
+        .select("ordinal", "key")
+    )
     offered = own.select("key").distinct()
-    fragments = (
+    return (
         spread.join(offered, "key", "left_semi")
         .join(own.withColumn("own", F.lit(True)), ["ordinal", "key"], "left")
         .select("key", "ordinal", F.coalesce("own", F.lit(False)).alias("role"), "n", "mask")
     )
-    return whole.unionByName(fragments)
-
-
-def _pairs(groups: DataFrame, heads: DataFrame, reps: DataFrame, cutoff: int) -> DataFrame:
-    """(a, b) with a before b, same price and similar titles, for a in heads."""
-    a, b = heads.alias("a"), groups.alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    room = F.lit(100 - cutoff)
-    near = (
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.ordinal") < F.col("b.ordinal"))
-        & (F.col("a.role") | F.col("b.role"))
-        & (F.abs(F.col("a.n") - F.col("b.n")) * 100 < room * total)
-        & (F.bit_count(F.col("a.mask").bitwiseXOR(F.col("b.mask"))) * 100 < room * total)
+
+
+def _fragment_pairs(heads: DataFrame, rows: DataFrame, reps: DataFrame, cutoff: int) -> DataFrame:
+    """Similar pairs of one price that share a fragment, with a in heads."""
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") | F.col("b.role")) & _near(cutoff)
+    found = (
+        heads.alias("a").join(rows.alias("b"), near)
+        .select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b")).distinct()
     )
-    found = a.join(b, near).select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b")).distinct()
     left = reps.select(F.col("ordinal").alias("a"), F.col("t").alias("ta"), F.col("p").alias("pa"))
     right = reps.select(F.col("ordinal").alias("b"), F.col("t").alias("tb"), F.col("p").alias("pb"))
     texts = found.join(left, "a").join(right, "b").where(F.col("pa").eqNullSafe(F.col("pb")))
@@ -107,53 +124,60 @@ def _pairs(groups: DataFrame, heads: DataFrame, reps: DataFrame, cutoff: int) ->
 
 
 def _settle(pairs: DataFrame, waiting: DataFrame | None):
-    """Greedy outcome over the pairs: rows dropped, and pairs left undecided
-    because they hang on a waiting row."""
-    dropped = []
+    """Greedy outcome over the pairs: the rows that go, and the pairs left
+    undecided because they hang on a waiting row."""
+    gone, pairs = [], cut_lineage(pairs)
     while True:
-        free = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")), "a", "left_anti")
+        # A row without an earlier rival stays, and its later rivals go.
+        blocked = pairs.select(F.col("b").alias("a")).distinct()
         if waiting is not None:
-            free = free.join(waiting.select(F.col("ordinal").alias("a")), "a", "left_anti")
-        gone = cut_lineage(pairs.join(free, "a", "left_semi").select("b").distinct())
-        if gone.isEmpty():
-            return dropped, pairs
-        dropped.append(gone.select(F.col("b").alias("ordinal")))
-        pairs = cut_lineage(
-            pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
-        )
-        if pairs.isEmpty():
-            return dropped, pairs
+            blocked = blocked.unionByName(waiting.select(F.col("ordinal").alias("a"))).distinct()
+        blocked = blocked.withColumn("blocked", F.lit(True))
+        judged = cut_lineage(pairs.join(blocked, "a", "left"))
+        out = judged.where("blocked is null").select(F.col("b").alias("ordinal")).distinct()
+        if out.isEmpty():
+            return gone, judged.select("a", "b")
+        gone.append(out)
+        rest = judged.where("blocked").select("a", "b")
+        rest = rest.join(out.select(F.col("ordinal").alias("b")), "b", "left_anti")
+        pairs = rest.join(out.select(F.col("ordinal").alias("a")), "a", "left_anti")
 
 
-def _dropped(reps: DataFrame, cutoff: int, leaders: int) -> DataFrame | None:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _gone(reps: DataFrame, few: DataFrame, groups: DataFrame | None, cutoff: int, leaders: int):
     """Ordinals that an earlier kept row makes redundant."""
-    groups = cut_lineage(_groups(reps, cutoff, leaders))
-    dropped = []
-    while True:
+    gone, _ = _settle(_price_pairs(few, few, cutoff), None)
+    while groups is not None:
         sizes = groups.groupBy("key").agg(F.count("*").alias("rows"), F.bool_or("role").alias("any"))
-        live = sizes.where("rows > 1 and any").select("key", "rows")
-        crowded = not sizes.where((F.col("rows") > leaders) & F.col("any")).isEmpty()
-        waiting = None
-        heads = groups
-        if crowded:
-            groups = groups.join(live.select("key"), "key", "left_semi")
-            heads = cut_lineage(first_per(groups, ["key"], ["ordinal"], leaders))
-            waiting = cut_lineage(
-                groups.join(heads.select("key", "ordinal"), ["key", "ordinal"], "left_anti")
-                .select("ordinal").distinct()
-            )
-        pairs = cut_lineage(_pairs(groups, heads, reps, cutoff))
-        gone, open_pairs = _settle(pairs, waiting)
-        dropped += gone
-        if not crowded:
+        live = sizes.where("rows > 1 and any").select("key")
+        groups = groups.join(live, "key", "left_semi")
+        heads = cut_lineage(first_per(groups, ["key"], ["ordinal"], leaders))
+        waiting = cut_lineage(
+            groups.join(heads.select("key", "ordinal"), ["key", "ordinal"], "left_anti")
+            .select("ordinal").distinct()
+        )
+        out, undecided = _settle(_fragment_pairs(heads, groups, reps, cutoff), waiting)
+        gone += out
+        if waiting.isEmpty():
             break
-        undecided = waiting.unionByName(open_pairs.select(F.col("b").alias("ordinal"))).distinct()
-        for part in gone:
-            undecided = undecided.join(part, "ordinal", "left_anti")
-        groups = cut_lineage(groups.join(undecided, "ordinal", "left_semi"))
+        unsure = waiting.unionByName(undecided.select(F.col("b").alias("ordinal"))).distinct()
+        for part in out:
+            unsure = unsure.join(part, "ordinal", "left_anti")
+        groups = cut_lineage(groups.join(unsure, "ordinal", "left_semi"))
         if groups.isEmpty():
             break
-    return reduce(DataFrame.unionByName, dropped) if dropped else None
+    return _union(gone) if gone else reps.select("ordinal").limit(0)
+
+
+def _prepare(df: DataFrame, cutoff: int, leaders: int):
+    if not 67 <= cutoff < 100:
+        raise ValueError("cutoff is from 67 to 99")
+    reps = cut_lineage(_distinct_titles(df))
+    few, many = _facts(reps, leaders)
+    return reps, few, None if many is None else cut_lineage(_fragment_groups(many, cutoff))
 
 
 def similar_pairs(
@@ -161,15 +185,16 @@ def similar_pairs(
 ) -> DataFrame:
     """Each row that goes as a near duplicate, ``b``, with the first kept row
     it resembles, ``a``. Equal titles at one price count as one row."""
-    reps = cut_lineage(_distinct_titles(df))
-    gone = _dropped(reps, cutoff, leaders)
-    groups = _groups(reps, cutoff, leaders)
-    if gone is None:
-        gone = reps.select("ordinal").limit(0)
-    gone = cut_lineage(gone)
-    heads = groups.join(gone, "ordinal", "left_anti")
-    rest = groups.join(gone, "ordinal", "left_semi")
-    return _pairs(rest, heads, reps, cutoff).groupBy("b").agg(F.min("a").alias("a"))
+    reps, few, groups = _prepare(df, cutoff, leaders)
+    gone = cut_lineage(_gone(reps, few, groups, cutoff, leaders))
+
+    def split(rows):
+        return rows.join(gone, "ordinal", "left_anti"), rows.join(gone, "ordinal", "left_semi")
+
+    pairs = [_price_pairs(*split(few), cutoff)]
+    if groups is not None:
+        pairs.append(_fragment_pairs(*split(groups), reps, cutoff))
+    return _union(pairs).groupBy("b").agg(F.min("a").alias("a"))
 
 
 def dedup_similar(
@@ -180,9 +205,9 @@ def dedup_similar(
     if mode == "exact":
         keyed = df.withColumn("_t", F.coalesce("title", F.lit("")))
         return first_per(keyed, ["_t", "raw_price"], ["ordinal"]).drop("_t")
-    if mode != "fuzzy" or not 67 <= cutoff < 100:
-        raise ValueError("mode is fuzzy or exact; cutoff is from 67 to 99")
-    reps = cut_lineage(_distinct_titles(df))
-    gone = _dropped(reps, cutoff, leaders)
-    kept = reps.select("ordinal") if gone is None else reps.join(gone, "ordinal", "left_anti").select("ordinal")
+    if mode != "fuzzy":
+        raise ValueError("mode is fuzzy or exact")
+    reps, few, groups = _prepare(df, cutoff, leaders)
+    gone = _gone(reps, few, groups, cutoff, leaders)
+    kept = reps.join(gone, "ordinal", "left_anti").select("ordinal")
     return df.join(kept, "ordinal", "left_semi")
