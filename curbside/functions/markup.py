@@ -25,6 +25,9 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDS = {"ul", "ol", "dl", "table", "select", "html", "body", "div", "section", "article"}
 
 
+_EDGE = object()  # where a block element starts or ends
+
+
 @dataclass(frozen=True)
 class Field:
     """One value: the first match of the first selector that matches at all."""
@@ -63,16 +66,26 @@ class _Node:
         stack = self.items[::-1]
         while stack:
             item = stack.pop()
-            if isinstance(item, str):
+            if isinstance(item, str) or item is _EDGE:
                 yield item
+            elif lines and item.tag == "br":
+                yield "\n"
             elif item is not skip and item.tag not in ("script", "style"):
                 if lines and item.tag in BLOCK:
-                    yield "\n"
-                    stack.append("\n")
-                stack.extend(reversed(item.items))
+                    stack.append(_EDGE)
+                    stack.extend(reversed(item.items))
+                    stack.append(_EDGE)
+                else:
+                    stack.extend(reversed(item.items))
 
     def text(self, skip=None, lines=False):
-        return "".join(self.texts(skip, lines))
+        pieces = []
+        for piece in self.texts(skip, lines):
+            if piece is not _EDGE:
+                pieces.append(piece)
+            elif pieces and not pieces[-1].endswith("\n"):
+                pieces.append("\n")
+        return "".join(pieces)
 
 
 class _TreeReader(HTMLParser):
