@@ -235,4 +235,7 @@ def html_rows(html: Column, profile: Profile) -> Column:
             out.append({"rows": rows, "error": error})
         return pa.array(out, type=result_type)
 
-    return F.arrow_udf(read, f"struct<rows: array<struct<{row_ddl}>>, error: string>")(html)
+    # Marked as not deterministic: otherwise the optimizer derives a filter from
+    # the explode that follows and reads every page a second time for it.
+    reader = F.arrow_udf(read, f"struct<rows: array<struct<{row_ddl}>>, error: string>")
+    return reader.asNondeterministic()(html)

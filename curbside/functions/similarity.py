@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curbside.session import once
+
 
 def _common(a: str, b: str) -> int:
     """Length of a longest common subsequence, one machine word step per
@@ -45,12 +47,9 @@ def with_similarity(pairs: DataFrame, a: str, b: str, cutoff: int) -> DataFrame:
     total = F.length(a) + F.length(b)
     room = 100 - cutoff
     edits = F.expr(f"levenshtein({a}, {b}, cast({room} * (length({a}) + length({b})) div 100 as int))")
-    # Made by a generator: evaluated once, and not moved into the join below,
-    # where it would come before the join's cheaper conditions.
-    bounded = (
-        pairs.withColumn("_t", total).select("*", F.explode(F.array(edits)).alias("_e"))
-        .where(F.expr(f"_e >= 0 and 100 * _e < {room} * _t"))
-    )
+    # Evaluated once, and not moved into the join below, where it would come
+    # before the join's cheaper conditions.
+    bounded = once(pairs, _t=total, _e=edits).where(F.expr(f"_e >= 0 and 100 * _e < {room} * _t"))
     unsure = F.expr(f"200 * _e >= {room} * _t")
     counted = bounded.withColumn(
         "_lcs", lcs_length(F.when(unsure, F.col(a)), F.when(unsure, F.col(b)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
 from curbside.operators.dedup import first_per
+from curbside.session import cut_lineage
 
 
 def page_ordinal(location_idx="location_idx", keyword="keyword_idx", offset="offset", position="position"):
@@ -42,7 +43,8 @@ def truncate_short_pages(pages: DataFrame, size: int = fv.RESULTS_PER_PAGE) -> D
 
 def page_yield(rows: DataFrame) -> DataFrame:
     """Results and new results per page; a result is new where its url appears
-    for the first time in its location."""
+    for the first time in its location. The rows are used twice and stored."""
+    rows = cut_lineage(rows.select("location", "url", "keyword_idx", "offset", "ordinal"))
     first = rows.groupBy("location", "url").agg(F.min("ordinal").alias("_first"))
     marked = rows.join(first, ["location", "url"])
     return marked.groupBy("location", "keyword_idx", "offset").agg(

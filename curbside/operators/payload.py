@@ -7,13 +7,14 @@ from curbside import fixed_values as fv
 from curbside import schema
 from curbside.functions import payload as fn
 from curbside.functions import urls
+from curbside.session import once
 
 
 def payload_homes(payloads: DataFrame) -> DataFrame:
     """One row per home with its position ``pos`` in the payload's array.
     Unreadable bodies and null payloads have no homes."""
     parsed = F.from_json(fn.strip_json_prefix(F.col("body")), schema.PAYLOAD)
-    homes = payloads.withColumn("_homes", parsed["payload"]["homes"])
+    homes = once(payloads, _homes=parsed["payload"]["homes"])
     kept = [c for c in payloads.columns if c != "body"]
     return homes.select(*kept, F.posexplode("_homes").alias("pos", "home"))
 
@@ -24,12 +25,8 @@ def cap_payload(homes: DataFrame, n: int = fv.LISTINGS_PER_LOCATION) -> DataFram
 
 
 def _parsed(homes: DataFrame) -> DataFrame:
-    """Each home read once as a struct ``_p`` and once as a variant ``_v``. A
-    generator makes them, so that no later filter repeats the reading."""
-    both = F.struct(
-        F.from_json("home", schema.PAYLOAD_HOME).alias("_p"), F.try_parse_json("home").alias("_v")
-    )
-    read = homes.select("*", F.inline(F.array(both)))
+    """Each home read once as a struct ``_p`` and once as a variant ``_v``."""
+    read = once(homes, _p=F.from_json("home", schema.PAYLOAD_HOME), _v=F.try_parse_json("home"))
     tree, broken = F.col("_v"), F.lit(False)
     for name in schema.SUB_OBJECTS:
         broken = broken | fn.misshapen(F.col(f"_p.{name}"), tree, name)
@@ -61,22 +58,21 @@ def normalize_home(homes: DataFrame, payload_baths: bool = False) -> DataFrame:
         return F.when(fn.truthy(f(name)), fn.number_text(f(name)))
 
     # Each part once; the texts below use them several times.
-    parts = _parsed(homes).where("not _broken").withColumns(
-        {
-            "_beds": fn.number_text(text("beds")),
-            "_baths": fn.number_text(text("baths")),
-            "_street": text("streetLine", ""),
-            "_city": text("city", F.col("dim_city")),
-            "_state": text("state", F.upper("dim_state")),
-            "_type": fn.payload_type(f("propertyType")),
-            "_mls": text("mlsId", ""),
-            "_status": text("mlsStatus", ""),
-            "_size": nonzero("sqFt"),
-            "_year": nonzero("yearBuilt"),
-            "_lot": nonzero("lotSize"),
-            "_fee": nonzero("hoa"),
-            "_days": nonzero("dom"),
-        }
+    parts = once(
+        _parsed(homes).where("not _broken"),
+        _beds=fn.number_text(text("beds")),
+        _baths=fn.number_text(text("baths")),
+        _street=text("streetLine", ""),
+        _city=text("city", F.col("dim_city")),
+        _state=text("state", F.upper("dim_state")),
+        _type=fn.payload_type(f("propertyType")),
+        _mls=text("mlsId", ""),
+        _status=text("mlsStatus", ""),
+        _size=nonzero("sqFt"),
+        _year=nonzero("yearBuilt"),
+        _lot=nonzero("lotSize"),
+        _fee=nonzero("hoa"),
+        _days=nonzero("dom"),
     )
     lit, col = F.lit, F.col
 

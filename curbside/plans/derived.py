@@ -7,6 +7,8 @@ is an expression over the rows of a table, and the work grows with it.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbside.session import spread
+
 AS_OF = "2024-06-01T00:00:00"
 
 
@@ -55,7 +57,7 @@ def search_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Search pages with at most 120 rows each, in new-style and old-style
     markup, some rows without a link target, links partly relative."""
     href = "case when p_partkey % 3 = 0 then concat('/d/', p_partkey) else concat('https://x.example/d/', p_partkey) end"
-    listed = table(spark, folder, "part").selectExpr(
+    listed = spread(table(spark, folder, "part")).selectExpr(
         *[f"{e} as `{n}`" for n, e in PLACE_COLUMNS.items()],
         f"{NO_LINK} as no_link", f"{OLD_STYLE} as old_style", f"{href} as href",
         "concat(p_name, ' &amp; ', p_brand) as title",
@@ -84,7 +86,7 @@ def search_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A detail page for every listing but one in nine, under its full url."""
-    return table(spark, folder, "part").where("p_partkey % 9 <> 0").selectExpr(
+    return spread(table(spark, folder, "part")).where("p_partkey % 9 <> 0").selectExpr(
         "p_partkey as page_id", "'detail' as kind",
         "case when p_partkey % 3 = 0 then concat(case when p_partkey % 2 = 0 then 'https://milwaukee.craigslist.org' "
         "else 'https://columbus.craigslist.org' end, '/d/', p_partkey) else concat('https://x.example/d/', p_partkey) end as url",
@@ -108,7 +110,7 @@ def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """One payload text per forty order keys and city, so that no text grows
     with the table."""
-    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customer = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
     home = joined.selectExpr(
         "o_orderkey",
@@ -144,7 +146,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
 def sightings(spark: SparkSession, folder: str) -> DataFrame:
     """Posts seen in snapshots: a conversation is a feed, its n-th turn shows in
     snapshot n and again in the next one."""
-    turns = table(spark, folder, "conversations").selectExpr(
+    turns = spread(table(spark, folder, "conversations")).selectExpr(
         "conv_id as feed", "cast(turn as int) as turn", "role as author", "text"
     )
     return turns.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(

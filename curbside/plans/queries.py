@@ -13,7 +13,7 @@ from curbside.functions import urls
 from curbside.functions.markup import Field, Profile
 from curbside.operators import clean, crawl, dedup, filters, html, metrics, payload, quota, similar
 from curbside.plans import derived, flows
-from curbside.session import shared_dir
+from curbside.session import shared_dir, spread
 from curbside.sources.locations import join_location as _join_location
 from curbside.sources.synthetic import synth_from
 from curbside.streaming import streams
@@ -133,7 +133,7 @@ def strip_json_prefix(spark, folder):
 
 @query
 def post_text_fallback(spark, folder):
-    docs = derived.table(spark, folder, "documents")
+    docs = spread(derived.table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", post_fn.text_fallback(F.col("text")).alias("text"))
 
 
@@ -287,13 +287,13 @@ ARTICLE = Profile(
 
 @query
 def extract_nav_links(spark, folder):
-    pages = derived.table(spark, folder, "pages").select("page_id", "html")
+    pages = spread(derived.table(spark, folder, "pages").select("page_id", "html"))
     return html.extract_search_rows(pages, NAV).select("page_id", "position", "url", "title")
 
 
 @query
 def extract_headings(spark, folder):
-    pages = derived.table(spark, folder, "pages").select("page_id", "html")
+    pages = spread(derived.table(spark, folder, "pages").select("page_id", "html"))
     return html.extract_html(pages, ARTICLE).select("page_id", "title", "ad")
 
 
@@ -505,7 +505,7 @@ def sample_exact(spark, folder):
 
 @query
 def synth_listings(spark, folder):
-    indexes = derived.table(spark, folder, "part").selectExpr("p_partkey as idx")
+    indexes = spread(derived.table(spark, folder, "part").selectExpr("p_partkey as idx"))
     return synth_from(indexes, derived.AS_OF)
 
 

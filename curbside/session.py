@@ -3,6 +3,7 @@
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +52,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A small scan with fewer splits than there are cores, dealt out to all of
+    them for the costly steps that follow. A large scan is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Add columns that are evaluated once per row. They come from a generator,
+    which the optimizer neither inlines nor repeats in later filters."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))

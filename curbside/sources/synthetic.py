@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
 from curbside.functions import urls
+from curbside.session import once
 from curbside.sources.locations import location_dim
 
 
@@ -54,33 +55,29 @@ def synth_from(
     keyed = indexes.select(F.col("idx").cast("bigint")).crossJoin(
         F.broadcast(location_dim(indexes.sparkSession))
     )
-    keyed = keyed.withColumn("_key", F.md5(F.concat_ws("-", "location_key", F.col("idx"))))
+    keyed = once(keyed, _key=F.md5(F.concat_ws("-", "location_key", F.col("idx"))))
     roll, reached, kind = draw("type") % 100, 0, None
     for name, weight, *_ in fv.SYNTH_TYPES:
         reached += weight
         kind = F.when(roll < reached, name) if kind is None else kind.when(roll < reached, name)
-    typed = keyed.withColumn("property_type", kind).withColumns(
-        {
-            "_low": F.greatest(_by_type(2), F.lit(min_price)).cast("bigint"),
-            "_high": F.least(_by_type(3), F.lit(max_price)).cast("bigint"),
-            "_beds": between("bedrooms", _by_type(4), _by_type(5)),
-            "_baths": choice("bathrooms", _literals(fv.SYNTH_BATHROOMS)),
-            "_hood": choice("neighborhood", F.col("neighborhoods")),
-        }
+    typed = once(keyed, property_type=kind)
+    ranged = once(
+        typed,
+        _low=F.greatest(_by_type(2), F.lit(min_price)).cast("bigint"),
+        _high=F.least(_by_type(3), F.lit(max_price)).cast("bigint"),
+        _beds=between("bedrooms", _by_type(4), _by_type(5)),
+        _baths=choice("bathrooms", _literals(fv.SYNTH_BATHROOMS)),
+        _hood=choice("neighborhood", F.col("neighborhoods")),
     ).where("_low <= _high")
     base = F.coalesce(*[F.when(F.col("_beds") == b, F.lit(s)) for b, s in fv.SYNTH_BASE_SQFT.items()])
-    sized = typed.withColumns(
-        {
-            "_price": (F.bround(between("price", F.col("_low"), F.col("_high")) / 1000) * 1000).cast("bigint"),
-            "_sqft": base + between("sqft", *fv.SYNTH_SQFT_SPREAD),
-        }
+    sized = once(
+        ranged,
+        _price=(F.bround(between("price", F.col("_low"), F.col("_high")) / 1000) * 1000).cast("bigint"),
+        _sqft=base + between("sqft", *fv.SYNTH_SQFT_SPREAD),
+        _template=(draw("title") % len(fv.SYNTH_TITLES)).cast("int"),
     )
-    titled = sized.withColumn(
-        "title",
-        F.element_at(
-            F.array(*[_title(t) for t in fv.SYNTH_TITLES]),
-            (draw("title") % len(fv.SYNTH_TITLES) + 1).cast("int"),
-        ),
+    title = F.coalesce(
+        *[F.when(F.col("_template") == i, _title(t)) for i, t in enumerate(fv.SYNTH_TITLES)]
     )
     shuffled = F.transform(
         F.array_sort(
@@ -94,9 +91,8 @@ def synth_from(
         ),
         lambda s: s["name"],
     )
-    picked = titled.withColumn(
-        "_features", F.slice(shuffled, 1, between("features", *fv.SYNTH_FEATURE_COUNT).cast("int"))
-    )
+    count = between("features", *fv.SYNTH_FEATURE_COUNT).cast("int")
+    picked = once(sized, title=title, _features=F.slice(shuffled, 1, count))
     lit, col = F.lit, F.col
     dollars = F.concat(lit("$"), F.format_number("_price", 0))
     baths_text = F.regexp_replace(col("_baths").cast("string"), r"\.0$", "")
