@@ -1,6 +1,6 @@
 """Counts along the way."""
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
@@ -26,24 +26,38 @@ class Funnel:
         return {stage: seen.get["rows"] for stage, seen in self._stages.items()}
 
 
+def running_total(
+    df: DataFrame, group: str, step: str, value: str, out: str, width: int = 4096
+) -> DataFrame:
+    """Running sum of ``value`` over the whole-number ``step`` of each group.
+
+    In two levels: a total per block of ``width`` steps, summed up over the
+    blocks, and the sum inside a block. A long group is spread over many tasks;
+    the first level has one row per block.
+    """
+    block = F.floor(F.col(step) / width)
+    blocks = df.groupBy(group, block.alias("_block")).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        group, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(group, "_block").orderBy(step)
+    placed = df.withColumn("_block", block).join(offsets, [group, "_block"])
+    return placed.withColumn(out, F.col("_before") + F.sum(value).over(inside)).select(*df.columns, out)
+
+
 def snapshot_yield(posts: DataFrame, feed: str = "feed") -> DataFrame:
     """New and cumulative posts per snapshot of each feed. ``posts`` has every
     sighting with ``snapshot_no`` and ``id``.
 
-    The running total goes over one row per snapshot; the posts themselves are
-    only aggregated.
+    Two aggregations: a post counts in the snapshot of its first sighting, and
+    every snapshot counts, with new posts or without.
     """
     first = posts.groupBy(feed, "id").agg(F.min("snapshot_no").alias("snapshot_no"))
-    fresh = first.groupBy(feed, "snapshot_no").agg(F.count("*").alias("new_posts"))
-    seen = posts.select(feed, "snapshot_no").distinct()
-    counted = seen.join(fresh, [feed, "snapshot_no"], "left").select(
-        feed, "snapshot_no", F.coalesce("new_posts", F.lit(0).cast("bigint")).alias("new_posts")
-    )
-    running = F.expr(
-        f"sum(new_posts) over (partition by {feed} order by snapshot_no "
-        "rows between unbounded preceding and current row)"
-    )
-    return counted.withColumn("total_posts", running)
+    fresh = first.select(feed, "snapshot_no", F.lit(1).alias("new"))
+    seen = posts.select(feed, "snapshot_no", F.lit(0).alias("new"))
+    counted = fresh.unionByName(seen).groupBy(feed, "snapshot_no").agg(F.sum("new").alias("new_posts"))
+    return running_total(counted, feed, "snapshot_no", "new_posts", "total_posts")
 
 
 def truncate_stale(posts: DataFrame, k: int = fv.STALE_SNAPSHOTS, feed: str = "feed") -> DataFrame:

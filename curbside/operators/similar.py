@@ -28,7 +28,7 @@ from curbside.functions.similarity import char_mask, with_similarity
 from curbside.operators.dedup import first_per
 from curbside.session import cut_lineage
 
-GROUP_LEADERS = 1024
+GROUP_LEADERS = 1000
 PAD = "\x01"
 
 
@@ -114,7 +114,7 @@ def _fragment_pairs(heads: DataFrame, rows: DataFrame, reps: DataFrame, cutoff:
     """Similar pairs of one price that share a fragment, with a in heads."""
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") | F.col("b.role")) & _near(cutoff)
     found = (
-        heads.alias("a").join(rows.alias("b"), near)
+        rows.alias("b").join(heads.alias("a"), near)  # heads are few per key
         .select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b")).distinct()
     )
     left = reps.select(F.col("ordinal").alias("a"), F.col("t").alias("ta"), F.col("p").alias("pa"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curbside import fixed_values as fv
 from curbside.functions import urls
 from curbside.session import once
-from curbside.sources.locations import location_dim
+from curbside.sources.locations import join_location
 
 
 def draw(name: str) -> Column:
@@ -52,8 +52,9 @@ def synth_from(
 ) -> DataFrame:
     """A listing for each ``idx`` and location. Types whose price range is
     empty after clamping give no row."""
-    keyed = indexes.select(F.col("idx").cast("bigint")).crossJoin(
-        F.broadcast(location_dim(indexes.sparkSession))
+    keys = _literals([location[0] for location in fv.LOCATIONS])
+    keyed = join_location(
+        indexes.select(F.col("idx").cast("bigint"), F.explode(keys).alias("location_key"))
     )
     keyed = once(keyed, _key=F.md5(F.concat_ws("-", "location_key", F.col("idx"))))
     roll, reached, kind = draw("type") % 100, 0, None

@@ -173,6 +173,13 @@ def test_stale_and_yield(spark):
     assert metrics.post_totals(first).first()[0] == 6
 
 
+def test_running_total_in_blocks(spark):
+    rows = [(g, n, n % 3) for g in "ab" for n in range(1, 50) if n % 7]
+    df = spark.createDataFrame(rows, "g string, n int, v int").repartition(3)
+    got = {(r["g"], r["n"]): r["t"] for r in metrics.running_total(df, "g", "n", "v", "t", 5).collect()}
+    assert got == {(g, n): sum(v for h, m, v in rows if h == g and m <= n) for g, n, _ in rows}
+
+
 def test_posts_job(spark):
     card = '<div role="article"><h3><a>{0}</a></h3><div class="xdj266r">{1}</div></div>'
 
