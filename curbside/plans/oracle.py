@@ -214,10 +214,10 @@ qualify row_number() over (partition by feed, id order by snapshot_no, position)
 
 
 def unescape(e):
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
-                         ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
         e = f"replace({e}, '{entity}', '{char}')"
-    return e
+    # A text cut short may end in an entity without its semicolon.
+    return f"regexp_replace({e}, '&amp;?', '&', 'g')"
 
 
 NAV_LINK = '<li><a href="([^"]*)">([^<]*)</a></li>'
@@ -525,3 +525,28 @@ select distinct location, {unescape(f"regexp_extract(li, '{NAV_LINK}', 1)")} as
  coalesce(nullif({unescape(f"regexp_extract(li, '{NAV_LINK}', 2)")}, ''), 'No Title') as title, 'redfin' as source from items"""
 ORACLE["stream_posts"] = """
 select distinct role || '_' || sha256(substring(text, 1, 100)) as id, role as author, text from conversations"""
+
+# --- what was written and read back -----------------------------------------
+ORACLE["csv_round_trip"] = f"""
+with {RAW}, {LISTINGS} select title, cast(price as varchar) as price, address, cast(bedrooms as varchar) as bedrooms,
+ cast(bathrooms as varchar) as bathrooms, cast(sqft as varchar) as sqft, url, source, location, property_type
+from listings where {VALID} and url <> ''"""
+ORACLE["json_round_trip"] = f"with {RAW}, {LISTINGS} select * exclude (ordinal) from listings where {VALID}"
+ORACLE["export_round_trip"] = f"""
+with {RAW}, {LISTINGS}, valid as (select * from listings where {VALID}),
+counts as (select location, count(*) as rows, sum(price) as total from valid group by location)
+select location, rows, total, form from counts, (values ('parquet'), ('csv'), ('json')) v(form)"""
+ORACLE["posts_round_trip"] = f"""
+with {POSTS} select id, author, text, timestamp, likes, comments_count, 0::bigint as shares, url,
+ '2024-06-01T00:00:00' as scraped_at from posts where likes is not null"""
+ORACLE["posts_metadata"] = f"""
+with {POSTS} select '2024-06-01T00:00:00' as scraped_at, count(*) as total_posts, 'facebook_feed' as source
+from posts where likes is not null"""
+ORACLE["ledger_metadata"] = f"""
+with {LEDGER} select '2024-01-01T00:00:00' as session_start, count(*) filter (success) as total_actions,
+ 10::bigint as daily_limit from ledger"""
+ORACLE["pages_round_trip"] = f"""
+with {PLACED} select location_key as location, kind, source, count(*) as pages from (
+ select distinct location_key, keyword_idx, "offset", case when keyword_idx = 0 then 'landing' else 'search' end as kind,
+  'redfin' as source from placed union all
+ select location_key, 0, p_partkey, 'detail', 'redfin' from placed where p_partkey % 9 <> 0) group by all"""

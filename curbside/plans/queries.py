@@ -1,11 +1,13 @@
 """Every query by name: (spark, folder of tables) -> DataFrame."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
+from curbside import schema
 from curbside.functions import payload as payload_fn
 from curbside.functions import posts as post_fn
 from curbside.functions import text as text_fn
@@ -14,6 +16,8 @@ from curbside.functions.markup import Field, Profile
 from curbside.operators import clean, crawl, dedup, filters, html, metrics, payload, quota, similar
 from curbside.plans import derived, flows
 from curbside.session import shared_dir, spread
+from curbside.sinks import files
+from curbside.sources import stored
 from curbside.sources.locations import join_location as _join_location
 from curbside.sources.synthetic import synth_from
 from curbside.streaming import streams
@@ -533,17 +537,95 @@ def posts_from_snapshots(spark, folder):
     )
 
 
-# --- streams ----------------------------------------------------------------
+# --- written and read back ---------------------------------------------------
 
 
 def _run_dir(spark):
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+def _valid(spark, folder):
+    return clean.as_listing_schema(clean.validate(listings(spark, folder)))
+
+
+@query
+def csv_round_trip(spark, folder):
+    """Every cell as the text in the file."""
+    names = ["title", "price", "address", "bedrooms", "bathrooms", "sqft", "url", "source", "location", "property_type"]
+    path = f"{_run_dir(spark)}/listings.csv"
+    files.write_csv(_valid(spark, folder).where("url <> ''").select(*names), path)
+    return spark.read.csv(path, header=True, schema=", ".join(f"{n} string" for n in names), escape='"')
+
+
+@query
+def json_round_trip(spark, folder):
+    path = f"{_run_dir(spark)}/listings.json"
+    files.write_json(_valid(spark, folder), path)
+    return spark.read.schema(schema.LISTING).json(path)
+
+
+@query
+def export_round_trip(spark, folder):
+    run = _run_dir(spark)
+    files.export_all(_valid(spark, folder), run)
+    read = {
+        "parquet": spark.read.parquet(f"{run}/listings.parquet"),
+        "csv": spark.read.csv(f"{run}/listings.csv", header=True, schema=schema.LISTING, escape='"'),
+        "json": spark.read.schema(schema.LISTING).json(f"{run}/listings.json"),
+    }
+    counts = [
+        df.groupBy("location").agg(F.count("*").alias("rows"), F.sum("price").alias("total")).withColumn("form", F.lit(form))
+        for form, df in read.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _written_posts(spark, folder):
+    found = html.extract_posts(derived.snapshots(spark, folder), derived.AS_OF)
+    run = _run_dir(spark)
+    files.write_posts(found.select(*schema.POST.fieldNames()), run, fv.POSTS_SOURCE, derived.AS_OF)
+    return run
+
+
+@query
+def posts_round_trip(spark, folder):
+    return stored.read_posts(spark, _written_posts(spark, folder) + "/posts", as_lines=True)
+
+
+@query
+def posts_metadata(spark, folder):
+    return spark.read.schema("scraped_at string, total_posts long, source string").json(
+        _written_posts(spark, folder) + "/metadata"
+    )
+
+
+@query
+def ledger_metadata(spark, folder):
+    actions = quota.quota_ledger(derived.attempts(spark, folder), 10).selectExpr(
+        "'comment' as action", "string(event_id) as text", "string(ts) as timestamp", "action_number", "success",
+        "string(null) as error",
+    )
+    run = _run_dir(spark)
+    files.write_action_ledger(actions, run, "2024-01-01T00:00:00", 10)
+    return spark.read.schema("session_start string, total_actions long, daily_limit long").json(f"{run}/metadata")
+
+
+@query
+def pages_round_trip(spark, folder):
+    run = _run_dir(spark)
+    derived.stored_pages(spark, folder).drop("source").write.parquet(f"{run}/pages")
+    return stored.read_pages(spark, f"{run}/pages").groupBy("location", "kind", "source").agg(
+        F.count("*").alias("pages")
+    )
+
+
+# --- streams ----------------------------------------------------------------
 
 
 @query
 def stream_listings(spark, folder):
-    schema = derived.table(spark, folder, "pages").schema
-    pages = streams.file_stream(spark, folder, schema, "pages.parquet").selectExpr(
+    columns = derived.table(spark, folder, "pages").schema
+    pages = streams.file_stream(spark, folder, columns, "pages.parquet").selectExpr(
         "regexp_extract(url, '^https?://([^/]*)', 1) as location", "timestamp'2024-01-01 00:00:00' as fetched_at", "html"
     )
     run = _run_dir(spark)
@@ -553,8 +635,8 @@ def stream_listings(spark, folder):
 
 @query
 def stream_posts(spark, folder):
-    schema = derived.table(spark, folder, "conversations").schema
-    turns = streams.file_stream(spark, folder, schema, "conversations.parquet").selectExpr(
+    columns = derived.table(spark, folder, "conversations").schema
+    turns = streams.file_stream(spark, folder, columns, "conversations.parquet").selectExpr(
         "role as author", "text", "cast(0 as bigint) as likes", "timestamp'2024-01-01 00:00:00' as seen_at",
         "explode(array(0, 1)) as again",
     )
@@ -566,8 +648,8 @@ def stream_posts(spark, folder):
 
 @query
 def stream_quota(spark, folder):
-    schema = derived.table(spark, folder, "events").schema
-    events = streams.file_stream(spark, folder, schema, "events.parquet").selectExpr(
+    columns = derived.table(spark, folder, "events").schema
+    events = streams.file_stream(spark, folder, columns, "events.parquet").selectExpr(
         "user_id as session", "ts", "event_id", "event_type <> 'error' as success"
     )
     run = _run_dir(spark)

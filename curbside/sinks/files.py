@@ -5,6 +5,7 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curbside import schema
 from curbside.operators.clean import as_listing_schema
 
 log = logging.getLogger("curbside.sinks")
@@ -54,40 +55,47 @@ def export_all(listings: DataFrame, folder: str, formats: str = "both") -> None:
         write_json(stored, f"{folder}/listings.json")
 
 
-def _write_envelope(rows: DataFrame, facts: dict, count_name: str, count_col: Column, list_name: str,
-                    order_by, path: str, single_document: bool, sort_keys: list[str]) -> None:
-    names = list(facts)
-    metadata = rows.agg(count_col.alias(count_name)).withColumns(facts)
+def _write_with_metadata(
+    rows: DataFrame, name: str, metadata: dict[str, Column], path: str, order_by: list[str],
+    columns: list[str], single_document: bool,
+) -> None:
+    """Rows as JSON Lines next to a one-row table of metadata; or, for few
+    rows, both in one document. Metadata are aggregates or literals."""
+    facts = rows.agg(*[c.alias(k) for k, c in metadata.items()])
     if not single_document:
-        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{list_name}")
-        metadata.select(*sort_keys).write.mode("overwrite").json(f"{path}/metadata")
+        rows.select(*columns).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        facts.write.mode("overwrite").json(f"{path}/metadata")
         return
     if rows.limit(DOCUMENT_LIMIT + 1).count() > DOCUMENT_LIMIT:
         raise ValueError(f"more than {DOCUMENT_LIMIT} rows: write JSON Lines instead")
-    order = [F.col(c) for c in order_by]
-    data = [c for c in rows.columns if c not in order_by or c in ("timestamp",)]
-    listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), F.struct(*data).alias("row"))))
-    document = rows.agg(
-        count_col.alias(count_name), F.transform(listed, lambda e: e["row"]).alias(list_name)
-    ).withColumns(facts)
-    shaped = document.select(F.struct(*sort_keys).alias("metadata"), list_name)
-    assert set(names) < set(sort_keys)
-    shaped.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    entry = F.struct(F.struct(*order_by).alias("at"), F.struct(*columns).alias("row"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["row"])
+    document = rows.agg(*[c.alias(k) for k, c in metadata.items()], listed.alias(name)).select(
+        F.struct(*metadata).alias("metadata"), name
+    )
+    document.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_posts(posts: DataFrame, path: str, source: str, as_of: str, order_by=("ordinal",),
                 single_document: bool = False) -> None:
-    """Posts with a metadata row, also when there are none. ``single_document``
-    writes the small form, one JSON document with both."""
-    facts = {"scraped_at": F.lit(as_of), "source": F.lit(source)}
-    _write_envelope(posts, facts, "total_posts", F.count("*"), "posts", list(order_by), path,
-                    single_document, ["scraped_at", "total_posts", "source"])
+    """Posts with their metadata, also when there are none. ``order_by`` sets
+    the order in a single document."""
+    metadata = {
+        "scraped_at": F.lit(as_of),
+        "total_posts": F.count("*"),
+        "source": F.lit(source),
+    }
+    _write_with_metadata(posts, "posts", metadata, path, list(order_by), schema.POST.fieldNames(), single_document)
 
 
 def write_action_ledger(actions: DataFrame, path: str, session_start: str, daily_limit: int,
                         order_by=("timestamp",), single_document: bool = False) -> None:
-    """Actions with a metadata row; the total counts the successful ones."""
-    facts = {"session_start": F.lit(session_start), "daily_limit": F.lit(daily_limit)}
-    _write_envelope(actions, facts, "total_actions", F.count_if(F.col("success")), "actions",
-                    list(order_by), path, single_document,
-                    ["session_start", "total_actions", "daily_limit"])
+    """Actions with their metadata; the total counts the successful ones."""
+    metadata = {
+        "session_start": F.lit(session_start),
+        "total_actions": F.count_if(F.col("success")),
+        "daily_limit": F.lit(daily_limit),
+    }
+    _write_with_metadata(
+        actions, "actions", metadata, path, list(order_by), schema.ACTION.fieldNames(), single_document
+    )
