@@ -29,6 +29,7 @@ from curbside.operators.dedup import first_per
 from curbside.session import cut_lineage
 
 GROUP_LEADERS = 1000
+ROWS_PER_TASK = 50_000
 PAD = "\x01"
 
 
@@ -110,11 +111,26 @@ def _fragment_groups(many: DataFrame, cutoff: int) -> DataFrame:
     )
 
 
+def _live(groups: DataFrame) -> DataFrame:
+    """Groups that can hold a pair, with the number of ``parts`` that a large
+    one is split into."""
+    groups = groups.select("key", "ordinal", "role", "n", "mask")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("rows"), F.bool_or("role").alias("any"))
+    parts = F.ceil(F.col("rows") / ROWS_PER_TASK).cast("int").alias("parts")
+    return groups.join(sizes.where("rows > 1 and any").select("key", parts), "key")
+
+
 def _fragment_pairs(heads: DataFrame, rows: DataFrame, reps: DataFrame, cutoff: int) -> DataFrame:
-    """Similar pairs of one price that share a fragment, with a in heads."""
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.role") | F.col("b.role")) & _near(cutoff)
+    """Similar pairs of one price that share a fragment, with a in heads. The
+    rows of a large group go to several tasks, each with a copy of its heads."""
+    rows = rows.withColumn("part", F.expr("pmod(hash(ordinal), parts)"))
+    heads = heads.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    near = (
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part"))
+        & (F.col("a.role") | F.col("b.role")) & _near(cutoff)
+    )
     found = (
-        rows.alias("b").join(heads.alias("a"), near)  # heads are few per key
+        rows.alias("b").join(heads.alias("a"), near)
         .select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b")).distinct()
     )
     left = reps.select(F.col("ordinal").alias("a"), F.col("t").alias("ta"), F.col("p").alias("pa"))
@@ -151,9 +167,7 @@ def _gone(reps: DataFrame, few: DataFrame, groups: DataFrame | None, cutoff: int
     """Ordinals that an earlier kept row makes redundant."""
     gone, _ = _settle(_price_pairs(few, few, cutoff), None)
     while groups is not None:
-        sizes = groups.groupBy("key").agg(F.count("*").alias("rows"), F.bool_or("role").alias("any"))
-        live = sizes.where("rows > 1 and any").select("key")
-        groups = groups.join(live, "key", "left_semi")
+        groups = _live(groups)
         heads = cut_lineage(first_per(groups, ["key"], ["ordinal"], leaders))
         waiting = cut_lineage(
             groups.join(heads.select("key", "ordinal"), ["key", "ordinal"], "left_anti")
@@ -161,6 +175,8 @@ def _gone(reps: DataFrame, few: DataFrame, groups: DataFrame | None, cutoff: int
         )
         out, undecided = _settle(_fragment_pairs(heads, groups, reps, cutoff), waiting)
         gone += out
+        if len(gone) > 16:
+            gone = [cut_lineage(_union(gone))]
         if waiting.isEmpty():
             break
         unsure = waiting.unionByName(undecided.select(F.col("b").alias("ordinal"))).distinct()
@@ -193,7 +209,7 @@ def similar_pairs(
 
     pairs = [_price_pairs(*split(few), cutoff)]
     if groups is not None:
-        pairs.append(_fragment_pairs(*split(groups), reps, cutoff))
+        pairs.append(_fragment_pairs(*split(_live(groups)), reps, cutoff))
     return _union(pairs).groupBy("b").agg(F.min("a").alias("a"))
 
 

@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # Limits per key up to this size are applied before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -54,11 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A small scan with fewer splits than there are cores, dealt out to all of
-    them for the costly steps that follow. A large scan is left as it is."""
+def spread(scan: DataFrame, bytes_per_task: int = 16 * 1024) -> DataFrame:
+    """A small scan with fewer splits than there are cores, dealt out to more
+    of them for the costly steps that follow. A large scan is left as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    tasks = min(cores, size // bytes_per_task)
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
 
 
 def once(df: DataFrame, **columns) -> DataFrame:

@@ -86,10 +86,11 @@ def test_other_cutoffs(spark, cutoff):
     assert {r["ordinal"] for r in got.collect()} == greedy(rows, cutoff)[0]
 
 
-def test_one_large_price_of_copies_and_of_strangers(spark):
+def test_one_large_price_of_copies_and_of_strangers(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, f"Charming 3 Bed House on Main Street, unit number {i}", None) for i in range(200)]
     rows += [(1000 + i, "".join(rng.choice("abcdefghij") for _ in range(30)), None) for i in range(60)]
+    monkeypatch.setattr(similar, "ROWS_PER_TASK", 40)  # split large groups
     got = similar.dedup_similar(frame(spark, rows), leaders=16)
     assert {r["ordinal"] for r in got.collect()} == greedy(rows)[0]
 
