@@ -59,7 +59,7 @@ def spread(scan: DataFrame, bytes_per_task: int = 16 * 1024) -> DataFrame:
     """A small scan with fewer splits than there are cores, dealt out to more
     of them for the costly steps that follow. A large scan is left as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     tasks = min(cores, size // bytes_per_task)
     return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
 
