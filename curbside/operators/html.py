@@ -55,26 +55,34 @@ POSTS = Profile(
 )
 
 
-def extract_html(pages: DataFrame, profile: Profile, html_col: str = "html") -> DataFrame:
-    """One row per record of each page with its ``position``; the page's other
-    columns stay. Only the HTML itself travels to Python."""
+def parse_pages(pages: DataFrame, profile: Profile, html_col: str = "html") -> DataFrame:
+    """The pages with ``_page``, what the profile finds in each. Only the HTML
+    itself travels to Python. Store this to take rows and rejects from it."""
     kept = [F.col(c) for c in pages.columns if c != html_col]
-    read = pages.select(*kept, html_rows(F.col(html_col), profile).alias("_page"))
-    rows = read.select(*kept, F.posexplode("_page.rows").alias("position", "_row"))
-    clash = {f.name for f in profile.fields}
-    kept = [c for c in rows.columns if c not in clash | {"_row"}]
-    return rows.select(*kept, "_row.*")
-
-
-def html_rejects(pages: DataFrame, profile: Profile, html_col: str = "html") -> DataFrame:
-    """Pages that could not be read: key and reason."""
-    read = pages.select("page_id", html_rows(F.col(html_col), profile).alias("_page"))
-    return read.where("_page.error is not null").select(
-        F.lit("html").alias("stage"), F.col("page_id").cast("string").alias("key"),
+    return pages.select(*kept, html_rows(F.col(html_col), profile).alias("_page"))
+
+
+def page_rows(parsed: DataFrame) -> DataFrame:
+    """One row per record of each page with its ``position``; the page's other
+    columns stay, unless a field has the same name."""
+    fields = parsed.schema["_page"].dataType["rows"].dataType.elementType.fieldNames()
+    kept = [c for c in parsed.columns if c != "_page" and c not in fields]
+    rows = parsed.select(*kept, F.posexplode("_page.rows").alias("position", "_row"))
+    return rows.select(*kept, "position", "_row.*")
+
+
+def page_rejects(parsed: DataFrame, key: str = "page_id") -> DataFrame:
+    """Pages that could not be read: stage, key, reason."""
+    return parsed.where("_page.error is not null").select(
+        F.lit("html").alias("stage"), F.col(key).cast("string").alias("key"),
         F.col("_page.error").alias("reason"),
     )
 
 
+def extract_html(pages: DataFrame, profile: Profile, html_col: str = "html") -> DataFrame:
+    return page_rows(parse_pages(pages, profile, html_col))
+
+
 def extract_search_rows(pages: DataFrame, profile: Profile = SEARCH) -> DataFrame:
     """Rows of search pages; a row without a link or target is skipped."""
     return extract_html(pages, profile).where("url is not null and url <> ''")

@@ -110,8 +110,11 @@ def test_selectors():
     assert first("p, span") == "Some Text" and first("a", "href") == "/posts/1" and first("a[id][class]", "id") == "i"
 
 
-def test_rejects(spark, monkeypatch):
-    assert html.html_rejects(pages(spark, [NEW, ""]), html.SEARCH).count() == 0
+def test_rejects(spark):
+    parsed = html.parse_pages(pages(spark, [NEW, "", None]), html.SEARCH)
+    assert html.page_rejects(parsed).count() == 0 and html.page_rows(parsed).count() == 4
+    broken = parsed.withColumn("_page", F.expr("named_struct('rows', _page.rows, 'error', if(page_id = 1, 'x', null))"))
+    assert [tuple(r) for r in html.page_rejects(broken).collect()] == [("html", "1", "x")]
 
 
 @pytest.mark.parametrize("parts", [1, 4])
