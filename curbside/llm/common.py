@@ -1,6 +1,7 @@
 """Small helpers that the operators of this subpackage share."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch handed to Python: long texts then cannot pile up.
 BATCH_BYTES = 8 << 20
@@ -19,3 +20,8 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 def texts(column):
     """An Arrow column as Python strings, null as the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]
+
+
+def struct_of(**fields) -> T.StructType:
+    """A struct type; as text, it could not be read before a session exists."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
