@@ -98,7 +98,7 @@ class WaveletMatrix:
 
     def _span(self, value: int, begin: int, end: int) -> tuple[int, int]:
         """Where the occurrences of ``value`` in a range stand at the end."""
-        if value < 0 or value >> len(self.planes):
+        if not self.size or value < 0 or value >> len(self.planes):
             return 0, 0
         for level in range(len(self.planes)):
             a, b = self._rank1(level, np.array([begin, end]))
