@@ -248,8 +248,8 @@ def keep_one_of_group(docs: DataFrame) -> DataFrame:
     without doc_id belong to no group and stay.
     """
     groups = simhash_groups(docs)
-    kept = cut_lineage(groups.where("doc_id = component_id").select("doc_id").distinct())
-    found = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = cut_lineage(groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct())
+    found = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     single = found.groupBy("doc_id").agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("row"))
     return single.select("row.*").unionByName(docs.where("doc_id is null"))
