@@ -19,7 +19,7 @@ HEADLINE = [
     "dedup_similar_exact", "dedup_similar_fuzzy", "cap_per_location", "extract_nav_links",
     "extract_search_rows", "extract_details", "join_details", "page_yield", "payload_normalize",
     "post_text_fallback", "extract_posts", "snapshot_yield", "truncate_stale", "quota_ledger",
-    "synth_listings", "listings_from_pages", "listings_from_payloads", "posts_from_snapshots",
+    "listings_from_pages", "listings_from_payloads", "posts_from_snapshots",
     "stream_listings", "stream_posts", "stream_quota",
 ]
 

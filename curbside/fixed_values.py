@@ -91,7 +91,6 @@ MIN_PRICE_DEFAULT = 50_000
 MAX_PRICE_DEFAULT = 250_000
 RESULTS_PER_PAGE = 120
 LISTINGS_PER_LOCATION = 100
-PAYLOAD_MAX_HOMES = 350
 PROPERTY_TYPE_CODES = [1, 2, 3, 4, 5, 6]
 POSTS_PER_SESSION = 20
 STALE_SNAPSHOTS = 5

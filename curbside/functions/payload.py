@@ -26,21 +26,41 @@ def grouped(raw: Column) -> Column:
     return F.concat(whole, decimals)
 
 
-def truthy(raw: Column) -> Column:
-    return F.coalesce(raw.try_cast("double") != 0, F.coalesce(raw, F.lit("")) != "")
+def kind_of(tree: Column, path: str) -> Column:
+    """Type of a part of a home given as a variant: STRING, BIGINT, ARRAY<...>;
+    null where the part is missing."""
+    return F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
 
 
-def money(raw: Column) -> Column:
+def is_number(kind: Column) -> Column:
+    return F.coalesce(F.regexp_like(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")), F.lit(False))
+
+
+def truthy(raw: Column, kind: Column) -> Column:
+    """Whether a part says anything: no zero, no false, no empty text, list or
+    object. The text "0" does; ``kind`` tells it from the number."""
+    text = F.coalesce(raw, F.lit(""))
+    empty = (
+        F.when(is_number(kind), F.coalesce(raw.try_cast("double") == 0, F.lit(False)))
+        .when(F.startswith(kind, F.lit("BOOLEAN")), text == "false")
+        .when(F.regexp_like(kind, F.lit("^(ARRAY|OBJECT)")), F.translate(text, " ", "").isin("[]", "{}"))
+        .otherwise(text == "")
+    )
+    return raw.isNotNull() & kind.isNotNull() & (kind != "VOID") & ~empty
+
+
+def money(raw: Column, kind: Column) -> Column:
     """``$`` and the grouped number; null for zero and for nothing."""
-    return F.when(truthy(raw), F.concat(F.lit("$"), grouped(raw)))
+    return F.when(truthy(raw, kind), F.concat(F.lit("$"), grouped(raw)))
 
 
-def payload_type(raw: Column) -> Column:
-    code = raw.try_cast("double")
+def payload_type(raw: Column, kind: Column) -> Column:
+    """Name of a type code, which is a number; other values as spelled."""
+    code = F.when(is_number(kind), raw.try_cast("double"))
     name = F.coalesce(
         *[F.when(code == k, F.lit(v)) for k, v in fv.PAYLOAD_TYPE_NAMES.items()]
     )
-    return F.coalesce(name, F.when(truthy(raw), number_text(raw)))
+    return F.coalesce(name, F.when(truthy(raw, kind), number_text(raw)))
 
 
 def payload_url(path: Column) -> Column:
@@ -66,9 +86,8 @@ def misshapen(value: Column, tree: Column, name: str) -> Column:
     return F.try_variant_get(tree, f"$.{name}", "variant").isNotNull() & value.isNull()
 
 
-def not_a_number(tree: Column, name: str) -> Column:
-    """The part's value is there, not null, and no number."""
-    kind = F.schema_of_variant(F.try_variant_get(tree, f"$.{name}.value", "variant"))
-    return F.coalesce(
-        ~F.regexp_like(kind, F.lit("BIGINT|DECIMAL|DOUBLE|FLOAT|VOID|BOOLEAN")), F.lit(False)
-    )
+def not_a_number(value: Column, tree: Column, name: str) -> Column:
+    """The part's value says something and is no number, so that it cannot be
+    written with separators. An empty text, list or object is just missing."""
+    kind = kind_of(tree, f"$.{name}.value")
+    return F.coalesce(truthy(value, kind) & ~is_number(kind) & (kind != "BOOLEAN"), F.lit(False))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbside.session import once
+from curbside.session import once, ship_package
 
 
 def _common(a: str, b: str) -> int:
@@ -44,6 +44,7 @@ def with_similarity(pairs: DataFrame, a: str, b: str, cutoff: int) -> DataFrame:
     The edit distance E with substitutions bounds D: E <= D <= 2E. That settles
     most pairs natively; only those in between go to the exact count.
     """
+    ship_package(pairs.sparkSession)
     total = F.length(a) + F.length(b)
     room = 100 - cutoff
     edits = F.expr(f"levenshtein({a}, {b}, cast({room} * (length({a}) + length({b})) div 100 as int))")

@@ -7,7 +7,7 @@ from curbside import fixed_values as fv
 
 _SPACE = r"[\s\x1c-\x1f]"
 _NUMBER = r"\A[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
-_LONG_MAX = 2**63 - 1
+LONG_MAX = 2**63 - 1
 
 
 def strip(c: Column) -> Column:
@@ -23,7 +23,7 @@ def capture(c: Column, pattern: str) -> Column:
 def digits_to_long(c: Column) -> Column:
     """Digits as a long; more than a long can hold becomes the largest long,
     so that a later range test still sees a huge value rather than null."""
-    return F.when(c.isNotNull(), F.coalesce(c.try_cast("bigint"), F.lit(_LONG_MAX)))
+    return F.when(c.isNotNull(), F.coalesce(c.try_cast("bigint"), F.lit(LONG_MAX)))
 
 
 def clean_price(c: Column) -> Column:

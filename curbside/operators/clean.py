@@ -49,7 +49,9 @@ _VALID = (
 
 
 def validate(listings: DataFrame) -> DataFrame:
-    return listings.where(_VALID)
+    """Valid rows. A size beyond every long passes, as sizes have no upper
+    bound, but its stand-in does not: it becomes null."""
+    return listings.where(_VALID).withColumn("sqft", F.nullif("sqft", F.lit(text_fn.LONG_MAX)))
 
 
 def validate_strict(listings: DataFrame) -> DataFrame:

@@ -43,4 +43,4 @@ def first_seen(df: DataFrame, key: str, order: str = "ordinal") -> DataFrame:
 
 def not_yet_published(df: DataFrame, published: DataFrame, key: str = "url") -> DataFrame:
     """Rows whose key the published table does not have."""
-    return df.join(published.select(key).distinct(), key, "left_anti")
+    return df.join(published.select(key), key, "left_anti")

@@ -8,6 +8,7 @@ from curbside.functions import posts as post_fn
 from curbside.functions import text as text_fn
 from curbside.functions import urls
 from curbside.functions.markup import Field, Profile, html_rows
+from curbside.session import ship_package
 
 SEARCH = Profile(
     rows=tuple(fv.SEARCH_ROW_SELECTORS),
@@ -58,6 +59,7 @@ POSTS = Profile(
 def parse_pages(pages: DataFrame, profile: Profile, html_col: str = "html") -> DataFrame:
     """The pages with ``_page``, what the profile finds in each. Only the HTML
     itself travels to Python. Store this to take rows and rejects from it."""
+    ship_package(pages.sparkSession)
     kept = [F.col(c) for c in pages.columns if c != html_col]
     return pages.select(*kept, html_rows(F.col(html_col), profile).alias("_page"))
 
@@ -95,7 +97,12 @@ def extract_search_rows_simple(pages: DataFrame) -> DataFrame:
 
 def extract_details(pages: DataFrame, profile: Profile = DETAIL) -> DataFrame:
     """One record per detail page."""
-    found = extract_html(pages, profile).drop("position")
+    return detail_records(extract_html(pages, profile))
+
+
+def detail_records(rows: DataFrame) -> DataFrame:
+    """The housing texts as one, the description without line breaks."""
+    found = rows.drop("position")
     housing = F.when(
         F.size("housing") > 0, F.concat(F.lit(" "), F.array_join("housing", " "))
     ).otherwise(F.lit(""))

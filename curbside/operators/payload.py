@@ -19,9 +19,10 @@ def payload_homes(payloads: DataFrame) -> DataFrame:
     return homes.select(*kept, F.posexplode("_homes").alias("pos", "home"))
 
 
-def cap_payload(homes: DataFrame, n: int = fv.LISTINGS_PER_LOCATION) -> DataFrame:
-    """First ``n`` homes of each payload, counted before any is found unusable."""
-    return homes.where(F.col("pos") < min(n, fv.PAYLOAD_MAX_HOMES))
+def cap_payload(homes: DataFrame, n: int | None = fv.LISTINGS_PER_LOCATION) -> DataFrame:
+    """First ``n`` homes of each payload, counted before any is found unusable;
+    all of them for None."""
+    return homes if n is None else homes.where(F.col("pos") < n)
 
 
 def _parsed(homes: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def _parsed(homes: DataFrame) -> DataFrame:
     for name in schema.SUB_OBJECTS:
         broken = broken | fn.misshapen(F.col(f"_p.{name}"), tree, name)
     for name in ("price", "sqFt", "lotSize"):
-        broken = broken | fn.not_a_number(tree, name)
+        broken = broken | fn.not_a_number(F.col(f"_p.{name}.value"), tree, name)
     return read.withColumn("_broken", broken)
 
 
@@ -54,8 +55,12 @@ def normalize_home(homes: DataFrame, payload_baths: bool = False) -> DataFrame:
         path = f"$.{name}.value" if name in schema.SUB_OBJECTS else f"$.{name}"
         return fn.spelled(f(name), F.col("_v"), path, default)
 
+    def kind(name):
+        path = f"$.{name}.value" if name in schema.SUB_OBJECTS else f"$.{name}"
+        return fn.kind_of(F.col("_v"), path)
+
     def nonzero(name):
-        return F.when(fn.truthy(f(name)), fn.number_text(f(name)))
+        return F.when(fn.truthy(f(name), kind(name)), fn.number_text(f(name)))
 
     # Each part once; the texts below use them several times.
     parts = once(
@@ -65,7 +70,7 @@ def normalize_home(homes: DataFrame, payload_baths: bool = False) -> DataFrame:
         _street=text("streetLine", ""),
         _city=text("city", F.col("dim_city")),
         _state=text("state", F.upper("dim_state")),
-        _type=fn.payload_type(f("propertyType")),
+        _type=fn.payload_type(f("propertyType"), kind("propertyType")),
         _mls=text("mlsId", ""),
         _status=text("mlsStatus", ""),
         _size=nonzero("sqFt"),
@@ -101,7 +106,7 @@ def normalize_home(homes: DataFrame, payload_baths: bool = False) -> DataFrame:
             part("_beds", "?"), lit("BR/"), part("_baths", "?"), lit("BA "),
             part("_type", "Property"), lit(" in "), col("_city"),
         ).alias("title"),
-        fn.money(f("price")).alias("raw_price"),
+        fn.money(f("price"), kind("price")).alias("raw_price"),
         fn.payload_address(col("_street"), col("_city"), col("_state"), text("zip", "")).alias(
             "raw_address"
         ),
@@ -116,7 +121,7 @@ def normalize_home(homes: DataFrame, payload_baths: bool = False) -> DataFrame:
         lit(fv.DEFAULT_SOURCE).alias("source"),
         col("_type").alias("property_type"),
         F.nullif(col("_mls"), lit("None")).alias("mls_id"),
-        F.when(fn.truthy(f("listingId")), f("listingId")).alias("listing_id"),
+        F.when(fn.truthy(f("listingId"), kind("listingId")), f("listingId")).alias("listing_id"),
         f("yearBuilt").try_cast("bigint").alias("year_built"),
         f("lotSize").try_cast("double").alias("lot_size"),
         f("hoa").try_cast("double").alias("hoa"),

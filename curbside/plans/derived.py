@@ -4,11 +4,11 @@ The tables hold no listings, so the queries start from these views. Each row
 is an expression over the rows of a table, and the work grows with it.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbside.session import spread
-
 AS_OF = "2024-06-01T00:00:00"
 
 
@@ -51,14 +51,33 @@ PLACE_COLUMNS = {
 }
 NO_LINK = "p_partkey % 389 = 5"
 OLD_STYLE = "cast(floor(floor(p_partkey / 2) / 600) as int) % 2 = 1"
+# One listing in fifty shows again at the end of the next keyword's page.
+REPEATED = "p_partkey % 50 = 7"
+REPEAT_PLACE = {
+    **PLACE_COLUMNS,
+    "keyword_idx": "cast((floor(floor(p_partkey / 2) / 120) + 1) % 5 as int)",
+    "position": "cast(floor(p_partkey / 2) % 120 + 1000 as int)",
+}
+
+
+def _columns(columns):
+    return [f"{e} as `{n}`" for n, e in columns.items()]
+
+
+def placed(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``part`` where they stand among the search pages."""
+    part = table(spark, folder, "part")
+    return part.selectExpr("*", *_columns(PLACE_COLUMNS)).unionByName(
+        part.where(REPEATED).selectExpr("*", *_columns(REPEAT_PLACE))
+    )
 
 
 def search_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Search pages with at most 120 rows each, in new-style and old-style
     markup, some rows without a link target, links partly relative."""
     href = "case when p_partkey % 3 = 0 then concat('/d/', p_partkey) else concat('https://x.example/d/', p_partkey) end"
-    listed = spread(table(spark, folder, "part")).selectExpr(
-        *[f"{e} as `{n}`" for n, e in PLACE_COLUMNS.items()],
+    listed = placed(spark, folder).selectExpr(
+        *[f"`{n}`" for n in PLACE_COLUMNS],
         f"{NO_LINK} as no_link", f"{OLD_STYLE} as old_style", f"{href} as href",
         "concat(p_name, ' &amp; ', p_brand) as title",
         "case when p_partkey % 10 = 3 then '' else concat('$', p_size, ',000') end as price",
@@ -78,7 +97,8 @@ def search_pages(spark: SparkSession, folder: str) -> DataFrame:
         "xxhash64(location_key, keyword_idx, `offset`) as page_id",
         "case when keyword_idx = 0 then 'landing' else 'search' end as kind",
         "concat('https://x.example/search/', location_key) as url", "location_key as location",
-        "'redfin' as source", "keyword_idx", "`offset`", "timestamp'2024-01-01 00:00:00' as fetched_at",
+        "'redfin' as source", "keyword_idx", "`offset`",
+        "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, keyword_idx, 0, `offset`) as fetched_at",
         "concat('<html><body><script>var t=\"<li class=cl-search-result>\";</script><ul>', "
         "array_join(transform(items, i -> i.item), '\n'), '</ul></body></html>') as html",
     )
@@ -86,7 +106,7 @@ def search_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A detail page for every listing but one in nine, under its full url."""
-    return spread(table(spark, folder, "part")).where("p_partkey % 9 <> 0").selectExpr(
+    return table(spark, folder, "part").where("p_partkey % 9 <> 0").selectExpr(
         "p_partkey as page_id", "'detail' as kind",
         "case when p_partkey % 3 = 0 then concat(case when p_partkey % 2 = 0 then 'https://milwaukee.craigslist.org' "
         "else 'https://columbus.craigslist.org' end, '/d/', p_partkey) else concat('https://x.example/d/', p_partkey) end as url",
@@ -103,14 +123,40 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+BROKEN = "p_partkey % 36 = 0"
+
+
+def broken_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Detail pages, of listings that have no other, with markup that cannot
+    be read."""
+    return table(spark, folder, "part").where(BROKEN).selectExpr(
+        "p_partkey as page_id", "'detail' as kind",
+        "case when p_partkey % 2 = 0 then concat('https://milwaukee.craigslist.org/d/', p_partkey) "
+        "else concat('https://columbus.craigslist.org/d/', p_partkey) end as url",
+        "case when p_partkey % 2 = 0 then 'milwaukee' else 'columbus' end as location", "'redfin' as source",
+        "0 as keyword_idx", "0 as `offset`", "timestamp'2024-01-01 00:00:00' as fetched_at",
+        "'<html><![bad[x]]></html>' as html",
+    )
+
+
 def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return search_pages(spark, folder).unionByName(detail_pages(spark, folder))
+    parts = (search_pages(spark, folder), detail_pages(spark, folder), broken_pages(spark, folder))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stored_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored pages, and every search page again from the next day."""
+    pages = stored_pages(spark, folder)
+    again = pages.where("kind <> 'detail'").withColumns({
+        "page_id": F.col("page_id") + 1, "fetched_at": F.expr("fetched_at + interval 1 day"),
+    })
+    return pages.unionByName(again)
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """One payload text per forty order keys and city, so that no text grows
     with the table."""
-    orders, customer = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
     home = joined.selectExpr(
         "o_orderkey",
@@ -118,21 +164,25 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
         "floor(o_orderkey / 40) as batch",
         "concat('{', case when o_orderkey % 13 = 1 then '\"price\":null,' when o_orderkey % 13 = 2 then '' "
         "when o_orderkey % 13 = 3 then '\"price\":{\"value\":0},' "
+        "when o_orderkey % 13 = 4 then '\"price\":{\"value\":\"\"},' when o_orderkey % 13 = 5 then '\"price\":{\"value\":[]},' "
         "else concat('\"price\":{\"value\":', cast(floor(o_totalprice) as bigint), '},') end, "
-        "case when o_orderkey % 11 = 4 then '' else concat('\"sqFt\":{\"value\":', 500 + o_orderkey % 3000, '},') end, "
+        "case when o_orderkey % 11 = 4 then '' when o_orderkey % 11 = 5 then '\"sqFt\":{\"value\":\"\"},' "
+        "when o_orderkey % 11 = 6 then '\"sqFt\":{\"value\":{}},' else concat('\"sqFt\":{\"value\":', 500 + o_orderkey % 3000, '},') end, "
         "'\"streetLine\":{\"value\":\"', o_orderkey, ' Main St\"},', "
         "case when o_orderkey % 17 = 5 then '' when o_orderkey % 17 = 6 then '\"city\":null,' "
         "else concat('\"city\":\"', c_mktsegment, '\",') end, "
         "'\"zip\":\"', 43000 + c_nationkey, '\",', "
         "case when o_orderkey % 19 = 7 then '' else concat('\"url\":\"/home/', o_orderkey, '\",') end, "
-        "'\"listingId\":', o_orderkey % 5, ',\"mlsId\":{\"value\":\"M', o_custkey, '\"},', "
+        "'\"listingId\":', case when o_orderkey % 10 >= 5 then concat('\"', o_orderkey % 5, '\"') else string(o_orderkey % 5) end, "
+        "',\"mlsId\":{\"value\":\"M', o_custkey, '\"},', "
         "case when o_orderkey % 3 = 0 then concat('\"dom\":{\"value\":', o_orderkey % 90, '},') else '' end, "
         "case when o_orderkey % 4 = 0 then concat('\"lotSize\":{\"value\":', 1000 + o_orderkey, '},') else '' end, "
         "case when o_orderkey % 5 = 0 then concat('\"yearBuilt\":{\"value\":', 1900 + o_orderkey % 120, '},') else '' end, "
         "case when o_orderkey % 6 = 0 then concat('\"hoa\":{\"value\":', o_orderkey % 400, '},') else '' end, "
         "case when o_orderkey % 7 = 0 then '' when o_orderkey % 7 = 1 then '\"beds\":null,' "
         "when o_orderkey % 7 = 2 then '\"beds\":3.0,' else concat('\"beds\":', o_orderkey % 7, ',') end, "
-        "'\"baths\":1.5,\"propertyType\":', o_orderkey % 9, ',\"mlsStatus\":\"', o_orderstatus, '\"}') as home",
+        "'\"baths\":1.5,\"propertyType\":', case when o_orderkey % 18 >= 9 then concat('\"', o_orderkey % 9, '\"') "
+        "else string(o_orderkey % 9) end, ',\"mlsStatus\":\"', o_orderstatus, '\"}') as home",
     )
     texts = home.groupBy("location_key", "batch").agg(
         F.array_sort(F.collect_list(F.struct("o_orderkey", "home"))).alias("homes")
@@ -146,7 +196,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
 def sightings(spark: SparkSession, folder: str) -> DataFrame:
     """Posts seen in snapshots: a conversation is a feed, its n-th turn shows in
     snapshot n and again in the next one."""
-    turns = spread(table(spark, folder, "conversations")).selectExpr(
+    turns = table(spark, folder, "conversations").selectExpr(
         "conv_id as feed", "cast(turn as int) as turn", "role as author", "text"
     )
     return turns.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(
@@ -155,7 +205,8 @@ def sightings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """The sightings as stored pages of post cards."""
+    """The sightings as stored pages of post cards. One feed in seven ends its
+    pages with a card that has neither text nor author."""
     escaped = "replace(replace({}, '&', '&amp;'), '<', '&lt;')"
     cards = sightings(spark, folder).selectExpr(
         "feed", "snapshot_no", "position",
@@ -170,7 +221,9 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("position", "card"))).alias("cards")
     ).selectExpr(
         "feed", "snapshot_no",
-        "concat('<html><body>', array_join(transform(cards, c -> c.card), ''), '</body></html>') as html",
+        "concat('<html><body>', array_join(transform(cards, c -> c.card), ''), case when feed % 7 = 3 then "
+        "'<div role=\"article\" aria-posinset=\"99\"><h3><a href=\"/u\"></a></h3><div data-ad-preview=\"message\"></div>"
+        "<span aria-label=\"3 people reacted\"></span></div>' else '' end, '</body></html>') as html",
     )
 
 

@@ -5,7 +5,9 @@ views that give both sides the same derived input.
 """
 
 from curbside import fixed_values as fv
-from curbside.plans.derived import NO_LINK, OLD_STYLE, PLACE_COLUMNS, RAW_LISTING_COLUMNS
+from curbside.plans.derived import (
+    BROKEN, NO_LINK, OLD_STYLE, PLACE_COLUMNS, RAW_LISTING_COLUMNS, REPEAT_PLACE, REPEATED,
+)
 
 ORACLE = {}
 
@@ -214,7 +216,8 @@ qualify row_number() over (partition by feed, id order by snapshot_no, position)
 
 
 def unescape(e):
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "),
+                         ("&copy;", "©"), ("&middot;", "·")):
         e = f"replace({e}, '{entity}', '{char}')"
     # A text cut short may end in an entity without its semicolon.
     return f"regexp_replace({e}, '&amp;?', '&', 'g')"
@@ -228,10 +231,19 @@ select page_id, position, {unescape(f"regexp_extract(li, '{NAV_LINK}', 1)")} as
  {unescape(f"regexp_extract(li, '{NAV_LINK}', 2)")} as title from items"""
 ORACLE["extract_headings"] = f"""
 select page_id, case when html like '%<h1>%' then {strip(unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} end as title,
- case when html like '%<div class="ad">%' then {strip(unescape("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)"))} end as ad
+ case when html like '%<div class="ad">%' then {strip(unescape("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)"))} end as ad,
+ list_transform(regexp_extract_all(html, '<p>((?:</?b>|<br>|[^<])*)', 1), lambda p:
+  {strip(unescape("regexp_replace(p, '<[^>]*>', '', 'g')"))}) as paragraphs,
+ {strip(unescape("regexp_replace(regexp_extract(html, '(?s)</nav>(.*)', 1), '<!--.*?-->|<[^>]*>', '', 'g')"))} as description
 from pages"""
-PLACED = ("placed as (select *, " + ", ".join(f'{e} as "{n}"' for n, e in PLACE_COLUMNS.items())
-          + f", {NO_LINK} as no_link, {OLD_STYLE} as old_style from part)")
+
+
+def _placed(columns, condition):
+    place = ", ".join(f'{e} as "{n}"' for n, e in columns.items())
+    return f"select *, {place}, {NO_LINK} as no_link, {OLD_STYLE} as old_style from part where {condition}"
+
+
+PLACED = f"placed as ({_placed(PLACE_COLUMNS, 'true')} union all {_placed(REPEAT_PLACE, REPEATED)})"
 HREF = "case when p_partkey % 3 = 0 then concat('/d/', p_partkey) else concat('https://x.example/d/', p_partkey) end"
 ROW_PRICE = "case when p_partkey % 10 = 3 then null else concat('$', p_size, ',000') end"
 # The position among the rows of the page counts the rows without a link too.
@@ -257,8 +269,10 @@ select p_partkey as page_id, {BODY.format(nl="chr(10)")} as description, 'fee' a
 from part where p_partkey % 9 <> 0"""
 CITY = "case location_key when 'milwaukee' then 'milwaukee_wi' else 'columbus_oh' end"
 ORACLE["page_yield"] = f"""
-with {PLACED} select location_key as location, keyword_idx, "offset", count(*) as results, count(*) as new_results
-from placed where not no_link group by all"""
+with {PLACED}, linked as (select *, row_number() over (partition by location_key, p_partkey
+  order by keyword_idx, "offset", position) as sighting from placed where not no_link)
+select location_key as location, keyword_idx, "offset", count(*) as results, count(*) filter (sighting = 1) as new_results
+from linked group by all"""
 COUNTED = (f"{PLACED}, counted as (select location_key as location, keyword_idx, \"offset\", "
            "count(*) filter (not no_link) as results from placed group by all)")
 REACHED = ("reached as (select * from counted qualify keyword_idx = 0 or (coalesce(sum((results < 120)::int) over ("
@@ -278,7 +292,7 @@ select p_partkey, case p_partkey % 3 when 0 then 'https://milwaukee.craigslist.o
  case p_partkey % 3 when 0 then 'milwaukee_wi' else 'columbus_oh' end as location
 from part where p_partkey % 3 < 2"""
 ORACLE["union_locations"] = f"""
-with {RAW} select ordinal + case location when 'milwaukee_wi' then 0 else 281474976710656 end as ordinal, location, url
+with {RAW} select ordinal + case location when 'milwaukee_wi' then 0 else 72057594037927936 end as ordinal, location, url
 from raw_listings"""
 ORACLE["union_keywords"] = (
     f"with {RAW} select ordinal, location, url, cast(ordinal % 5 as int) as keyword_idx from raw_listings"
@@ -291,7 +305,8 @@ with {RAW}, {URL_UNIQUE}, {EXACT}, listings as ({listing('distinct_exact')})
 select 'raw' as stage, count(*) as rows from raw_listings union all
 select 'url_unique', count(*) from url_unique union all
 select 'similar_unique', count(*) from distinct_exact union all
-select 'valid', count(*) from listings where {VALID}"""
+select 'valid', count(*) from listings where {VALID} union all
+select 'rejected', count(*) from listings where not ({VALID})"""
 
 # --- payloads ---------------------------------------------------------------
 HOMES = """
@@ -304,13 +319,13 @@ homes as (
 USABLE = f"""
 {HOMES},
 facts as (
- select *, case when k % 13 in (2, 3) then null when floor(o_totalprice) = 0 then null
+ select *, case when k % 13 in (2, 3, 4, 5) then null when floor(o_totalprice) = 0 then null
      else cast(floor(o_totalprice) as bigint) end as price,
-  case when k % 11 = 4 then null else 500 + k % 3000 end as size,
+  case when k % 11 in (4, 5, 6) then null else 500 + k % 3000 end as size,
   case when k % 17 = 5 then case when k % 2 = 0 then 'Milwaukee' else 'Columbus' end
     when k % 17 = 6 then 'None' else c_mktsegment end as city,
-  case k % 9 when 1 then 'house' when 2 then 'condo' when 3 then 'townhouse' when 4 then 'multi-family'
-    when 5 then 'land' when 6 then 'other' when 7 then '7' when 8 then '8' end as kind,
+  case when k % 18 >= 9 then cast(k % 9 as varchar) else case k % 9 when 1 then 'house' when 2 then 'condo' when 3 then 'townhouse' when 4 then 'multi-family'
+    when 5 then 'land' when 6 then 'other' when 7 then '7' when 8 then '8' end end as kind,
   case k % 7 when 0 then null when 1 then 'None' when 2 then '3.0' else cast(k % 7 as varchar) end as beds
  from homes where k % 13 <> 1),
 lined as (
@@ -333,7 +348,7 @@ lined as (
 ORACLE["payload_normalize"] = f"""
 with {USABLE} select title, raw_price, raw_address, raw_housing_info, description, url, location, 'redfin' as source,
  kind as property_type, concat('M', o_custkey) as mls_id,
- case when k % 5 = 0 then null else cast(k % 5 as varchar) end as listing_id,
+ case when k % 10 = 0 then null else cast(k % 5 as varchar) end as listing_id,
  case when k % 5 = 0 then 1900 + k % 120 end as year_built,
  cast(case when k % 4 = 0 then 1000 + k end as double) as lot_size,
  cast(case when k % 6 = 0 then k % 400 end as double) as hoa,
@@ -346,14 +361,12 @@ ORACLE["payload_rejects"] = f"""
 with {HOMES} select 'payload' as stage, concat(k, ' Main St') as street, 'null or misshapen part' as reason
 from homes where k % 13 = 1"""
 ORACLE["listings_from_payloads"] = f"""
-with {USABLE},
-capped as (select * from lined where url <> '' and pos < 100),
-first_url as (select *, (location_key = 'columbus')::int as place from capped
-  qualify row_number() over (partition by url order by (location_key = 'columbus')::int, batch, pos) = 1),
-raw_listings as (select * from first_url
-  qualify row_number() over (partition by title, raw_price order by place, batch, pos) = 1),
+with recursive {USABLE},
+raw_listings as (select row_number() over (order by (location_key = 'columbus')::int, batch, pos) as ordinal, * from lined),
+{SIMILAR},
 listings as (select title, {PRICE} as price, raw_address as address, {", ".join(f"{e} as {n}" for n, e in HOUSING.items())},
-  url, description, cast(null as varchar) as posted_date, 'redfin' as source, location from raw_listings)
+  url, description, cast(null as varchar) as posted_date, 'redfin' as source, location
+  from distinct_exact where ordinal not in (select ordinal from gone))
 select * from listings where {VALID}"""
 
 # --- posts ------------------------------------------------------------------
@@ -384,8 +397,7 @@ gaps as (select feed, no, lead(no) over (partition by feed order by no) as next
 ends as (select feed, min(no) + 5 as last from gaps where next is null or next > no + 5 group by feed),
 fresh as (select k.* from kept k join ends e on k.feed = e.feed and k.snapshot_no <= e.last
   qualify row_number() over (partition by k.feed, id order by snapshot_no, position) = 1)
-select feed, snapshot_no, position, author, text, likes, comments_count from fresh
-qualify row_number() over (partition by feed order by snapshot_no, position) <= 3"""
+select feed, snapshot_no, position, author, text, likes, comments_count from fresh"""
 ORACLE["cap_posts"] = f"""
 with {SEEN} select feed, snapshot_no, position, md5(text) as id from seen order by feed, snapshot_no, position limit 20"""
 ORACLE["snapshot_yield"] = f"""
@@ -424,84 +436,17 @@ ORACLE["sample_exact"] = (
     "select event_id, user_id from events order by md5(concat(event_id, '-s1')), event_id limit 50"
 )
 
-# --- synthetic rows ---------------------------------------------------------
-
-
-def texts(values):
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def draw(name):
-    return f"concat('0x', substr(md5(key || '-{name}'), 1, 8))::bigint"
-
-
-def by_type(i):
-    return "case type " + " ".join(f"when '{t[0]}' then {t[i]}" for t in fv.SYNTH_TYPES) + " end"
-
-
-def pick(name, values):
-    return f"{values}[({draw(name)} % len({values}) + 1)::int]"
-
-
-def by_place(lists):
-    return "case place " + " ".join(f"when '{k}' then {texts(v)}" for k, v in lists.items()) + " end"
-
-
-def filled(template):
-    e = "'" + template + "'"
-    for mark, value in (("{bd}", "beds"), ("{ba}", "trunc(baths)::int"), ("{ty}", "upper(type[1]) || type[2:]"),
-                        ("{nb}", "hood"), ("{sf}", "sqft")):
-        e = f"replace({e}, '{mark}', ({value})::varchar)"
-    return e
-
-
-_bounds = [sum(t[1] for t in fv.SYNTH_TYPES[: i + 1]) for i in range(len(fv.SYNTH_TYPES))]
-ORACLE["synth_listings"] = f"""
-with keyed as (
- select p_partkey as idx, place, base, st, city, i, md5(concat(place, '-', p_partkey)) as key from part,
-  (values {", ".join(str((k, b, s, c, i)) for i, (k, b, s, c, _) in enumerate(fv.LOCATIONS))}) v(place, base, st, city, i)),
-typed as (
- select *, case {" ".join(f"when {draw('type')} % 100 < {b} then '{t[0]}'" for b, t in zip(_bounds, fv.SYNTH_TYPES))} end as type
- from keyed),
-ranged as (
- select *, greatest({by_type(2)}, 50000) as low, least({by_type(3)}, 250000) as high,
-  {by_type(4)} + {draw("bedrooms")} % ({by_type(5)} - {by_type(4)} + 1) as beds,
-  {pick("bathrooms", str(fv.SYNTH_BATHROOMS))}::double as baths,
-  {pick("neighborhood", by_place(fv.NEIGHBORHOODS))} as hood from typed),
-sized as (
- select *, round_even((low + {draw("price")} % (high - low + 1)) / 1000, 0)::bigint * 1000 as price,
-  case beds {" ".join(f"when {b} then {q}" for b, q in fv.SYNTH_BASE_SQFT.items())} end
-   + -200 + {draw("sqft")} % 601 as sqft from ranged where low <= high),
-titled as (
- select *, [{", ".join(filled(t) for t in fv.SYNTH_TITLES)}][({draw("title")} % 8 + 1)::int] as title,
-  list_transform(list_sort(list_transform(range(0, {len(fv.SYNTH_FEATURES)}),
-    lambda j: {{'at': md5(concat(key, '-feature-', j)), 'name': {texts(fv.SYNTH_FEATURES)}[j + 1]}})),
-    lambda f: f.name)[1:(3 + {draw("features")} % 5)] as features,
-  '$' || format('{{:,}}', price) as dollars from sized)
-select (i::bigint << 48) + idx as ordinal, title, dollars as raw_price,
- concat(100 + {draw("number")} % 9900, ' ', {pick("street", by_place(fv.STREETS))}, ', ', hood, ', ', city, ', ', upper(st), ' ',
-  {pick("zip", by_place(fv.ZIP_CODES))}) as raw_address,
- concat(beds, 'br - ', sqft, 'ft² - ', type) as raw_housing_info,
- concat('Beautiful ', beds, ' bedroom, ', replace(baths::varchar, '.0', ''), ' bath ', type, ' in the heart of ', hood,
-  '. This ', sqft, ' sq ft property features ', array_to_string(features[1:len(features) - 1], ', '), ', and ',
-  features[-1], '. Priced to sell at ', dollars, '. Don''t miss this opportunity!') as description,
- strftime(timestamp '2024-06-01 00:00:00' - to_days(({draw("days")} % 31)::int), '%Y-%m-%dT%H:%M:%S') as posted_date,
- concat(base, '/rea/d/', substring(replace(lower(title), ' ', '-'), 1, 30), '/',
-  7700000000 + {draw("post")} % 100000000, '.html') as url,
- concat(place, '_', st) as location, 'craigslist' as source, type as property_type
-from titled"""
-
 # --- whole jobs and streams -------------------------------------------------
 # Raw listings under the names that the shared parts above expect.
 FROM_PAGES = f"""
 {COUNTED}, {REACHED},
-capped as (
+firsts as (
  select p.*, (p.location_key = 'columbus')::int as place from placed p
   join reached r on r.location = p.location_key and r.keyword_idx = p.keyword_idx and r."offset" = p."offset"
  where not no_link
- qualify row_number() over (partition by p.location_key order by p.keyword_idx, p."offset", p.position) <= 100),
+ qualify row_number() over (partition by p.location_key, p_partkey order by p.keyword_idx, p."offset", p.position) = 1),
 raw_listings as (
- select row_number() over (order by place, keyword_idx, "offset", position) as ordinal,
+ select row_number() over (order by place, keyword_idx, "offset", position) as ordinal, p_partkey,
   case when p_partkey % 3 > 0 then concat('https://x.example/d/', p_partkey)
    else concat('https://', location_key, '.craigslist.org/d/', p_partkey) end as url,
   concat(p_name, ' & ', p_brand) as title, {ROW_PRICE} as raw_price, {CITY} as location,
@@ -510,7 +455,7 @@ raw_listings as (
    'fee: ', p_brand, ': x') end as raw_housing_info,
   case when p_partkey % 9 > 0 then {BODY.format(nl="' '")} end as description,
   case when p_partkey % 9 > 0 then concat('2024-01-', lpad(cast(p_size % 28 + 1 as varchar), 2, '0')) end as posted_date
- from capped)"""
+ from firsts)"""
 ORACLE["listings_from_pages"] = f"""
 with recursive {FROM_PAGES}, {SIMILAR},
 listings as (
@@ -518,11 +463,15 @@ listings as (
   url, description, posted_date, 'redfin' as source, location
  from distinct_exact where ordinal not in (select ordinal from gone))
 select * from listings where {VALID}"""
+ORACLE["page_rejects"] = f"""
+with {FROM_PAGES} select 'html' as stage, cast(p_partkey as varchar) as key from raw_listings where {BROKEN}"""
 ORACLE["stream_listings"] = f"""
-with items as (select regexp_extract(url, '^https?://([^/]*)', 1) as location,
-  unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) as li from pages)
-select distinct location, {unescape(f"regexp_extract(li, '{NAV_LINK}', 1)")} as url,
- coalesce(nullif({unescape(f"regexp_extract(li, '{NAV_LINK}', 2)")}, ''), 'No Title') as title, 'redfin' as source from items"""
+with {PLACED}, raw_listings as (
+ select distinct {CITY} as location, case when p_partkey % 3 > 0 then concat('https://x.example/d/', p_partkey)
+   else concat('https://', location_key, '.craigslist.org/d/', p_partkey) end as url,
+  concat(p_name, ' & ', p_brand) as title, {ROW_PRICE} as raw_price from placed where not no_link),
+priced as (select location, url, title, {PRICE} as price, 'redfin' as source from raw_listings)
+select * from priced where price is null or (price > 0 and price <= 100000000)"""
 ORACLE["stream_posts"] = """
 select distinct role || '_' || sha256(substring(text, 1, 100)) as id, role as author, text from conversations"""
 
@@ -538,10 +487,19 @@ counts as (select location, count(*) as rows, sum(price) as total from valid gro
 select location, rows, total, form from counts, (values ('parquet'), ('csv'), ('json')) v(form)"""
 ORACLE["posts_round_trip"] = f"""
 with {POSTS} select id, author, text, timestamp, likes, comments_count, 0::bigint as shares, url,
- '2024-06-01T00:00:00' as scraped_at from posts where likes is not null"""
+ '2024-06-01T00:00:00' as scraped_at, (feed * 4096 + snapshot_no) * 4096 + position as ordinal from posts where likes is not null"""
+ORACLE["posts_document_round_trip"] = f"""
+with {POSTS} select id, author, text, timestamp, likes, comments_count, 0::bigint as shares, url,
+ '2024-06-01T00:00:00' as scraped_at, row_number() over (order by feed, snapshot_no, position) - 1 as ordinal
+from posts where likes is not null"""
 ORACLE["posts_metadata"] = f"""
 with {POSTS} select '2024-06-01T00:00:00' as scraped_at, count(*) as total_posts, 'facebook_feed' as source
 from posts where likes is not null"""
+ORACLE["ledger_round_trip"] = f"""
+with {LEDGER} select 'comment' as action, cast(event_id as varchar) as text, action_number, success,
+ cast(null as varchar) as error from ledger"""
+ORACLE["payloads_round_trip"] = f"""
+with {HOMES} select location_key, batch as payload_no, count(*) as homes from homes group by all"""
 ORACLE["ledger_metadata"] = f"""
 with {LEDGER} select '2024-01-01T00:00:00' as session_start, count(*) filter (success) as total_actions,
  10::bigint as daily_limit from ledger"""
@@ -549,4 +507,5 @@ ORACLE["pages_round_trip"] = f"""
 with {PLACED} select location_key as location, kind, source, count(*) as pages from (
  select distinct location_key, keyword_idx, "offset", case when keyword_idx = 0 then 'landing' else 'search' end as kind,
   'redfin' as source from placed union all
- select location_key, 0, p_partkey, 'detail', 'redfin' from placed where p_partkey % 9 <> 0) group by all"""
+ select case when p_partkey % 2 = 0 then 'milwaukee' else 'columbus' end, 0, p_partkey, 'detail', 'redfin'
+ from part where p_partkey % 9 <> 0 or {BROKEN}) group by all"""

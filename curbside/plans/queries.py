@@ -13,13 +13,13 @@ from curbside.functions import posts as post_fn
 from curbside.functions import text as text_fn
 from curbside.functions import urls
 from curbside.functions.markup import Field, Profile
+from curbside.functions.order import packed, page_ordinal
 from curbside.operators import clean, crawl, dedup, filters, html, metrics, payload, quota, similar
 from curbside.plans import derived, flows
-from curbside.session import shared_dir, spread
+from curbside.session import shared_dir
 from curbside.sinks import files
 from curbside.sources import stored
 from curbside.sources.locations import join_location as _join_location
-from curbside.sources.synthetic import synth_from
 from curbside.streaming import streams
 
 REGISTRY = {}
@@ -137,7 +137,7 @@ def strip_json_prefix(spark, folder):
 
 @query
 def post_text_fallback(spark, folder):
-    docs = spread(derived.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = derived.table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", post_fn.text_fallback(F.col("text")).alias("text"))
 
 
@@ -291,14 +291,14 @@ ARTICLE = Profile(
 
 @query
 def extract_nav_links(spark, folder):
-    pages = spread(derived.table(spark, folder, "pages").select("page_id", "html"))
+    pages = derived.table(spark, folder, "pages").select("page_id", "html")
     return html.extract_search_rows(pages, NAV).select("page_id", "position", "url", "title")
 
 
 @query
 def extract_headings(spark, folder):
-    pages = spread(derived.table(spark, folder, "pages").select("page_id", "html"))
-    return html.extract_html(pages, ARTICLE).select("page_id", "title", "ad")
+    pages = derived.table(spark, folder, "pages").select("page_id", "html")
+    return html.extract_html(pages, ARTICLE).select("page_id", "title", "ad", "paragraphs", "description")
 
 
 @query
@@ -335,14 +335,12 @@ def page_yield(spark, folder):
     rows = html.extract_search_rows(_join_location(
         derived.search_pages(spark, folder).withColumnRenamed("location", "location_key")
     ).withColumn("location", F.col("location_key")))
-    return crawl.page_yield(rows.withColumn("ordinal", crawl.page_ordinal()))
+    return crawl.page_yield(rows.withColumn("ordinal", page_ordinal()))
 
 
 @query
 def truncate_short_pages(spark, folder):
-    placed = derived.table(spark, folder, "part").selectExpr(
-        *[f"{e} as `{n}`" for n, e in derived.PLACE_COLUMNS.items()], f"{derived.NO_LINK} as no_link"
-    )
+    placed = derived.placed(spark, folder).withColumn("no_link", F.expr(derived.NO_LINK))
     counted = placed.groupBy(F.col("location_key").alias("location"), "keyword_idx", "offset").agg(
         F.count_if(~F.col("no_link")).alias("results")
     )
@@ -399,17 +397,18 @@ def count_by_location(spark, folder):
 
 @query
 def funnel(spark, folder):
-    """Row counts of the stages, each by its own aggregate."""
-    raw = derived.raw_listings(spark, folder)
-    first = dedup.dedup_url(raw)
-    distinct = similar.dedup_similar(first, "exact")
-    valid = clean.validate(clean.to_listing(distinct))
-    stages = [("raw", raw), ("url_unique", first), ("similar_unique", distinct), ("valid", valid)]
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(s).alias("stage"), "rows") for s, df in stages]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """Row counts of the stages, taken while the job runs."""
+    watched = metrics.Funnel()
+    rows, rejects = flows.clean_job(derived.raw_listings(spark, folder), "exact", watched)
+    for df in (rows, rejects):
+        df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(list(watched.counts().items()), "stage string, rows long")
+
+
+@query
+def page_rejects(spark, folder):
+    """Detail pages that the job wanted and could not read."""
+    return flows.raw_pages_job(derived.stored_pages(spark, folder)).rejects.select("stage", "key")
 
 
 # --- payloads ---------------------------------------------------------------
@@ -504,35 +503,24 @@ def sample_exact(spark, folder):
     return crawl.sample_exact(events, "event_id", 50, "s1")
 
 
-# --- synthetic rows ---------------------------------------------------------
-
-
-@query
-def synth_listings(spark, folder):
-    indexes = spread(derived.table(spark, folder, "part").selectExpr("p_partkey as idx"))
-    return synth_from(indexes, derived.AS_OF)
-
-
 # --- whole jobs -------------------------------------------------------------
 
 
 @query
 def listings_from_pages(spark, folder):
-    return flows.listings_from_pages(derived.stored_pages(spark, folder)).drop("ordinal")
+    """Every search page is stored twice, from two days."""
+    return flows.listings_from_pages(derived.stored_twice(spark, folder)).drop("ordinal")
 
 
 @query
 def listings_from_payloads(spark, folder):
-    texts = derived.payloads(spark, folder).withColumn("batch", F.col("batch").cast("bigint"))
-    homes = _join_location(payload.cap_payload(payload.payload_homes(texts)))
-    place = (F.col("location_idx") * 2**40).cast("bigint") + F.col("batch") * 1000 + F.col("pos")
-    raw = payload.normalize_home(homes.withColumn("ordinal", place))
-    return flows.clean_all(raw, "exact").drop("ordinal")
+    texts = derived.payloads(spark, folder).withColumnRenamed("batch", "payload_no")
+    return flows.listings_from_payloads(texts).drop("ordinal")
 
 
 @query
 def posts_from_snapshots(spark, folder):
-    return flows.posts_from_snapshots(derived.snapshots(spark, folder), derived.AS_OF, max_posts=3).select(
+    return flows.posts_from_snapshots(derived.snapshots(spark, folder), derived.AS_OF).select(
         "feed", "snapshot_no", "position", "author", "text", "likes", "comments_count"
     )
 
@@ -580,16 +568,26 @@ def export_round_trip(spark, folder):
     return reduce(DataFrame.unionByName, counts)
 
 
-def _written_posts(spark, folder):
+def _written_posts(spark, folder, document_limit=None):
     found = html.extract_posts(derived.snapshots(spark, folder), derived.AS_OF)
+    placed = found.withColumn("ordinal", packed(("feed", 38), ("snapshot_no", 12), ("position", 12)))
     run = _run_dir(spark)
-    files.write_posts(found.select(*schema.POST.fieldNames()), run, fv.POSTS_SOURCE, derived.AS_OF)
+    files.write_posts(
+        placed.select(*schema.POST.fieldNames(), "ordinal"), run, fv.POSTS_SOURCE, derived.AS_OF, document_limit=document_limit
+    )
     return run
 
 
 @query
 def posts_round_trip(spark, folder):
-    return stored.read_posts(spark, _written_posts(spark, folder) + "/posts", as_lines=True)
+    return stored.read_posts(spark, _written_posts(spark, folder))
+
+
+@query
+def posts_document_round_trip(spark, folder):
+    """The one-document form; the order of its posts is their ordinal."""
+    run = _written_posts(spark, folder, document_limit=1_000_000)
+    return stored.read_posts(spark, run, as_lines=False)
 
 
 @query
@@ -599,17 +597,37 @@ def posts_metadata(spark, folder):
     )
 
 
-@query
-def ledger_metadata(spark, folder):
+def _written_ledger(spark, folder):
     actions = quota.quota_ledger(derived.attempts(spark, folder), 10).selectExpr(
         "'comment' as action", "string(event_id) as text", "string(ts) as timestamp", "action_number", "success",
         "string(null) as error",
     )
     run = _run_dir(spark)
     files.write_action_ledger(actions, run, "2024-01-01T00:00:00", 10)
+    return run
+
+
+@query
+def ledger_round_trip(spark, folder):
+    return stored.read_actions(spark, _written_ledger(spark, folder)).select("action", "text", "action_number", "success", "error")
+
+
+@query
+def ledger_metadata(spark, folder):
+    run = _written_ledger(spark, folder)
     return spark.read.schema("session_start string, total_actions long, daily_limit long").json(f"{run}/metadata")
 
 
+@query
+def payloads_round_trip(spark, folder):
+    """Each payload text in a folder of its own, read back, homes counted."""
+    run = f"{_run_dir(spark)}/payloads"
+    texts = derived.payloads(spark, folder).selectExpr("concat(location_key, '.', batch) as name", "body as value")
+    texts.write.partitionBy("name").text(run)
+    homes = payload.payload_homes(stored.read_payloads(spark, run))
+    return homes.groupBy("location_key", "payload_no").agg(F.count("*").alias("homes"))
+
+
 @query
 def pages_round_trip(spark, folder):
     run = _run_dir(spark)
@@ -624,13 +642,14 @@ def pages_round_trip(spark, folder):
 
 @query
 def stream_listings(spark, folder):
-    columns = derived.table(spark, folder, "pages").schema
-    pages = streams.file_stream(spark, folder, columns, "pages.parquet").selectExpr(
-        "regexp_extract(url, '^https?://([^/]*)', 1) as location", "timestamp'2024-01-01 00:00:00' as fetched_at", "html"
-    )
+    """The search pages as files that arrive one after another; the pages of a
+    later keyword were fetched later and hold some urls again."""
     run = _run_dir(spark)
-    streams.run_available(streams.stream_listings(pages, NAV), f"{run}/out", f"{run}/checkpoint")
-    return spark.read.parquet(f"{run}/out").select("location", "url", "title", "source")
+    derived.search_pages(spark, folder).repartition(3, "keyword_idx").write.parquet(f"{run}/pages")
+    columns = spark.read.parquet(f"{run}/pages").schema
+    pages = streams.file_stream(spark, f"{run}/pages", columns, files_per_trigger=1)
+    streams.run_available(streams.stream_listings(pages), f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out").select("location", "url", "title", "price", "source")
 
 
 @query
@@ -648,10 +667,16 @@ def stream_posts(spark, folder):
 
 @query
 def stream_quota(spark, folder):
-    columns = derived.table(spark, folder, "events").schema
-    events = streams.file_stream(spark, folder, columns, "events.parquet").selectExpr(
-        "user_id as session", "ts", "event_id", "event_type <> 'error' as success"
-    )
+    """The attempts arrive in four parts, in order of time; the stream goes on
+    from its checkpoint after each."""
     run = _run_dir(spark)
-    streams.run_quota(events, f"{run}/out", f"{run}/checkpoint", 10)
+    attempts = derived.attempts(spark, folder).withColumn("_at", F.unix_micros("ts"))
+    cuts = attempts.agg(F.percentile_approx("_at", [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = attempts if low is None else attempts.where(F.col("_at") > low)
+        part = part if high is None else part.where(F.col("_at") <= high)
+        part.drop("_at").write.mode("append").parquet(f"{run}/events")
+        events = streams.file_stream(spark, f"{run}/events", attempts.drop("_at").schema)
+        streams.run_quota(events, f"{run}/out", f"{run}/checkpoint", 10)
     return streams.read_ledger(spark, f"{run}/out")

@@ -80,6 +80,11 @@ ACTION_FILE = _struct(
     ("actions", T.ArrayType(ACTION), True),
 )
 
+
+def with_ordinal(struct: T.StructType) -> T.StructType:
+    return T.StructType([*struct.fields, T.StructField("ordinal", LONG)])
+
+
 SUB_OBJECTS = ["price", "sqFt", "streetLine", "mlsId", "dom", "lotSize", "yearBuilt", "hoa"]
 # One home of a payload. Numbers are read as texts, in the JSON's spelling.
 PAYLOAD_HOME = _struct(

@@ -1,6 +1,8 @@
 """Session settings and the shared folder for intermediate tables."""
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Pages are large texts: small batches keep a batch within memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # Limits per key up to this size are applied before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -29,7 +32,9 @@ def build_session(app: str = "curbside", master: str | None = None, **extra) ->
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,13 +60,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(scan: DataFrame, bytes_per_task: int = 16 * 1024) -> DataFrame:
-    """A small scan with fewer splits than there are cores, dealt out to more
-    of them for the costly steps that follow. A large scan is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(cores, size // bytes_per_task)
-    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
+_SHIPPED = "curbside.package.shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per session: they load
+    its functions by name and may have no copy of their own."""
+    if spark.conf.get(_SHIPPED, None):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="curbside-package-")) / "curbside_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    spark.conf.set(_SHIPPED, "true")
 
 
 def once(df: DataFrame, **columns) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from curbside import schema
 from curbside.operators.clean import as_listing_schema
+from curbside.session import cut_lineage
 
 log = logging.getLogger("curbside.sinks")
-DOCUMENT_LIMIT = 100_000
 
 
 def _plain(c: Column) -> Column:
@@ -17,9 +17,11 @@ def _plain(c: Column) -> Column:
     return F.call_function("format_number", c, F.lit("0.0###############"))
 
 
-def write_csv(df: DataFrame, path: str) -> bool:
+def write_csv(df: DataFrame, path: str, stored: bool = False) -> bool:
     """Header and rows, UTF-8, quotes doubled, null as an empty cell. An empty
-    table writes nothing."""
+    table writes nothing. What ``df`` is made by runs once: its rows are stored
+    in between, unless they are ``stored`` already."""
+    df = df if stored else cut_lineage(df)
     if df.isEmpty():
         log.warning("no rows to export to CSV")
         return False
@@ -30,9 +32,10 @@ def write_csv(df: DataFrame, path: str) -> bool:
     return True
 
 
-def write_json(df: DataFrame, path: str) -> bool:
+def write_json(df: DataFrame, path: str, stored: bool = False) -> bool:
     """JSON Lines with nulls kept and non-ASCII escaped. An empty table writes
-    nothing."""
+    nothing. Runs its input once, as ``write_csv``."""
+    df = df if stored else cut_lineage(df)
     if df.isEmpty():
         log.warning("no rows to export to JSON")
         return False
@@ -50,24 +53,33 @@ def export_all(listings: DataFrame, folder: str, formats: str = "both") -> None:
         listings.sparkSession.read.schema(as_listing_schema(listings).schema).parquet(native)
     )
     if formats in ("both", "csv"):
-        write_csv(stored, f"{folder}/listings.csv")
+        write_csv(stored, f"{folder}/listings.csv", stored=True)
     if formats in ("both", "json"):
-        write_json(stored, f"{folder}/listings.json")
+        write_json(stored, f"{folder}/listings.json", stored=True)
 
 
 def _write_with_metadata(
     rows: DataFrame, name: str, metadata: dict[str, Column], path: str, order_by: list[str],
-    columns: list[str], single_document: bool,
+    columns: list[str], document_limit: int | None,
 ) -> None:
-    """Rows as JSON Lines next to a one-row table of metadata; or, for few
-    rows, both in one document. Metadata are aggregates or literals."""
-    facts = rows.agg(*[c.alias(k) for k, c in metadata.items()])
-    if not single_document:
-        rows.select(*columns).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
-        facts.write.mode("overwrite").json(f"{path}/metadata")
+    """Rows as JSON Lines next to a one-row table of metadata, which are
+    aggregates of what was written or literals: the input runs once. Each line
+    keeps its ``order_by`` columns, so that the order is there on reading.
+
+    With ``document_limit``, rows and metadata form one document instead. One
+    task then holds all rows, which is why the caller states how many there may
+    be; more are refused.
+    """
+    if document_limit is None:
+        place = [c for c in order_by if c not in columns]
+        rows.select(*columns, *place).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        kind = rows.select(*columns, *place).schema
+        written = rows.sparkSession.read.schema(kind).json(f"{path}/{name}")
+        written.agg(*[c.alias(k) for k, c in metadata.items()]).write.mode("overwrite").json(f"{path}/metadata")
         return
-    if rows.limit(DOCUMENT_LIMIT + 1).count() > DOCUMENT_LIMIT:
-        raise ValueError(f"more than {DOCUMENT_LIMIT} rows: write JSON Lines instead")
+    rows = cut_lineage(rows)
+    if rows.limit(document_limit + 1).count() > document_limit:
+        raise ValueError(f"more than {document_limit} rows: write JSON Lines instead")
     entry = F.struct(F.struct(*order_by).alias("at"), F.struct(*columns).alias("row"))
     listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["row"])
     document = rows.agg(*[c.alias(k) for k, c in metadata.items()], listed.alias(name)).select(
@@ -77,19 +89,19 @@ def _write_with_metadata(
 
 
 def write_posts(posts: DataFrame, path: str, source: str, as_of: str, order_by=("ordinal",),
-                single_document: bool = False) -> None:
-    """Posts with their metadata, also when there are none. ``order_by`` sets
-    the order in a single document."""
+                document_limit: int | None = None) -> None:
+    """Posts with their metadata, also when there are none, in the order of
+    ``order_by``; one document for up to ``document_limit`` posts, if given."""
     metadata = {
         "scraped_at": F.lit(as_of),
         "total_posts": F.count("*"),
         "source": F.lit(source),
     }
-    _write_with_metadata(posts, "posts", metadata, path, list(order_by), schema.POST.fieldNames(), single_document)
+    _write_with_metadata(posts, "posts", metadata, path, list(order_by), schema.POST.fieldNames(), document_limit)
 
 
 def write_action_ledger(actions: DataFrame, path: str, session_start: str, daily_limit: int,
-                        order_by=("timestamp",), single_document: bool = False) -> None:
+                        order_by=("timestamp",), document_limit: int | None = None) -> None:
     """Actions with their metadata; the total counts the successful ones."""
     metadata = {
         "session_start": F.lit(session_start),
@@ -97,5 +109,5 @@ def write_action_ledger(actions: DataFrame, path: str, session_start: str, daily
         "daily_limit": F.lit(daily_limit),
     }
     _write_with_metadata(
-        actions, "actions", metadata, path, list(order_by), schema.ACTION.fieldNames(), single_document
+        actions, "actions", metadata, path, list(order_by), schema.ACTION.fieldNames(), document_limit
     )

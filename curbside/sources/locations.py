@@ -1,5 +1,6 @@
 """The constant location dimension."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,16 +8,19 @@ from curbside import fixed_values as fv
 
 
 def location_dim(spark: SparkSession) -> DataFrame:
+    """The dimension as a table of literals, which plans know the size of."""
+    names = ["location_idx", "location_key", "base_url", "dim_state", "dim_city", "ring"]
     rows = [
-        (i, key, base, state, city, ring, fv.NEIGHBORHOODS[key], fv.STREETS[key], fv.ZIP_CODES[key])
-        for i, (key, base, state, city, ring) in enumerate(fv.LOCATIONS)
+        {**dict(zip(names, (i, *place))), "neighborhoods": fv.NEIGHBORHOODS[place[0]],
+         "streets": fv.STREETS[place[0]], "zip_codes": fv.ZIP_CODES[place[0]]}
+        for i, place in enumerate(fv.LOCATIONS)
     ]
-    return spark.createDataFrame(
-        rows,
-        "location_idx int, location_key string, base_url string, dim_state string, "
-        "dim_city string, ring string, neighborhoods array<string>, streets array<string>, "
-        "zip_codes array<string>",
+    texts = pa.list_(pa.string())
+    kind = pa.schema(
+        [("location_idx", pa.int32()), *[(n, pa.string()) for n in names[1:]],
+         ("neighborhoods", texts), ("streets", texts), ("zip_codes", texts)]
     )
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=kind))
 
 
 def join_location(df: DataFrame) -> DataFrame:

@@ -33,24 +33,37 @@ def read_page_files(
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """JSON payload texts; the file name without its ending is the location."""
+    """JSON payload texts in files ``location.json`` or ``location.number.json``,
+    or in folders ``name=location.number`` with one file each; the number orders
+    the texts of a location, without one it is 0."""
     files = spark.read.text(path, wholetext=True)
+    name = "name" if "name" in files.columns else "_metadata.file_name"
+    number = F.regexp_extract(name, r"\A[^.]*\.(\d+)(?:\.|\z)", 1).try_cast("bigint")
     return files.select(
-        F.regexp_extract("_metadata.file_name", r"\A([^.]*)", 1).alias("location_key"),
+        F.regexp_extract(name, r"\A([^.]*)", 1).alias("location_key"),
+        F.coalesce(number, F.lit(0)).alias("payload_no"),
         F.col("value").alias("body"),
     )
 
 
-def read_posts(spark: SparkSession, path: str, as_lines: bool = False) -> DataFrame:
-    """Posts of an export: the single document, or the JSON Lines of a large
-    one. A document without posts gives no rows; a missing path is an error."""
+def _read_rows(spark, path, as_lines, name, lines, document) -> DataFrame:
     if as_lines:
-        return spark.read.schema(schema.POST).json(path)
-    document = spark.read.schema(schema.POSTS_FILE).json(path, multiLine=True)
-    return document.select(F.explode("posts").alias("_p")).select("_p.*")
+        return spark.read.schema(lines).json(f"{path}/{name}")
+    whole = spark.read.schema(document).json(path, multiLine=True)
+    rows = whole.select(F.posexplode(name).alias("ordinal", "_r"))
+    return rows.select("_r.*", F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
-def read_actions(spark: SparkSession, path: str) -> DataFrame:
-    """Action rows of a ledger document."""
-    document = spark.read.schema(schema.ACTION_FILE).json(path, multiLine=True)
-    return document.select(F.explode("actions").alias("_a")).select("_a.*")
+def read_posts(spark: SparkSession, path: str, as_lines: bool = True) -> DataFrame:
+    """Posts that ``write_posts`` wrote to ``path``, with their ``ordinal``:
+    the JSON Lines, or with ``as_lines=False`` the one document, which a single
+    task reads. A document without posts gives no rows; a missing path is an
+    error."""
+    lines = schema.with_ordinal(schema.POST)
+    return _read_rows(spark, path, as_lines, "posts", lines, schema.POSTS_FILE)
+
+
+def read_actions(spark: SparkSession, path: str, as_lines: bool = True) -> DataFrame:
+    """Actions that ``write_action_ledger`` wrote to ``path``. Lines are in
+    the order of their ``timestamp``; a document's have an ``ordinal``."""
+    return _read_rows(spark, path, as_lines, "actions", schema.ACTION, schema.ACTION_FILE)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
+from curbside.functions.order import LOCATION_BITS, PLACE_BITS, packed
 from curbside.functions import urls
 from curbside.session import once
 from curbside.sources.locations import join_location
@@ -101,7 +102,7 @@ def synth_from(
         between("days", 0, fv.SYNTH_MAX_DAYS_AGO).cast("int")
     )
     return picked.select(
-        (F.shiftleft(col("location_idx").cast("bigint"), 48) + col("idx")).alias("ordinal"),
+        packed(("location_idx", LOCATION_BITS), ("idx", PLACE_BITS)).alias("ordinal"),
         col("title"),
         dollars.alias("raw_price"),
         F.concat(

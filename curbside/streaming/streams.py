@@ -5,9 +5,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
+from curbside.functions import urls
 from curbside.functions.markup import Profile
 from curbside.operators import clean, html
 from curbside.operators.quota import quota_ledger
+from curbside.session import cut_lineage
+from curbside.sources.locations import join_location
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",
@@ -23,9 +26,17 @@ def stream_listings(
     pages: DataFrame, profile: Profile = html.SEARCH, delay: str = "1 day"
 ) -> DataFrame:
     """Arriving search pages (with ``fetched_at`` and ``location``) to valid
-    listings, the first sighting of each url in a location."""
-    rows = html.extract_search_rows(pages.withWatermark("fetched_at", delay), profile)
-    first = rows.dropDuplicatesWithinWatermark(["location", "url"])
+    listings, the first sighting of each url in a location. Links and locations
+    are resolved as in the batch job, which its rows therefore match."""
+    placed = join_location(
+        pages.withWatermark("fetched_at", delay).withColumnRenamed("location", "location_key")
+    )
+    rows = html.extract_search_rows(placed, profile)
+    resolved = rows.withColumns({
+        "url": urls.absolute_url(F.col("url"), F.col("base_url")),
+        "location": urls.location_key(F.col("location_key"), F.col("dim_state")),
+    })
+    first = resolved.dropDuplicatesWithinWatermark(["location", "url"])
     return clean.validate(clean.to_listing(first))
 
 
@@ -41,44 +52,49 @@ def run_available(df: DataFrame, out: str, checkpoint: str) -> None:
        .awaitTermination())
 
 
-def run_quota(events: DataFrame, out: str, checkpoint: str, limit: int = fv.ACTION_LIMIT) -> None:
-    """Accepted attempts of an event stream, with one counter per session.
+#: Batches after which the wins so far are summed up anew.
+COMPACT = 16
 
-    Each micro-batch continues from the counters of the one before and writes
-    its own folders, so a repeated batch overwrites itself. Within a batch the
-    ledger is the batch operator: no session has to fit into one task. Order
-    is that of arrival between batches and of time within a batch.
+
+def run_quota(events: DataFrame, out: str, checkpoint: str, limit: int = fv.ACTION_LIMIT) -> None:
+    """Accepted attempts of an event stream, counted per session.
+
+    Each micro-batch writes its accepted attempts and the successes it added,
+    in folders of its own, so that a repeated batch overwrites itself. What a
+    session has used up is the last sum plus the additions since, read only for
+    the batch's own sessions; every COMPACT batches there is a new sum. Within
+    a batch the ledger is the batch operator: no session has to fit into one
+    task. Order is that of arrival between batches and of time within a batch.
     """
 
-    def counters(spark, batch):
-        return f"{out}/counters/batch={batch}"
+    def used_before(spark, batch, sessions):
+        base = (batch // COMPACT) * COMPACT
+        folders = [f"{out}/sums/batch={base}"] if base else []
+        folders += [f"{out}/won/batch={k}" for k in range(base, batch)]
+        if not folders:
+            return sessions.select("session", F.lit(0).cast("bigint").alias("used"))
+        counts = spark.read.schema(f"session {sessions.schema['session'].dataType.simpleString()}, won bigint").parquet(*folders)
+        return counts.join(sessions, "session", "left_semi").groupBy("session").agg(F.sum("won").alias("used"))
 
     def step(frame: DataFrame, batch: int) -> None:
         spark = frame.sparkSession
-        rows = frame.select("session", "ts", "event_id", "success")
-        if batch > 0:
-            before = spark.read.parquet(counters(spark, batch - 1))
-        else:
-            before = spark.createDataFrame([], "session bigint, used bigint")
-        before = before.withColumn("session", F.col("session").cast(frame.schema["session"].dataType))
-        left = rows.join(before, "session", "left").withColumn(
-            "used", F.coalesce("used", F.lit(0).cast("bigint"))
-        )
-        open_rows = left.where(F.col("used") < limit)
-        numbered = quota_ledger(open_rows, limit)
+        rows = cut_lineage(frame.select("session", "ts", "event_id", "success"))
+        if batch and batch % COMPACT == 0:
+            kind = f"session {frame.schema['session'].dataType.simpleString()}, won bigint"
+            base = batch - COMPACT
+            folders = [f"{out}/sums/batch={base}"] if base else []
+            folders += [f"{out}/won/batch={k}" for k in range(base, batch)]
+            total = spark.read.schema(kind).parquet(*folders).groupBy("session").agg(F.sum("won").alias("won"))
+            total.write.mode("overwrite").parquet(f"{out}/sums/batch={batch}")
+        before = used_before(spark, batch, rows.select("session").distinct())
+        left = rows.join(before, "session", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("bigint")))
+        numbered = quota_ledger(left.where(F.col("used") < limit), limit)
         accepted = numbered.withColumn("action_number", F.col("used") + F.col("action_number")).where(
             F.col("action_number") <= limit
         ).withColumn("remaining", F.col("remaining") - F.col("used")).drop("used")
         accepted.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch}")
-        won = (
-            spark.read.parquet(f"{out}/ledger/batch={batch}").where("success")
-            .groupBy("session").agg(F.count("*").alias("won"))
-        )
-        after = before.join(won, "session", "full_outer").select(
-            "session",
-            (F.coalesce("used", F.lit(0)) + F.coalesce("won", F.lit(0))).cast("bigint").alias("used"),
-        )
-        after.write.mode("overwrite").parquet(counters(spark, batch))
+        won = spark.read.schema(accepted.schema).parquet(f"{out}/ledger/batch={batch}").where("success")
+        won.groupBy("session").agg(F.count("*").alias("won")).write.mode("overwrite").parquet(f"{out}/won/batch={batch}")
 
     (events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
        .trigger(availableNow=True).start().awaitTermination())

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbside import schema
+from curbside.functions.order import check_unique, page_ordinal
 from curbside.operators import crawl, dedup, html, metrics, payload, quota
 from curbside.plans import flows
 from curbside.sinks import files
@@ -75,10 +76,11 @@ def test_payload_baths(spark):
 
 def test_payload_bodies_and_cap(spark):
     homes = [without(listingId=i, url=f"/h/{i}", beds=i % 9) for i in range(1, 12)]
-    bodies = [("milwaukee", "{}&&" + json.dumps({"payload": {"homes": homes}})), ("columbus", '{"payload": null}'),
-              ("columbus", "not json"), ("columbus", '{"payload": {"homes": null}}'), ("nowhere", json.dumps({"payload": {"homes": homes}})),
-              ("columbus", json.dumps({"payload": {"homes": [without(price=None)] + homes}}))]
-    df = spark.createDataFrame(bodies, "location_key string, body string")
+    bodies = [("milwaukee", 0, "{}&&" + json.dumps({"payload": {"homes": homes}})), ("columbus", 0, '{"payload": null}'),
+              ("columbus", 1, "not json"), ("columbus", 2, '{"payload": {"homes": null}}'),
+              ("nowhere", 0, json.dumps({"payload": {"homes": homes}})),
+              ("columbus", 3, json.dumps({"payload": {"homes": [without(price=None)] + homes}}))]
+    df = spark.createDataFrame(bodies, "location_key string, payload_no long, body string")
     raw = flows.raw_from_payloads(df, 3)
     got = {(r["location"], r["url"][-2:]) for r in raw.collect()}
     assert got == {("milwaukee_wi", "/1"), ("milwaukee_wi", "/2"), ("milwaukee_wi", "/3"),
@@ -128,10 +130,71 @@ def test_pages_job(spark):
     assert yields[("milwaukee_wi", 1, 0)] == (120, 119)
 
 
+def test_pages_stored_twice(spark):
+    """A later fetch of a page adds its new urls and loses none."""
+    base = "https://milwaukee.craigslist.org"
+
+    def page(*rows):
+        return "".join(f'<li class="cl-search-result"><a class="cl-app-anchor" href="{u}">{t}</a><span class="priceinfo">{p}</span></li>'
+                       for u, t, p in rows)
+
+    first = page(("/1", "A house with a garden and a view", "$1000"), ("/2", "A house with a garden and a view!", "$1000"))
+    second = page(("/3", "A house with a garden and a view", "$2000"), ("/4", "Completely different thing", "$1000"))
+    day = datetime.datetime
+    rows = [(1, "landing", base, "milwaukee", "redfin", 0, 0, day(2024, 1, 1), first), (2, "landing", base, "milwaukee", "redfin", 0, 0, day(2024, 1, 2), second),
+            (3, "landing", base, "milwaukee", "redfin", 0, 0, day(2024, 1, 3), "<![bad[x]]>")]
+    pages = spark.createDataFrame(rows, schema.PAGES)
+    found, rejects = flows.pages_job(pages)
+    assert {r["url"][-1] for r in found.collect()} == {"1", "3", "4"}
+    assert [(r["stage"], r["key"]) for r in rejects.collect()] == [("html", "3")]
+
+
+def test_payloads_keep_their_order(spark):
+    homes = [without(listingId=i, url=f"/h/{i}", beds=i) for i in range(1, 3)]
+    texts = [("milwaukee", 0, json.dumps({"payload": {"homes": homes}})),
+             ("milwaukee", 1, json.dumps({"payload": {"homes": [homes[0], without(url="/h/9", beds=1), without(url="/h/8", city="Elsewhere", beds=7)]}}))]
+    df = spark.createDataFrame(texts, "location_key string, payload_no long, body string")
+    for mode in ("fuzzy", "exact"):
+        assert {r["url"][-1] for r in flows.listings_from_payloads(df, mode=mode).collect()} >= {"1", "8"}
+        assert flows.listings_from_payloads(df, mode=mode).where("url like '%/9'").count() == 0
+    many = json.dumps({"payload": {"homes": [without(url=f"/h/{i}") for i in range(500)]}})
+    one = spark.createDataFrame([("milwaukee", many)], "location_key string, body string")
+    assert flows.raw_from_payloads(one).count() == 500 and flows.raw_from_payloads(one, 1000).count() == 500
+
+
+def test_ordinals_have_to_be_unique(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "ordinal long, url string")
+    with pytest.raises(ValueError, match="unique"):
+        check_unique(df)
+
+
+def test_no_page_is_shuffled(spark, monkeypatch):
+    """Neither way of reading details sends html through an exchange."""
+    base = "https://milwaukee.craigslist.org"
+    rows = [("landing", base, "milwaukee", 0, 0, result_page([1, 2]))] + [
+        ("detail", f"{base}/d/{n}", "milwaukee", 0, 0, f'<div class="mapaddress">{n} Elm</div>') for n in range(1, 5)]
+    pages = stored_pages(spark, rows).repartition(4)
+    plans = []
+    parse = html.parse_pages
+
+    def watched(df, profile, html_col="html"):
+        if profile is html.DETAIL:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return parse(df, profile, html_col)
+
+    monkeypatch.setattr(html, "parse_pages", watched)
+    results = []
+    for limit in (500_000, 0):
+        monkeypatch.setattr(flows, "BROADCAST_PAGES", limit)
+        results.append({(r["url"], r["raw_address"]) for r in flows.raw_from_pages(pages).collect()})
+    assert results[0] == results[1] == {(f"{base}/d/{n}", f"{n} Elm") for n in (1, 2)}
+    assert "strategy=broadcast" in plans[0] and "Join" not in plans[1]
+
+
 def test_page_ordinal_range(spark):
     df = spark.createDataFrame([(0, 1, 120, 70000)], "location_idx int, keyword_idx int, offset int, position int")
     with pytest.raises(Exception, match="out of range"):
-        df.select(crawl.page_ordinal()).collect()
+        df.select(page_ordinal()).collect()
 
 
 def test_caps_unions_samples(spark):
@@ -146,7 +209,7 @@ def test_caps_unions_samples(spark):
     assert [r["location"] for r in two.orderBy("ordinal").collect()] == ["b"] * 66 + ["a"] * 34
     assert crawl.union_keywords(df, [df, df]).where("keyword_idx = 2").count() == 100
     plan = crawl.cap_per_location(df, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4 and crawl.cap_per_location(df, None).count() == 100
 
 
 def test_quota(spark):
@@ -217,18 +280,20 @@ def test_posts_round_trip(spark, tmp_path):
     posts = spark.createDataFrame([("i2", "b", "é", "2h", 1, 2, 0, "", "now"), ("i1", "a", "t", "", 0, 0, 0, "u", "now")], schema.POST)
     placed = posts.withColumn("ordinal", F.when(F.col("id") == "i2", 1).otherwise(2))
     one, many, none = str(tmp_path / "one"), str(tmp_path / "many"), str(tmp_path / "none")
-    files.write_posts(placed, one, "facebook_feed", "now", single_document=True)
+    files.write_posts(placed, one, "facebook_feed", "now", document_limit=1000)
     text = "".join(p.read_text("utf-8") for p in (tmp_path / "one").glob("*.json"))
     doc = json.loads(text)
     assert "é" in text and doc["metadata"] == {"scraped_at": "now", "total_posts": 2, "source": "facebook_feed"}
     assert [p["id"] for p in doc["posts"]] == ["i2", "i1"]
-    assert {r["id"] for r in stored.read_posts(spark, one).collect()} == {"i1", "i2"}
+    assert [(r["ordinal"], r["id"]) for r in stored.read_posts(spark, one, as_lines=False).collect()] == [(0, "i2"), (1, "i1")]
     files.write_posts(placed, many, "facebook_feed", "now")
-    assert stored.read_posts(spark, many + "/posts", as_lines=True).count() == 2
-    files.write_posts(placed.limit(0), none, "facebook_feed", "now", single_document=True)
-    assert stored.read_posts(spark, none).count() == 0
+    assert {(r["ordinal"], r["id"]) for r in stored.read_posts(spark, many).collect()} == {(1, "i2"), (2, "i1")}
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        files.write_posts(placed, str(tmp_path / "few"), "facebook_feed", "now", document_limit=1)
+    files.write_posts(placed.limit(0), none, "facebook_feed", "now", document_limit=1000)
+    assert stored.read_posts(spark, none, as_lines=False).count() == 0
     (tmp_path / "bare.json").write_text("{}")
-    assert stored.read_posts(spark, str(tmp_path / "bare.json")).count() == 0
+    assert stored.read_posts(spark, str(tmp_path / "bare.json"), as_lines=False).count() == 0
     with pytest.raises(Exception):
         stored.read_posts(spark, str(tmp_path / "absent.json")).count()
 
@@ -236,18 +301,22 @@ def test_posts_round_trip(spark, tmp_path):
 def test_ledger_round_trip(spark, tmp_path):
     rows = [("comment", "x", "t2", 2, False, "boom"), ("comment", "x", "t1", 1, True, None)]
     df = spark.createDataFrame(rows, schema.ACTION)
-    files.write_action_ledger(df, str(tmp_path / "l"), "start", 5, single_document=True)
+    files.write_action_ledger(df, str(tmp_path / "l"), "start", 5, document_limit=1000)
     doc = json.loads("".join(p.read_text() for p in (tmp_path / "l").glob("*.json")))
     assert doc["metadata"] == {"session_start": "start", "total_actions": 1, "daily_limit": 5}
     assert [a["action_number"] for a in doc["actions"]] == [1, 2]
-    assert stored.read_actions(spark, str(tmp_path / "l")).where("error = 'boom'").count() == 1
+    assert stored.read_actions(spark, str(tmp_path / "l"), as_lines=False).where("error = 'boom'").count() == 1
+    files.write_action_ledger(df, str(tmp_path / "m"), "start", 5)
+    assert sorted(map(tuple, stored.read_actions(spark, str(tmp_path / "m")).collect()), key=repr) == sorted(rows, key=repr)
 
 
 def test_readers(spark, tmp_path):
     os.makedirs(tmp_path / "pay")
     (tmp_path / "pay/milwaukee.json").write_text('{}&&{"payload":\n{"homes":[]}}')
     got = stored.read_payloads(spark, str(tmp_path / "pay")).first()
-    assert got["location_key"] == "milwaukee" and got["body"].endswith("}}")
+    assert got["location_key"] == "milwaukee" and got["payload_no"] == 0 and got["body"].endswith("}}")
+    (tmp_path / "pay/milwaukee.12.json").write_text("{}")
+    assert {r["payload_no"] for r in stored.read_payloads(spark, str(tmp_path / "pay")).collect()} == {0, 12}
     os.makedirs(tmp_path / "html")
     (tmp_path / "html/a.html").write_text("<p>x\n</p>")
     page = stored.read_page_files(spark, str(tmp_path / "html"), "detail", "milwaukee").first()
@@ -279,6 +348,7 @@ def test_streams(spark, tmp_path):
     stream = streams.file_stream(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
     streams.run_available(streams.stream_listings(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("location = 'milwaukee_wi' and url like 'https://milwaukee.craigslist.org/d/%'").count() == 19
     # A price of $0 is not valid.
     assert got.count() == got.select("url").distinct().count() == 19
 
