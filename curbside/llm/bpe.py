@@ -40,12 +40,12 @@ CUT = regex.compile(
 UNBROKEN = regex.compile(r"\p{L}+|\p{N}+")
 
 
-def _byte_of_char() -> dict[str, int]:
+def letter_of_byte() -> dict[int, str]:
     """Byte-level vocabularies write a byte as the character of its number if
     that is printable, else as the next free one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class TreeBpe:
@@ -54,7 +54,7 @@ class TreeBpe:
     def __init__(self, path: str, leaf_chars: int = LEAF_CHARS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        byte = _byte_of_char()
+        byte = {letter: b for b, letter in letter_of_byte().items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {
             bytes(byte[c] for c in token): number

@@ -13,17 +13,22 @@ padded to whole 64-bit words. Files are the cells of a Parquet table, one row
 each, so that they are written and read by any store that Spark reaches.
 """
 
+import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from curbside.llm.bpe import letter_of_byte
 from curbside.llm.common import small_batches, texts
 from curbside.session import cut_lineage, shared_dir
 
@@ -34,8 +39,9 @@ MAGIC = b"WVM1"
 RANGE_CHARS = 1 << 20
 #: A shard is closed when it has this many tokens; documents stay whole.
 SHARD_TOKENS = 1 << 18
-#: Words whose ids a worker keeps.
-KNOWN_WORDS = 600_000
+#: Words, and pieces of words, in one of the two generations that a worker keeps.
+KNOWN_WORDS = 150_000
+KNOWN_PIECES = 300_000
 
 
 # --- the matrix -------------------------------------------------------------
@@ -161,47 +167,122 @@ def from_file(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 # --- tokens -----------------------------------------------------------------
 
 
-class _Words(dict):
+# How the vocabulary's pattern splits a word in small letters, for
+# words of ASCII and of Latin letters with accents. Its first steps, composing
+# characters and making letters small, change such words as str.lower does.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
+PLAIN = re.compile(r"[\x21-\x7eÀ-ɏ]*")
+
+
+class _Memo:
+    """Two generations of known entries: when the younger is full it takes the
+    place of the older, and entries that come again move up. Rare ones fall
+    out, frequent ones stay, and the memory is bounded."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def move_up(self, keys) -> dict[str, bytes]:
+        old = self.old
+        return {k: old[k] for k in keys if k in old}
+
+    def add(self, entries: dict[str, bytes]) -> None:
+        if len(self.young) + len(entries) > self.keep:
+            self.young, self.old = {}, self.young
+        self.young.update(entries)
+
+
+class WordCoder:
     """Ids of words as bytes, by the tokenizers library. Its splitting pattern
     drops white space and cuts there, so that a text's ids are those of its
-    words one after another."""
+    words one after another; a word's ids are in turn those of the pieces that
+    the pattern makes of it. Words and pieces met before are remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = KNOWN_WORDS, pieces: int = KNOWN_PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.coder.no_truncation()
         self.coder.no_padding()
-
-    def add(self, words: list[str]) -> None:
-        if len(self) + len(words) > KNOWN_WORDS:
-            self.clear()
-        for word, coded in zip(words, self.coder.encode_batch_fast(words, add_special_tokens=False)):
-            self[word] = np.array(coded.ids, "<u2" if max(coded.ids, default=0) < 1 << 16 else "<u4").astype("<u2").tobytes()
+        self.model = self.coder.model
+        self.letter = letter_of_byte()
+        self.words, self.pieces = _Memo(words), _Memo(pieces)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece by the tokenizer's model alone: nothing is left to
+        compose, to make small or to split."""
+        letters = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
+        return array("H", [token.id for token in self.model.tokenize(letters)]).tobytes()
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        found = self.words.move_up(missing)
+        # Marks of the vocabulary's own, such as <|endoftext|>, are not split.
+        new, odd = {}, []
+        for w in missing:
+            if w in found:
+                continue
+            if PLAIN.fullmatch(w) and "<|" not in w:
+                new[w] = PIECE.findall(w.lower())
+            else:
+                odd.append(w)
+        for w, coded in zip(odd, self.coder.encode_batch_fast(odd, add_special_tokens=False)):
+            found[w] = array("H", coded.ids).tobytes()
+        known = self.pieces.young
+        unknown = {p for parts in new.values() for p in parts if p not in known}
+        fresh = self.pieces.move_up(unknown)
+        fresh |= {p: self._piece(p) for p in unknown if p not in fresh}
+        for word, parts in new.items():
+            found[word] = b"".join([fresh[p] if p in fresh else known[p] for p in parts])
+        self.pieces.add(fresh)
+        self.words.add(found)
+        return found
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Ids of each text, 16 bits each. Each word is looked up once; the
+        words of the batch that are not there yet are learnt together."""
+        get = self.words.young.get
+        words, coded, missing = [], [], set()
+        for text in batch:
+            own = text.replace("\n", " ").split(" ")
+            ids = list(map(get, own))
+            if None in ids:
+                missing.update([w for w, known in zip(own, ids) if known is None])
+            else:
+                own = None
+            words.append(own)
+            coded.append(ids)
+        found = self._learn(missing) if missing else {}
+        return [
+            b"".join(ids if own is None else [found[w] if known is None else known for w, known in zip(own, ids)])
+            for own, ids in zip(words, coded)
+        ]
 
 
-_WORDS: dict[str, _Words] = {}
+_CODERS: dict[str, WordCoder] = {}
+#: Characters of texts whose unknown words are learnt together.
+LEARN_CHARS = 2_000_000
 
 
 def _coded(path: str | None):
-    @F.arrow_udf("binary")
+    @F.arrow_udf(T.BinaryType())
     def code(text: pa.Array) -> pa.Array:
         """Ids of each text and the end id, 16 bits each."""
         place = path or public_tokenizers.path(VOCABULARY)
-        if place not in _WORDS:
-            _WORDS[place] = _Words(place)
-        known = _WORDS[place]
-        end, out = np.array([END_ID], "<u2").tobytes(), []
+        if place not in _CODERS:
+            _CODERS[place] = WordCoder(place)
+        coder = _CODERS[place]
+        end, out, group, size = np.array([END_ID], "<u2").tobytes(), [], [], 0
         for t in texts(text):
-            words = t.replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in known]
-            if new:
-                known.add(new)
-                missing = [w for w in set(words) if w not in known]
-                if missing:
-                    known.add(missing)
-            out.append(b"".join(map(known.__getitem__, words)) + end)
-        return pa.array(out, pa.binary())
+            group.append(t)
+            size += len(t)
+            if size > LEARN_CHARS:
+                out += coder.encode(group)
+                group, size = [], 0
+        out += coder.encode(group)
+        return pa.array([ids + end for ids in out], pa.binary())
 
     return code
 
@@ -242,15 +323,13 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, rang
     size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count("doc_id").alias("n")).first()
     parts = max(1, -(-(size["chars"] or 0) // range_chars))
     if parts > 1 and size["n"]:
-        steps = F.transform(F.sequence(F.lit(1), F.lit(int(parts) - 1)), lambda k: k / F.lit(float(parts)))
         cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * min(parts, 10_000)).alias("c")).first()["c"]
-        del steps
         cuts = sorted(set(cuts))
     else:
         cuts = []
     bounds = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
 
-    @F.arrow_udf("int")
+    @F.arrow_udf(T.IntegerType())
     def range_of(doc_id: pa.Array) -> pa.Array:
         found = np.searchsorted(bounds.value, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
         return pa.array(found.astype(np.int32))
