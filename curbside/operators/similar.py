@@ -7,15 +7,17 @@ transitive, so the outcome is that of going through the rows in order.
 How it stays parallel:
 
 * equal titles at one price collapse to the first, with partial aggregation;
-* pairs are looked for only inside *groups*. A price with few titles is one
-  group. A price with many is split by title fragments: if two titles differ
-  by fewer than ``d`` insertions and deletions, then of any ``d`` disjoint
-  chunks of the shorter one at least one is a fragment of the other, so the
-  rarest ``d`` chunks of each title find all its partners;
-* in a group only the first ``GROUP_LEADERS`` rows are compared with the rest,
-  so pairs grow with rows, not with their square. A row among the leaders of
-  all its groups can be decided now; the others wait for the next round,
-  by which time the kept leaders have removed what resembles them.
+* pairs are looked for only inside *groups*. If two titles differ by fewer than
+  ``d`` insertions and deletions, then of any ``d`` disjoint chunks of the
+  shorter one at least one is a fragment of the other, and stands there less
+  than ``d`` places away. A group is a fragment of a price within a band of
+  places, so titles that merely share a common phrase meet only where it stands
+  at the same place, and unlike titles hardly meet at all;
+* in a group the first ``leaders`` rows are compared with the rest, so a group
+  of near copies costs rows times leaders, not their square: its first row
+  removes the others. A row among the leaders of all its groups can be decided
+  now; the others wait for the next round, which has GROWTH times as many
+  leaders. Rounds follow the logarithm of the largest group of unlike titles.
 """
 
 from functools import reduce
@@ -24,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
+from curbside.functions.order import check_unique
 from curbside.functions.similarity import char_mask, with_similarity
 from curbside.operators.dedup import first_per
 from curbside.session import cut_lineage
 
 GROUP_LEADERS = 1000
+GROWTH = 4
 ROWS_PER_TASK = 50_000
-PAD = "\x01"
+#: Longest fragments, and places in one band.
+WIDTH, BAND = 4, 8
 
 
 def _distinct_titles(df: DataFrame) -> DataFrame:
@@ -42,19 +47,6 @@ def _distinct_titles(df: DataFrame) -> DataFrame:
     )
 
 
-def _facts(reps: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame | None]:
-    """Titles that share their price: those of prices with few titles, and
-    those of prices with many, if any."""
-    counts = (
-        reps.groupBy(F.col("p").alias("price")).agg(F.count("*").alias("rows")).where("rows > 1")
-    )
-    facts = reps.join(counts, F.col("p").eqNullSafe(F.col("price")))
-    few = facts.where(F.col("rows") <= leaders)
-    if counts.where(F.col("rows") > leaders).isEmpty():
-        return few, None
-    return few, facts.where(F.col("rows") > leaders)
-
-
 def _near(cutoff: int):
     """Cheap bounds on (a, b), a before b: by length and by character set."""
     room, total = F.lit(100 - cutoff), F.col("a.n") + F.col("b.n")
@@ -65,50 +57,36 @@ def _near(cutoff: int):
     )
 
 
-def _price_pairs(heads: DataFrame, rows: DataFrame, cutoff: int) -> DataFrame:
-    """Similar pairs inside prices with few titles."""
-    near = F.col("a.p").eqNullSafe(F.col("b.p")) & _near(cutoff)
-    pairs = heads.alias("a").join(rows.alias("b"), near).select(
-        F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"),
-        F.col("a.t").alias("ta"), F.col("b.t").alias("tb"),
-    )
-    return with_similarity(pairs, "ta", "tb", cutoff).select("a", "b")
+def _fragment_groups(reps: DataFrame, cutoff: int) -> DataFrame:
+    """(key, ordinal, role, n, mask) of every row in each of its groups.
+    ``role`` is true where the row offers the key as a chunk of its own; a pair
+    needs that on one side.
 
-
-def _fragment_groups(many: DataFrame, cutoff: int) -> DataFrame:
-    """(key, ordinal, role, n, mask) of every row in a fragment group that can
-    hold a pair. ``role`` is true where the row offers the key as a chunk of
-    its own; a pair needs that on one side."""
+    A title of n characters has chunks of ``w``, the longest up to WIDTH of
+    which it has ``d`` of them; every title has all its fragments of every such
+    length, each under the band of its place.
+    """
     room = 100 - cutoff
-    width = min(3, cutoff // (2 * room))
-    # Fragments of each title with their places; one per character, padded.
-    fragment = F.expr(
-        f"transform(sequence(1, n), i -> struct(xxhash64(p, substring(padded, i, {width})) as key, "
-        f"(i - 1) % {width} = 0 as chunk))"
-    )
-    spread = (
-        many.where("n > 0").withColumn("padded", F.concat("t", F.lit(PAD * (width - 1))))
-        .select("ordinal", "n", "mask", F.explode(fragment).alias("f"))
-        .groupBy("ordinal", F.col("f.key").alias("key"))
-        .agg(F.bool_or("f.chunk").alias("chunk"), F.first("n").alias("n"), F.first("mask").alias("mask"))
-    )
-    commonness = spread.groupBy("key").agg(F.count("*").alias("found")).where("found > 1")
-    # A chunk nobody else has finds no partner but counts as one of the rarest.
-    chunks = spread.where("chunk").join(commonness, "key", "left").select(
-        "ordinal", "key", "n", F.coalesce("found", F.lit(1)).alias("found")
-    )
-    needed = F.ceil(F.lit(2 * room) * F.col("n") / F.lit(cutoff))
-    ranked = F.expr("row_number() over (partition by ordinal order by found, key)")
-    own = (
-        chunks.withColumn("at", ranked).where(F.col("at") <= needed).where("found > 1")
-        .select("ordinal", "key")
-    )
-    offered = own.select("key").distinct()
-    return (
-        spread.join(offered, "key", "left_semi")
-        .join(own.withColumn("own", F.lit(True)), ["ordinal", "key"], "left")
-        .select("key", "ordinal", F.coalesce("own", F.lit(False)).alias("role"), "n", "mask")
+    d = f"cast(ceil({2 * room} * n / {cutoff}) as int)"
+    width = "coalesce(" + ", ".join(f"case when n div {w} >= {d} then {w} end" for w in range(WIDTH, 1, -1)) + ", 1)"
+    # With d = 1 no difference is allowed, and equal titles are one row by now.
+    titles = reps.where(f"{d} > 1").withColumns({"d": F.expr(d), "w": F.expr(width)})
+    own = titles.select(
+        "ordinal", "n", "mask",
+        F.explode(F.expr(
+            "flatten(transform(sequence(0, d - 1), c -> transform("
+            f"sequence(cast(floor((c * w - d + 1) / {BAND}) as int), cast(floor((c * w + d - 1) / {BAND}) as int)), "
+            "band -> xxhash64(p, w, substring(t, c * w + 1, w), band))))"
+        )).alias("key"),
+    ).distinct()
+    fragment = "flatten(transform(sequence(1, {0}), w -> transform(sequence(0, n - w), i -> xxhash64(p, w, substring(t, i + 1, w), cast(floor(i / {1}) as int)))))"
+    any_place = titles.select(
+        "ordinal", "n", "mask", F.explode(F.array_distinct(F.expr(fragment.format(f"least(n, {WIDTH})", BAND)))).alias("key")
     )
+    owned = own.select("key").distinct()
+    return own.withColumn("role", F.lit(True)).unionByName(
+        any_place.join(owned, "key", "left_semi").withColumn("role", F.lit(False))
+    ).groupBy("key", "ordinal").agg(F.bool_or("role").alias("role"), F.first("n").alias("n"), F.first("mask").alias("mask"))
 
 
 def _live(groups: DataFrame) -> DataFrame:
@@ -163,10 +141,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _gone(reps: DataFrame, few: DataFrame, groups: DataFrame | None, cutoff: int, leaders: int):
+def _gone(reps: DataFrame, groups: DataFrame, cutoff: int, leaders: int) -> DataFrame:
     """Ordinals that an earlier kept row makes redundant."""
-    gone, _ = _settle(_price_pairs(few, few, cutoff), None)
-    while groups is not None:
+    gone = []
+    while True:
         groups = _live(groups)
         heads = cut_lineage(first_per(groups, ["key"], ["ordinal"], leaders))
         waiting = cut_lineage(
@@ -175,8 +153,6 @@ def _gone(reps: DataFrame, few: DataFrame, groups: DataFrame | None, cutoff: int
         )
         out, undecided = _settle(_fragment_pairs(heads, groups, reps, cutoff), waiting)
         gone += out
-        if len(gone) > 16:
-            gone = [cut_lineage(_union(gone))]
         if waiting.isEmpty():
             break
         unsure = waiting.unionByName(undecided.select(F.col("b").alias("ordinal"))).distinct()
@@ -185,15 +161,15 @@ def _gone(reps: DataFrame, few: DataFrame, groups: DataFrame | None, cutoff: int
         groups = cut_lineage(groups.join(unsure, "ordinal", "left_semi"))
         if groups.isEmpty():
             break
+        leaders *= GROWTH
     return _union(gone) if gone else reps.select("ordinal").limit(0)
 
 
-def _prepare(df: DataFrame, cutoff: int, leaders: int):
+def _prepare(df: DataFrame, cutoff: int):
     if not 67 <= cutoff < 100:
         raise ValueError("cutoff is from 67 to 99")
-    reps = cut_lineage(_distinct_titles(df))
-    few, many = _facts(reps, leaders)
-    return reps, few, None if many is None else cut_lineage(_fragment_groups(many, cutoff))
+    reps = cut_lineage(_distinct_titles(check_unique(df)))
+    return reps, cut_lineage(_fragment_groups(reps, cutoff))
 
 
 def similar_pairs(
@@ -201,29 +177,23 @@ def similar_pairs(
 ) -> DataFrame:
     """Each row that goes as a near duplicate, ``b``, with the first kept row
     it resembles, ``a``. Equal titles at one price count as one row."""
-    reps, few, groups = _prepare(df, cutoff, leaders)
-    gone = cut_lineage(_gone(reps, few, groups, cutoff, leaders))
-
-    def split(rows):
-        return rows.join(gone, "ordinal", "left_anti"), rows.join(gone, "ordinal", "left_semi")
-
-    pairs = [_price_pairs(*split(few), cutoff)]
-    if groups is not None:
-        pairs.append(_fragment_pairs(*split(_live(groups)), reps, cutoff))
-    return _union(pairs).groupBy("b").agg(F.min("a").alias("a"))
+    reps, groups = _prepare(df, cutoff)
+    gone = cut_lineage(_gone(reps, groups, cutoff, leaders))
+    live = _live(groups)
+    kept, dropped = live.join(gone, "ordinal", "left_anti"), live.join(gone, "ordinal", "left_semi")
+    return _fragment_pairs(kept, dropped, reps, cutoff).groupBy("b").agg(F.min("a").alias("a"))
 
 
 def dedup_similar(
     df: DataFrame, mode: str = "fuzzy", cutoff: int = fv.SIMILAR_CUTOFF, leaders: int = GROUP_LEADERS
 ) -> DataFrame:
     """Keep the rows that resemble no earlier kept row. ``exact`` mode takes
-    only equal titles for similar."""
+    only equal titles for similar. Ordinals have to be unique."""
     if mode == "exact":
         keyed = df.withColumn("_t", F.coalesce("title", F.lit("")))
         return first_per(keyed, ["_t", "raw_price"], ["ordinal"]).drop("_t")
     if mode != "fuzzy":
         raise ValueError("mode is fuzzy or exact")
-    reps, few, groups = _prepare(df, cutoff, leaders)
-    gone = _gone(reps, few, groups, cutoff, leaders)
-    kept = reps.join(gone, "ordinal", "left_anti").select("ordinal")
+    reps, groups = _prepare(df, cutoff)
+    kept = reps.join(_gone(reps, groups, cutoff, leaders), "ordinal", "left_anti").select("ordinal")
     return df.join(kept, "ordinal", "left_semi")

@@ -10,6 +10,8 @@ from curbside.plans.queries import REGISTRY
 from harness import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
+# Of the smallest tables no row gets into these results.
+MAY_BE_EMPTY = {"dedup_similar_fuzzy_pairs"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
@@ -21,7 +23,7 @@ def con():
 @pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, con, name):
     problem = compare(spark, con, name, REGISTRY[name], ORACLE.get(name), FOLDER)
-    assert problem is None or problem.endswith("both empty"), problem
+    assert problem is None or name in MAY_BE_EMPTY and problem.endswith("both empty"), problem
 
 
 def test_every_query_has_sql():

@@ -95,6 +95,26 @@ def test_one_large_price_of_copies_and_of_strangers(spark, monkeypatch):
     assert {r["ordinal"] for r in got.collect()} == greedy(rows)[0]
 
 
+def test_rounds_do_not_follow_the_rows(spark, monkeypatch):
+    """Unlike titles of one price: as many checkpoints for more of them."""
+    rng = random.Random(2)
+    counts = []
+    for size in (100, 400, 1600):
+        rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(30)), None) for i in range(size)]
+        made = []
+        cut = similar.cut_lineage
+        monkeypatch.setattr(similar, "cut_lineage", lambda df: made.append(1) or cut(df))
+        assert similar.dedup_similar(frame(spark, rows)).count() == size
+        monkeypatch.setattr(similar, "cut_lineage", cut)
+        counts.append(len(made))
+    assert len(set(counts)) == 1
+
+
+def test_equal_ordinals_are_an_error(spark):
+    with pytest.raises(ValueError, match="unique"):
+        similar.dedup_similar(frame(spark, [(1, "a title", "$1"), (1, "another", "$1")]))
+
+
 def test_fixed_cases(spark):
     a = "a" * 20
     rows = [
