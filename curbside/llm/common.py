@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from curbside.session import ship_package
+
 #: Bytes of an Arrow batch handed to Python: long texts then cannot pile up.
 BATCH_BYTES = 8 << 20
 
@@ -12,7 +14,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds what a Python task holds at once, by rows and by bytes."""
+    """Bounds what a Python task holds at once, by rows and by bytes, and sees
+    to it that the workers have this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

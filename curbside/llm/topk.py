@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from curbside.session import cut_lineage
+from curbside.session import cut_lineage, ship_package
 
 SCALE = 64
 K = 20
@@ -178,6 +178,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     no part. A repeated row is a candidate each time; as a query its vec_id
     counts once, with its smallest vector. No vectors give no rows.
     """
+    ship_package(vectors.sparkSession)
     usable = vectors.select("vec_id", whole_numbers().alias("v")).where("vec_id is not null and v is not null")
     usable = cut_lineage(usable.select("vec_id", "v", F.monotonically_increasing_id().alias("nth")))
     asking = usable.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"), F.min("nth").alias("nth"))
