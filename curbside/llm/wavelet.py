@@ -184,14 +184,9 @@ class _Memo:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def move_up(self, keys) -> dict[str, bytes]:
-        old = self.old
-        return {k: old[k] for k in keys if k in old}
-
-    def add(self, entries: dict[str, bytes]) -> None:
-        if len(self.young) + len(entries) > self.keep:
+    def turn(self) -> None:
+        if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
-        self.young.update(entries)
 
 
 class WordCoder:
@@ -218,47 +213,52 @@ class WordCoder:
         return array("H", [token.id for token in self.model.tokenize(letters)]).tobytes()
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        found = self.words.move_up(missing)
-        # Marks of the vocabulary's own, such as <|endoftext|>, are not split.
-        new, odd = {}, []
-        for w in missing:
-            if w in found:
-                continue
-            if PLAIN.fullmatch(w) and "<|" not in w:
-                new[w] = PIECE.findall(w.lower())
-            else:
-                odd.append(w)
-        for w, coded in zip(odd, self.coder.encode_batch_fast(odd, add_special_tokens=False)):
-            found[w] = array("H", coded.ids).tobytes()
-        known = self.pieces.young
-        unknown = {p for parts in new.values() for p in parts if p not in known}
-        fresh = self.pieces.move_up(unknown)
-        fresh |= {p: self._piece(p) for p in unknown if p not in fresh}
-        for word, parts in new.items():
-            found[word] = b"".join([fresh[p] if p in fresh else known[p] for p in parts])
-        self.pieces.add(fresh)
-        self.words.add(found)
-        return found
+        """The words ``missing`` in the younger generation, with their ids."""
+        young, old = self.words.young, self.words.old
+        pieces, earlier = self.pieces.young, self.pieces.old
+        odd = []
+        for word in missing:
+            ids = old.get(word)
+            if ids is None:
+                # Marks of the vocabulary's own, such as <|endoftext|>, are not split.
+                if not PLAIN.fullmatch(word) or "<|" in word:
+                    odd.append(word)
+                    continue
+                parts = []
+                for piece in PIECE.findall(word.lower()):
+                    own = pieces.get(piece)
+                    if own is None:
+                        own = earlier.get(piece)
+                        if own is None:
+                            own = self._piece(piece)
+                        pieces[piece] = own
+                    parts.append(own)
+                ids = parts[0] if len(parts) == 1 else b"".join(parts)
+            young[word] = ids
+        for word, coded in zip(odd, self.coder.encode_batch_fast(odd, add_special_tokens=False)):
+            young[word] = array("H", coded.ids).tobytes()
+        return young
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, 16 bits each. Each word is looked up once; the
         words of the batch that are not there yet are learnt together."""
+        self.words.turn()
+        self.pieces.turn()
         get = self.words.young.get
-        words, coded, missing = [], [], set()
+        coded, open_places, missing = [], [], set()
         for text in batch:
             own = text.replace("\n", " ").split(" ")
             ids = list(map(get, own))
             if None in ids:
-                missing.update([w for w, known in zip(own, ids) if known is None])
-            else:
-                own = None
-            words.append(own)
+                places = [(k, own[k]) for k, known in enumerate(ids) if known is None]
+                missing.update([word for _, word in places])
+                open_places.append((ids, places))
             coded.append(ids)
-        found = self._learn(missing) if missing else {}
-        return [
-            b"".join(ids if own is None else [found[w] if known is None else known for w, known in zip(own, ids)])
-            for own, ids in zip(words, coded)
-        ]
+        known = self._learn(missing)
+        for ids, places in open_places:
+            for k, word in places:
+                ids[k] = known[word]
+        return list(map(b"".join, coded))
 
 
 _CODERS: dict[str, WordCoder] = {}
