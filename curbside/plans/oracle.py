@@ -186,8 +186,8 @@ measured as (
      range(1, j + 1), lambda i: greatest(before[i], hit[i] * (1 + coalesce(before[i - 1], 0))))))::int[],
    list_transform(string_split(tb, ''), lambda d: 0::int))[-1] as lcs
  from candidates),
-edges as (select a, b from measured where 20 * lcs > 9 * t),
-rivals as (select b, list(a) as before, row_number() over (order by b) as k from edges group by b),
+edges as materialized (select a, b from measured where 20 * lcs > 9 * t),
+rivals as materialized (select b, list(a) as before, row_number() over (order by b) as k from edges group by b),
 walk(k, gone) as (
  select 0::bigint, []::bigint[]
  union all

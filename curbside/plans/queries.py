@@ -670,7 +670,7 @@ def stream_quota(spark, folder):
     """The attempts arrive in four parts, in order of time; the stream goes on
     from its checkpoint after each."""
     run = _run_dir(spark)
-    attempts = derived.attempts(spark, folder).withColumn("_at", F.unix_micros("ts"))
+    attempts = derived.attempts(spark, folder).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
     cuts = attempts.agg(F.percentile_approx("_at", [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
