@@ -70,6 +70,23 @@ def test_home_variants(spark):
     assert by[12]["raw_price"] == "$25,000,000.0"
 
 
+def test_what_says_nothing(spark):
+    """Empty texts, lists and objects count as missing; the text "0" and the
+    text "1" are no numbers."""
+    got = normal(
+        spark, without(price={"value": ""}), without(price={"value": []}), without(sqFt={"value": ""}), without(lotSize={"value": {}}),
+        without(listingId="0"), without(propertyType="1"), without(listingId=0), without(propertyType=1.0), without(price={"value": "7"}),
+        without(sqFt={"value": [1]}), without(hoa={"value": ""}, dom={"value": False}),
+    )
+    by = {r["ordinal"]: r for r in got}
+    assert sorted(by) == [0, 1, 2, 3, 4, 5, 6, 7, 10]
+    assert by[0]["raw_price"] is None and by[1]["raw_price"] is None
+    assert by[2]["raw_housing_info"] == "3br - ft2 - house" and "Lot:" not in by[3]["description"]
+    assert by[4]["listing_id"] == "0" and by[6]["listing_id"] is None
+    assert by[5]["property_type"] == "1" and by[7]["property_type"] == "house"
+    assert "HOA" not in by[10]["description"] and "days on market" not in by[10]["description"]
+
+
 def test_payload_baths(spark):
     assert normal(spark, FULL, payload_baths=True)[0]["raw_housing_info"] == "3br / 1.5ba - 1500ft2 - house"
 

@@ -13,6 +13,11 @@ def apply(spark, fn, values):
     return [r[1] for r in df.select("i", fn(F.col("v"))).orderBy("i").collect()]
 
 
+def _of_number(fn):
+    """A function of a part and its kind, for parts that are numbers."""
+    return lambda c: fn(c, F.when(c.isNotNull(), "DOUBLE"))
+
+
 CASES = [
     (text.clean_price, {"$150K": 150.0, "$1.2.3": None, ".": None, "1.": 1.0, "-5": 5.0,
                         "$100,000 - $150,000": 100000150000.0, "": None, None: None, "call": None}),
@@ -39,9 +44,9 @@ CASES = [
     (urls.absolute_post_url, {"/a": "https://www.facebook.com/a", "https://x/y": "https://x/y", "": "", None: None}),
     (payload.strip_json_prefix, {"{}&&[1]": "[1]", "a&&b&&c": "b&&c", "[1]": "[1]", "a\n&&b": "a\n&&b",
                                  "a b&&c": "c"}),
-    (payload.money, {"150000": "$150,000", "0": None, "0.0": None, None: None, "1234.5": "$1,234.5", "999": "$999",
+    (_of_number(payload.money), {"150000": "$150,000", "0": None, "0.0": None, None: None, "1234.5": "$1,234.5", "999": "$999",
                      "1.5E7": "$15,000,000.0"}),
-    (payload.payload_type, {"1": "house", "4": "multi-family", "9": "9", "0": None, None: None}),
+    (_of_number(payload.payload_type), {"1": "house", "4": "multi-family", "9": "9", "0": None, None: None}),
     (payload.number_text, {"3.0": "3.0", "3": "3", "1.0E7": "10000000.0", None: None}),
     (payload.payload_url, {"/h/1": "https://www.redfin.com/h/1", "": "", None: ""}),
 ]
