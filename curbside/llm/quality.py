@@ -21,6 +21,8 @@ from curbside.llm.common import small_batches, texts
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 4096
 SIZE = 64
+#: Inputs of the network: the mean vector, its length, the share of repeats.
+FEATURES = SIZE + 2
 #: Entries of an index vector that are not zero, half of them negative.
 SPARSE = 8
 #: Tokens on either side whose index vectors are added.
@@ -107,13 +109,18 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(batch: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean vector of each text; zeros for a text without tokens."""
-    counts = np.zeros((len(batch), BUCKETS))
+    """Mean vector of each text with its length, and the share of tokens that
+    repeat the one before: a text of a few words said over and over has a long
+    mean, which a small network does not see. Zeros for a text without tokens.
+    """
+    counts, repeats = np.zeros((len(batch), BUCKETS)), np.zeros((len(batch), 1))
     for k, text in enumerate(batch):
         w = buckets_of(text)
         if len(w):
             counts[k] = np.bincount(w, minlength=BUCKETS) / len(w)
-    return counts @ vectors
+            repeats[k] = np.count_nonzero(w[1:] == w[:-1]) / len(w)
+    mean = counts @ vectors
+    return np.hstack([mean, np.linalg.norm(mean, axis=1, keepdims=True), repeats])
 
 
 @dataclass
@@ -217,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([r["x"] for r in rows]).reshape(len(rows), SIZE)
+    x = np.array([r["x"] for r in rows]).reshape(len(rows), FEATURES)
     y = np.array([int(r["quality"] > 0) for r in rows], dtype=int)
     return vectors, fit(x, y, np.array([r["calibrate"] for r in rows], dtype=bool))
 
