@@ -57,14 +57,29 @@ def _near(cutoff: int):
     )
 
 
+LONGEST = 2000
+
+
+def _widths(cutoff: int) -> list[tuple[int, int, int]]:
+    """(width, least, most): lengths of titles that need fragments of a width,
+    as titles that have such chunks or as their longer partners. Beyond LONGEST
+    characters all widths are taken."""
+    room, found = 100 - cutoff, {}
+    for n in range(1, LONGEST + 1):
+        d = -(-2 * room * n // cutoff)
+        found.setdefault(next((w for w in range(WIDTH, 1, -1) if n // w >= d), 1), []).append(n)
+    reach = (100 + room) / (100 - room)
+    return [(w, ns[0], 1 << 30 if ns[-1] * reach >= LONGEST else int(ns[-1] * reach) + 1) for w, ns in found.items()]
+
+
 def _fragment_groups(reps: DataFrame, cutoff: int) -> DataFrame:
     """(key, ordinal, role, n, mask) of every row in each of its groups.
     ``role`` is true where the row offers the key as a chunk of its own; a pair
     needs that on one side.
 
     A title of n characters has chunks of ``w``, the longest up to WIDTH of
-    which it has ``d`` of them; every title has all its fragments of every such
-    length, each under the band of its place.
+    which it has ``d`` of them; every title has all its fragments of every width
+    that its partners may use, each under the band of its place.
     """
     room = 100 - cutoff
     d = f"cast(ceil({2 * room} * n / {cutoff}) as int)"
@@ -78,11 +93,15 @@ def _fragment_groups(reps: DataFrame, cutoff: int) -> DataFrame:
             f"sequence(cast(floor((c * w - d + 1) / {BAND}) as int), cast(floor((c * w + d - 1) / {BAND}) as int)), "
             "band -> xxhash64(p, w, substring(t, c * w + 1, w), band))))"
         )).alias("key"),
-    ).distinct()
-    fragment = "flatten(transform(sequence(1, {0}), w -> transform(sequence(0, n - w), i -> xxhash64(p, w, substring(t, i + 1, w), cast(floor(i / {1}) as int)))))"
-    any_place = titles.select(
-        "ordinal", "n", "mask", F.explode(F.array_distinct(F.expr(fragment.format(f"least(n, {WIDTH})", BAND)))).alias("key")
     )
+    used = ", ".join(
+        f"case when n > {LONGEST} or n between {low} and {high} then {w} end" for w, low, high in _widths(cutoff)
+    )
+    fragments = (
+        f"flatten(transform(array_compact(array({used})), w -> transform(sequence(0, n - w), "
+        f"i -> xxhash64(p, w, substring(t, i + 1, w), cast(floor(i / {BAND}) as int)))))"
+    )
+    any_place = titles.select("ordinal", "n", "mask", F.explode(F.expr(fragments)).alias("key"))
     owned = own.select("key").distinct()
     return own.withColumn("role", F.lit(True)).unionByName(
         any_place.join(owned, "key", "left_semi").withColumn("role", F.lit(False))
