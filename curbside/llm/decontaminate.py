@@ -29,7 +29,8 @@ K1, B = 1.2, 0.75
 #: Least share of a segment's own score that is retrieved.
 RETRIEVED = 0.5
 SHINGLE = 5
-#: Least share of the shingles of the question, and of the answer.
+#: Least share of the shingles of the question, and of the answer, which are both
+#: the item as a whole where nothing tells them apart.
 OVERLAP = 0.8
 #: Segments in a block of the index.
 BLOCK = 8
@@ -49,12 +50,9 @@ def segments_of(words: list[str]) -> list[list[str]]:
 
 
 def question_answer(words: list[str]) -> tuple[list[str], list[str]]:
-    """The last quarter of an item's words, a shingle at least, is its answer,
-    what comes before its question; a short item is both as a whole."""
-    if len(words) < 2 * SHINGLE:
-        return words, words
-    answer = max(SHINGLE, len(words) // 4)
-    return words[:-answer], words[-answer:]
+    """Both are the item as a whole: its text alone does not tell where an answer
+    begins. OVERLAP of the whole cannot be reached without a part of its end."""
+    return words, words
 
 
 def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
@@ -78,10 +76,9 @@ class ItemIndex:
             words = words_of(text)
             if not words:
                 continue
-            sides = []
-            for side in question_answer(words):
-                size = min(SHINGLE, len(side))
-                sides.append((size, shingles(side, size)))
+            question, answer = question_answer(words)
+            sides = [self._side(question)]
+            sides.append(sides[0] if answer == question else self._side(answer))
             self.parts.setdefault(item, []).append(sides)
             for piece in segments_of(words):
                 weights = {}
@@ -109,6 +106,11 @@ class ItemIndex:
         self.block, self.block_max, self.block_first = self._rows(blocks)
         self.blocks = -(-len(rows) // BLOCK)
 
+    @staticmethod
+    def _side(words):
+        size = min(SHINGLE, len(words))
+        return size, shingles(words, size)
+
     @staticmethod
     def _rows(lists):
         first = np.cumsum([0] + [len(p) for p in lists])
@@ -247,8 +249,9 @@ def contaminated(docs: DataFrame, items: DataFrame, part_chars: int = PART_CHARS
     found in a row of ``docs``; rows that hold none give no row.
 
     An item counts as found if a window reaches RETRIEVED of a segment's BM25
-    score and the document holds OVERLAP of the five-word shingles of both the
-    question and the answer (of shorter ones: their whole sequence). Null and
+    score and the document holds OVERLAP of the five-word shingles of the item as
+    a whole (of shorter ones: their whole sequence); this share is in both overlap
+    columns, since an item's text does not tell question and answer apart. Null and
     empty texts hold nothing; repeated rows give their rows each; items that
     share an item_id count as one, by their best match.
     """

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from llm_cases import ODD, documents
 
 from curbside.llm import decontaminate, quality
@@ -160,6 +161,23 @@ def test_retrieval_is_exact_above_the_threshold():
         assert got.keys() == best.keys() and np.allclose([got[k] for k in best], list(best.values()))
 
 
+@pytest.mark.parametrize("length", [20, 37, 59, 130])
+def test_items_with_one_changed_word(spark, length):
+    """Found wherever the word is, if 0.8 of all shingles are left."""
+    item = [f"w{k}" for k in range(length)]
+    rows = [(k, " ".join(["before", *item[:k], "changed", *item[k + 1 :], "after"])) for k in range(length)]
+    rows.append((length, " ".join(item[: length * 3 // 4])))
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    wanted = length - 4
+    lost = [min(k, length - 5) - max(0, k - 4) + 1 for k in range(length)]
+    expected = {k for k in range(length) if (wanted - lost[k]) / wanted >= 0.8}
+    assert expected == set(range(length)) or length < 29
+    found = decontaminate.contaminated(documents(spark, rows), table).collect()
+    assert {r["doc_id"] for r in found} == expected and len(found) == len(expected)
+    kept = decontaminate.without_benchmarks(documents(spark, rows), table)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(length + 1)) - expected
+
+
 def test_odd_passages(spark):
     items = [(1, "one"), (2, None), (None, "word word"), (3, ""), (4, "same id another text"), (4, "a text without an id"), (5, "...")]
     table = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as words", "2 as part")
