@@ -6,6 +6,7 @@ each class of characters with its own threshold; counts are kept up to date as
 the window moves. An allow-list takes back what is known to be harmless.
 """
 
+import bisect
 import hashlib
 import math
 import re
@@ -107,23 +108,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _joined(spans) -> list[list[int]]:
+    """Unions of (begin, end) in order, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the entropy scan, without what ``known`` covers."""
+    """(start, kind, end) of the entropy scan, without those that lie wholly
+    inside the union of ``known``, which is in order."""
     spans = []
+    covered = _joined((s, e) for s, _, e in known)
     for m in CANDIDATE.finditer(text):
         string = m.group()
         if string.isalpha() or string.isdigit() or allowed(text, m.start(), m.end()):
             continue
-        hot = sorted(w for letters, least in CLASSES for w in hot_windows(string, letters, least))
-        merged: list[list[int]] = []
-        for a, b in hot:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
+        for a, b in _joined(sorted(w for letters, least in CLASSES for w in hot_windows(string, letters, least))):
             begin, end = m.start() + a, m.start() + b
-            if not any(s < end and begin < e for s, _, e in known):
+            at = bisect.bisect_right(covered, begin, key=lambda c: c[0]) - 1
+            if at < 0 or covered[at][1] < end:
                 spans.append((begin, 3, end))
     return spans
 

@@ -80,6 +80,30 @@ def test_allow_list_and_words():
     assert secret_spans.redact("a token = '0123456789abcdef0123' b") == "a [secret]' b"
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def random_keys(seed, n, size):
+    """Keys of a few digits each: by chance alone, some have hardly any."""
+    rng = random.Random(seed)
+    for _ in range(n):
+        yield "".join(rng.choice(LETTERS) + rng.choice("0123456789" if k % 4 == 3 else LETTERS) for k in range(size // 2))
+
+
+@pytest.mark.parametrize("first", ["AKIA" + "A1B2C3D4E5F6G7H8", "9f3c0b7d2a8e6145"])
+def test_pairs_of_id_and_secret(first):
+    """What is found of a key by itself is found behind an id as well."""
+    for key in random_keys(3, 200, 40):
+        alone = {p for a, _, b in secret_spans.entropy_spans(key, []) for p in range(a, b)}
+        assert len(alone) >= secret_spans.WINDOW
+        for mark in "/-_":
+            text = f"k {first}{mark}{key} e"
+            base, spans = secret_spans.find_secrets(text)
+            assert base and alone <= {p - 3 - len(first) for a, kind, b in spans if kind == 3 for p in range(a, b)}
+            assert secret_spans.redact(text).startswith("k [secret]") and key[min(alone) : max(alone) + 1] not in secret_spans.redact(text)
+    assert secret_spans.entropy_spans("k aZ3bY4cX5dW6eV7fU8gT9h e", [(0, 0, 12), (12, 1, 30)]) == []
+
+
 def test_secret_rows(spark):
     rows = ODD + [(20, 'x password: "abcdefghijkl" é 0123456789abcdef'), (21, "AKIA" + "A" * 14)]
     docs = documents(spark, rows).selectExpr("*", "1 as r", "2 as spans")
