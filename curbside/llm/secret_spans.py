@@ -44,13 +44,21 @@ CLASSES = (
 )
 #: Digits, and letters, that a window must have: words and numbers are neither.
 LEAST_OF_EACH = 2
-#: Harmless strings: identifiers with a fixed form, samples from manuals, links.
+#: Harmless as a whole: identifiers with a fixed form.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r".*(example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh)", re.I | re.S),
     re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}"),
 )
-LINK = re.compile(r"(https?:)?//[^\s]*\Z|www\.[^\s]*\Z", re.I)
+#: Samples from manuals: the letters and digits joined to such a word, on each
+#: side up to the length of a key, are no part of a hot window.
+SAMPLE = re.compile(
+    r"[A-Za-z0-9]{0,40}(?:example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh)[A-Za-z0-9]{0,40}", re.I | re.A
+)
+#: What ends a link, and what begins one.
+LINK_END = re.compile(r"""[\s"'`,()\[\]{}<>|\\^]|(?<!&amp);""")
+LINK = re.compile(r"//|www\.", re.I)
+#: Before an @, the rest of the user and password of a link.
+USER_REST = re.compile(r"""[^\s/?#@"'`,()\[\]{}<>|\\^]*@""")
 #: Characters before a string that are looked at for the start of a link.
 LINK_CHARS = 2048
 
@@ -90,11 +98,20 @@ def hot_windows(string: str, letters: frozenset, least: float) -> list[tuple[int
 
 
 def allowed(text: str, begin: int, end: int) -> bool:
-    """Whether the allow-list covers the candidate at ``begin`` to ``end``."""
-    string = text[begin:end]
-    if any(rule.fullmatch(string) for rule in ALLOWED[::2]) or ALLOWED[1].match(string):
+    """Whether the allow-list covers the candidate at ``begin`` to ``end`` as a
+    whole: by its form, or as a part of a link other than user and password."""
+    if any(rule.fullmatch(text, begin, end) for rule in ALLOWED):
         return True
-    return bool(LINK.search(text, max(0, begin - LINK_CHARS), begin))
+    before = LINK_END.split(text[max(0, begin - LINK_CHARS) : begin])[-1]
+    links = list(LINK.finditer(before))
+    if not links:
+        return False
+    inside = before[links[-1].end() :]
+    in_authority = links[-1].group() == "//" and not any(c in inside for c in "/?#")
+    head, slash, _ = text[begin:end].partition("/")
+    if slash and (":" not in inside or head.isdigit()):  # a host or port, then the path
+        in_authority = False
+    return not (in_authority and USER_REST.match(text, end))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -128,6 +145,7 @@ def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
         string = m.group()
         if string.isalpha() or string.isdigit() or allowed(text, m.start(), m.end()):
             continue
+        string = SAMPLE.sub(lambda s: "." * len(s.group()), string)
         for a, b in _joined(sorted(w for letters, least in CLASSES for w in hot_windows(string, letters, least))):
             begin, end = m.start() + a, m.start() + b
             at = bisect.bisect_right(covered, begin, key=lambda c: c[0]) - 1

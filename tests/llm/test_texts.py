@@ -104,6 +104,24 @@ def test_pairs_of_id_and_secret(first):
     assert secret_spans.entropy_spans("k aZ3bY4cX5dW6eV7fU8gT9h e", [(0, 0, 12), (12, 1, 30)]) == []
 
 
+def test_allow_list_ends():
+    """Neither a link nor a sample word nearby hides a key."""
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCY9zQ2"
+    for text in (
+        '{"url":"https://a.b/c","k":"%s"}', "u='//a.b/c',k='%s'", "www.a.b/c,%s", "f(https://a.b/c)[%s]", "<a href=//a.b/c>%s</a>",
+        "https://a.b/c;k:%s", "https://user:%s@host.test/a", "https://%s@host.test", "https://user:a/%s@host.test", "https://user:%s.more@host.test/a?b",
+        "example_service_key=%s", "sample-%s", "%s_dummy", "xxxx/%s", "0123456789=%s", "abcdefgh+%s", "x" * 500 + "-%s",
+    ):
+        spans = secret_spans.entropy_spans(text % key, [])
+        at = text.index("%s")
+        assert any(a <= at + 2 and b >= at + 30 for a, _, b in spans), text
+        assert key not in secret_spans.redact(text % key)
+    for harmless in (
+        "https://a.b/c?d=1&amp;e=%s", "http://www.a.b/@me/%s", "www.a.b/%s", "https://a.b/x/%s@y", "https://a.b:80/x/%s@y", "%sExample",
+    ):
+        assert secret_spans.entropy_spans(harmless % key, []) == [], harmless
+
+
 def test_secret_rows(spark):
     rows = ODD + [(20, 'x password: "abcdefghijkl" é 0123456789abcdef'), (21, "AKIA" + "A" * 14)]
     docs = documents(spark, rows).selectExpr("*", "1 as r", "2 as spans")
