@@ -1,14 +1,16 @@
 """Licence notices in texts, by the Dice coefficient over word bigrams.
 
-A text is cut into sentences and lines. Neighbouring ones that have at least
-half of their bigrams from a template form a segment for it, which is compared
-with the template unless the numbers of their bigrams already rule out the
-least coefficient.
+A text is cut into sentences and lines. Every stretch of them is a segment, list
+numbers, stray lines and all; it is compared with a template unless the numbers
+of their bigrams already rule out the least coefficient. Stretches are taken best
+first, by what their bigrams allow at most, so that few are compared in full.
 """
 
+import heapq
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,6 @@ WORD = re.compile(r"\w+")
 UNIT_END = re.compile(r"\n+|(?<=[.!?;:])\s+")
 #: Least Dice coefficient of a match.
 DICE = 0.8
-#: Least share of a unit's bigrams that are the template's.
-SHARED = 0.5
 
 
 def bigrams(words: list[str]) -> Counter:
@@ -38,82 +38,101 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Templates:
-    """Templates as bigrams, with bounds on the size of a match, and words of
-    which every match of the template must hold one."""
+    """Templates as bigrams, and the templates of each bigram."""
 
     def __init__(self, templates: dict[str, list[str]], least: float = DICE):
         self.least = least
         self.rows = []
-        keys = set()
+        self.of = defaultdict(list)
         for name, notices in templates.items():
             for notice in notices:
-                words = normalised(notice)
-                if not words:
+                grams = bigrams(normalised(notice))
+                if not grams:
                     continue
-                grams = bigrams(words)
-                size = grams.total()
-                self.rows.append((name, grams, size * least / (2 - least), size * (2 - least) / least))
-                keys |= self._keys(grams, size)
-        self.keys = sorted(keys, key=len, reverse=True)
-
-    def _keys(self, grams: Counter, size: int) -> set[str]:
-        """Long words, enough of them that a text without any lacks more of
-        the template's bigrams than a match may: it shares at least
-        size * least / (2 - least) of them."""
-        chosen: set[str] = set()
-        for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
-            chosen.add(word)
-            held = sum(n for g, n in grams.items() if chosen & set(g))
-            if size - held < size * self.least / (2 - self.least) - 1e-9:
-                break
-        return chosen
+                for gram, n in grams.items():
+                    self.of[gram].append((len(self.rows), n))
+                self.rows.append((name, grams, grams.total()))
+        self.of = dict(self.of)
+        self.single = any(len(g) == 1 for g in self.of)
+
+    def _possible(self, words: list[str]) -> list[int]:
+        """Templates of which the text as a whole holds enough bigrams: a match
+        shares at least size * least / (2 - least) of them."""
+        held = Counter(filter(self.of.__contains__, zip(words, words[1:])))
+        if self.single:
+            held.update(g for g in zip(words) if g in self.of)
+        shared: Counter = Counter()
+        for gram, n in held.items():
+            for row, wanted in self.of[gram]:
+                shared[row] += min(n, wanted)
+        return [k for k, n in shared.items() if n >= self.rows[k][2] * self.least / (2 - self.least) - 1e-9]
 
     def matches(self, text: str) -> list[tuple]:
-        """(first word, last word + 1, name, coefficient) of every segment."""
-        low = text.lower()
-        if not any(key in low for key in self.keys):
+        """(first word, last word + 1, name, coefficient) of every segment: of
+        overlapping ones the best, by coefficient, then the longer, then the
+        earlier, then by name."""
+        words = normalised(text)
+        possible = self._possible(words)
+        if not possible:
             return []
         units, at = [], 0
         for piece in UNIT_END.split(text):
-            words = normalised(piece)
-            if words:
-                units.append((at, words, bigrams(words)))
-                at += len(words)
-        found = []
-        for name, grams, lowest, highest in self.rows:
-            begin = 0
-            near = [self._near(unit, grams) for unit in units]
-            while begin < len(units):
-                if not near[begin]:
-                    begin += 1
-                    continue
-                end = begin
-                while end < len(units) and near[end]:
-                    end += 1
-                found += self._best(units[begin:end], name, grams, lowest, highest)
-                begin = end
-        return _apart(found)
+            own = normalised(piece)
+            if own:
+                units.append((at, own, bigrams(own)))
+                at += len(own)
+        edges = np.array([u[0] for u in units] + [at])
+        open_ = [stretch for row in possible for stretch in self._stretches(row, words, units, edges)]
+        heapq.heapify(open_)
+        taken, used = [], bytearray(len(words))
+        while open_:
+            value, size, begin, name, row, exact = heapq.heappop(open_)
+            end = begin - size
+            if any(used[begin:end]):
+                continue
+            if exact:
+                used[begin:end] = b"\1" * (end - begin)
+                taken.append((begin, end, name, -value))
+                continue
+            value = dice(bigrams(words[begin:end]), self.rows[row][1])
+            if value >= self.least:
+                heapq.heappush(open_, (-value, size, begin, name, row, True))
+        return sorted(taken)
+
+    def _stretches(self, row: int, words, units, edges):
+        """Stretches whose bigrams do not rule out the least coefficient, each
+        (bound on it, negated, - number of words, first word, name, row, False)."""
+        name, grams, total = self.rows[row]
+        if all(len(g) == 1 for g in grams):
+            for begin, own, held in units:
+                if held == grams:
+                    yield -1.0, -len(own), begin, name, row, False
+            return
+        shared = np.zeros(len(words) + 1, np.int64)  # of the bigrams that end before a word
+        shared[2:] = np.cumsum(np.fromiter((g in grams for g in zip(words, words[1:])), np.int64, len(words) - 1))
+        highest = total * (2 - self.least) / self.least
+        near = [self._near(unit, grams, self.least) for unit in units]
+        stop = len(units)
+        for a in range(len(units) - 1, -1, -1):
+            if not near[a]:
+                stop = a
+                continue
+            begin = edges[a]
+            last = min(stop, int(np.searchsorted(edges, begin + highest + 1 + 1e-9, "right")) - 1)
+            ends = edges[a + 1 : last + 1]
+            sizes = ends - begin - 1
+            bound = 2 * (shared[ends] - shared[begin + 1]) / (total + sizes)
+            for k in np.flatnonzero((bound >= self.least) & (sizes > 0)).tolist():
+                yield -float(bound[k]), -int(sizes[k]) - 1, int(begin), name, row, False
 
     @staticmethod
-    def _near(unit, grams: Counter) -> bool:
+    def _near(unit, grams: Counter, least: float = DICE) -> bool:
+        """Whether a match may hold the unit: of bigrams that the template lacks
+        it has 2 (1 - least) / least of the template's size at most. A word alone
+        is only half of bigrams with others."""
         own = unit[2]
-        return sum(n for g, n in own.items() if g in grams) >= SHARED * own.total()
-
-    def _best(self, units, name, grams, lowest, highest) -> list[tuple]:
-        """Matches of a run of near units: the stretches whose size fits."""
-        out = []
-        for a in range(len(units)):
-            words: list[str] = []
-            for b in range(a, len(units)):
-                words = words + units[b][1]
-                size = max(1, len(words) - 1)
-                if size > highest + 1e-9:
-                    break
-                if size >= lowest - 1e-9:
-                    value = dice(bigrams(words), grams)
-                    if value >= self.least:
-                        out.append((units[a][0], units[b][0] + len(units[b][1]), name, value))
-        return out
+        lacking = sum(n for g, n in own.items() if g not in grams)
+        return len(unit[1]) == 1 or lacking <= grams.total() * 2 * (1 - least) / least + 1e-9
 
 
 def _apart(found: list[tuple]) -> list[tuple]:

@@ -243,6 +243,30 @@ def test_matches_without_pruning_are_the_same():
     assert found > 40
 
 
+BSD = """Copyright (c) 2020, A. Uthor
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+@pytest.mark.parametrize("form", [
+    lambda t: t, lambda t: t.replace("1.", "(a)").replace("2.", "(b)"), lambda t: t.replace("1.", "*").replace("2.", "*"),
+    lambda t: "\n".join(" * " + line for line in t.split("\n")), lambda t: "\n".join("# " + line for line in t.split("\n")),
+    lambda t: re.sub(r"((?:\S+\s+){6})", r"\1\n", t), lambda t: t.replace("2.", "unrelated\n2."),
+    lambda t: t.replace("2.", "Page 7 of the manual of some tool\n2."), lambda t: "Intro.\n\n" + t + "\n\nint main() { return 0; }",
+])
+def test_numbered_wrapped_and_commented_licences(form):
+    held = licenses.Templates(licenses.TEMPLATES)
+    assert "BSD-2-Clause" in {m[2] for m in held.matches(form(BSD))}
+
+
 def test_license_rows(spark):
     rows = ODD + [(30, "Some text. Released under the MIT License.\nAll rights reserved."), (31, "All rights reserved. " * 2000)]
     docs = documents(spark, rows).selectExpr("*", "1 as r", "2 as dice")
