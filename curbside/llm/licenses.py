@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbside.llm.common import small_batches, texts
+from curbside.llm.license_full_texts import FULL_TEXTS
 from curbside.llm.license_texts import TEMPLATES
 
 WORD = re.compile(r"\w+")
 UNIT_END = re.compile(r"\n+|(?<=[.!?;:])\s+")
+#: Notices and full texts.
+ALL_TEMPLATES = {name: TEMPLATES.get(name, []) + FULL_TEXTS.get(name, []) for name in {**TEMPLATES, **FULL_TEXTS}}
 #: Least Dice coefficient of a match.
 DICE = 0.8
 
@@ -166,11 +169,12 @@ def _scanner(templates: dict[str, list[str]], least: float):
     return scan
 
 
-def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = DICE) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, list[str]] = ALL_TEMPLATES, least: float = DICE) -> DataFrame:
     """doc_id, licenses (sorted names), dice (the best coefficient, null
     without a match) and spans (name:first word:last word + 1) of each row.
 
-    Null and empty texts match nothing; of overlapping matches the best stays;
+    ``templates``: identifier to notices and texts; licences without one there
+    are not found. Null and empty texts match nothing; of overlapping matches the best stays;
     repeated rows give a row each; templates without words are left out.
     """
     small_batches(docs.sparkSession)

@@ -267,6 +267,21 @@ def test_numbered_wrapped_and_commented_licences(form):
     assert "BSD-2-Clause" in {m[2] for m in held.matches(form(BSD))}
 
 
+def test_versions_and_full_texts():
+    held = licenses.Templates(licenses.ALL_TEMPLATES)
+    for text, name in {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU General Public License.": "GPL",
+        "Licensed under the GNU Lesser General Public License, version 2.1 or later.": "LGPL-2.1",
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0",
+        BSD.partition("reserved.")[2] + licenses.TEMPLATES["BSD-3-Clause"][-1].partition("distribution.")[2]: "BSD-3-Clause",
+    }.items():
+        assert [m[2] for m in held.matches(f"Some words.\n{text}\nMore words.")] == [name], text
+    for name, full in licenses.FULL_TEXTS.items():
+        assert max(held.matches("Some words.\n" + full[0]), key=lambda m: m[1] - m[0])[2:] == (name, 1.0), name
+
+
 def test_license_rows(spark):
     rows = ODD + [(30, "Some text. Released under the MIT License.\nAll rights reserved."), (31, "All rights reserved. " * 2000)]
     docs = documents(spark, rows).selectExpr("*", "1 as r", "2 as dice")
