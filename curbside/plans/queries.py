@@ -568,12 +568,12 @@ def export_round_trip(spark, folder):
     return reduce(DataFrame.unionByName, counts)
 
 
-def _written_posts(spark, folder, document_limit=None):
+def _written_posts(spark, folder, document_by=None):
     found = html.extract_posts(derived.snapshots(spark, folder), derived.AS_OF)
     placed = found.withColumn("ordinal", packed(("feed", 38), ("snapshot_no", 12), ("position", 12)))
     run = _run_dir(spark)
     files.write_posts(
-        placed.select(*schema.POST.fieldNames(), "ordinal"), run, fv.POSTS_SOURCE, derived.AS_OF, document_limit=document_limit
+        placed.select(*schema.POST.fieldNames(), "ordinal", "feed"), run, fv.POSTS_SOURCE, derived.AS_OF, document_by=document_by
     )
     return run
 
@@ -585,9 +585,14 @@ def posts_round_trip(spark, folder):
 
 @query
 def posts_document_round_trip(spark, folder):
-    """The one-document form; the order of its posts is their ordinal."""
-    run = _written_posts(spark, folder, document_limit=1_000_000)
-    return stored.read_posts(spark, run, as_lines=False)
+    """The document form, one for each feed; a post's ordinal counts those of the
+    feeds before and those before it in its own."""
+    posts = stored.read_posts_by(spark, _written_posts(spark, folder, document_by="feed"), "feed")
+    sizes = posts.groupBy("feed").agg(F.count("*").alias("n")).withColumn("every", F.lit(0))
+    until = metrics.running_total(sizes, "every", "feed", "n", "until")
+    ends = until.select("feed", (F.col("until") - F.col("n")).alias("before"))
+    ordinal = (F.col("before") + F.col("ordinal")).alias("ordinal")
+    return posts.join(ends, "feed").select(*schema.POST.fieldNames(), ordinal)
 
 
 @query

@@ -60,7 +60,7 @@ def export_all(listings: DataFrame, folder: str, formats: str = "both") -> None:
 
 def _write_with_metadata(
     rows: DataFrame, name: str, metadata: dict[str, Column], path: str, order_by: list[str],
-    columns: list[str], document_limit: int | None,
+    columns: list[str], document_limit: int | None, document_by: str | None = None,
 ) -> None:
     """Rows as JSON Lines next to a one-row table of metadata, which are
     aggregates of what was written or literals: the input runs once. Each line
@@ -68,8 +68,16 @@ def _write_with_metadata(
 
     With ``document_limit``, rows and metadata form one document instead. One
     task then holds all rows, which is why the caller states how many there may
-    be; more are refused.
+    be; more are refused. With ``document_by``, each value of that column has a
+    document, a line, of its own, next to the value.
     """
+    entry = F.struct(F.struct(*order_by).alias("at"), F.struct(*columns).alias("row"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["row"])
+    if document_by is not None:
+        grouped = rows.groupBy(document_by).agg(*[c.alias(k) for k, c in metadata.items()], listed.alias(name))
+        documents = grouped.select(document_by, F.struct(*metadata).alias("metadata"), name)
+        documents.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        return
     if document_limit is None:
         place = [c for c in order_by if c not in columns]
         rows.select(*columns, *place).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
@@ -80,8 +88,6 @@ def _write_with_metadata(
     rows = cut_lineage(rows)
     if rows.limit(document_limit + 1).count() > document_limit:
         raise ValueError(f"more than {document_limit} rows: write JSON Lines instead")
-    entry = F.struct(F.struct(*order_by).alias("at"), F.struct(*columns).alias("row"))
-    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["row"])
     document = rows.agg(*[c.alias(k) for k, c in metadata.items()], listed.alias(name)).select(
         F.struct(*metadata).alias("metadata"), name
     )
@@ -89,15 +95,16 @@ def _write_with_metadata(
 
 
 def write_posts(posts: DataFrame, path: str, source: str, as_of: str, order_by=("ordinal",),
-                document_limit: int | None = None) -> None:
+                document_limit: int | None = None, document_by: str | None = None) -> None:
     """Posts with their metadata, also when there are none, in the order of
-    ``order_by``; one document for up to ``document_limit`` posts, if given."""
+    ``order_by``; one document for up to ``document_limit`` posts, if given, or one
+    for each value of ``document_by``, which no task holds more than one of."""
     metadata = {
         "scraped_at": F.lit(as_of),
         "total_posts": F.count("*"),
         "source": F.lit(source),
     }
-    _write_with_metadata(posts, "posts", metadata, path, list(order_by), schema.POST.fieldNames(), document_limit)
+    _write_with_metadata(posts, "posts", metadata, path, list(order_by), schema.POST.fieldNames(), document_limit, document_by)
 
 
 def write_action_ledger(actions: DataFrame, path: str, session_start: str, daily_limit: int,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curbside import fixed_values as fv
 from curbside import schema
@@ -63,6 +64,14 @@ def read_posts(spark: SparkSession, path: str, as_lines: bool = True) -> DataFra
     return _read_rows(spark, path, as_lines, "posts", lines, schema.POSTS_FILE)
 
 
+def read_posts_by(spark: SparkSession, path: str, by: str, kind: str = "long") -> DataFrame:
+    """Posts that ``write_posts`` wrote in one document for each value of
+    ``by``, a ``kind``, with it and their ``ordinal`` in the document."""
+    documents = spark.read.schema(T.StructType().add(by, kind).add(schema.POSTS_FILE["posts"])).json(path)
+    rows = documents.select(by, F.posexplode("posts").alias("ordinal", "_r"))
+    return rows.select(by, "_r.*", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
 def read_actions(spark: SparkSession, path: str, as_lines: bool = True) -> DataFrame:
     """Actions that ``write_action_ledger`` wrote to ``path``. Lines are in
     the order of their ``timestamp``; a document's have an ``ordinal``."""

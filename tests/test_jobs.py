@@ -6,6 +6,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curbside import schema
 from curbside.functions.order import check_unique, page_ordinal
@@ -315,6 +316,23 @@ def test_posts_round_trip(spark, tmp_path):
         stored.read_posts(spark, str(tmp_path / "absent.json")).count()
 
 
+def test_one_document_for_each_feed(spark, tmp_path):
+    names = schema.POST.fieldNames()
+    rows = [(*(f"i{k}", "a", "é", "2h", 1, 2, 0, "", "now"), 100 - k, k % 3) for k in range(30)]
+    posts = spark.createDataFrame(rows, T.StructType([*schema.POST.fields, *schema.with_ordinal(schema.POST).fields[len(names):]]).add("feed", "long"))
+    path = str(tmp_path / "feeds")
+    files.write_posts(posts.repartition(5), path, "facebook_feed", "now", document_by="feed")
+    docs = [json.loads(line) for p in (tmp_path / "feeds").glob("*.json") for line in p.read_text("utf-8").splitlines()]
+    assert sorted(d["feed"] for d in docs) == [0, 1, 2]
+    for d in docs:
+        assert d["metadata"] == {"scraped_at": "now", "total_posts": 10, "source": "facebook_feed"}
+        assert [p["id"] for p in d["posts"]] == [f"i{k}" for k in range(29, -1, -1) if k % 3 == d["feed"]]
+    back = {(r["feed"], r["ordinal"]): r["id"] for r in stored.read_posts_by(spark, path, "feed").collect()}
+    assert back == {(d["feed"], n): p["id"] for d in docs for n, p in enumerate(d["posts"])} and len(back) == 30
+    files.write_posts(posts.limit(0), str(tmp_path / "none"), "facebook_feed", "now", document_by="feed")
+    assert stored.read_posts_by(spark, str(tmp_path / "none"), "feed").count() == 0
+
+
 def test_ledger_round_trip(spark, tmp_path):
     rows = [("comment", "x", "t2", 2, False, "boom"), ("comment", "x", "t1", 1, True, None)]
     df = spark.createDataFrame(rows, schema.ACTION)
