@@ -217,15 +217,9 @@ def link_edges(prints: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 # --- operator ---------------------------------------------------------------
 
 
-def simhash_groups(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs``.
-
-    Equal fingerprints collapse before any comparison. component_id is the
-    smallest doc_id that links lead to, the row's own included. Null and empty
-    texts have fingerprint 0 and link like any other; a null doc_id is never
-    the smallest (a group without any doc_id has null); repeated rows and
-    doc_ids give a row each; no rows give no rows; further columns are ignored.
-    """
+def _named_prints(docs: DataFrame, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each distinct
+    fp; groups have different roots, even if they share a component_id."""
     small_batches(docs.sparkSession)
     marks = cut_lineage(docs.select("doc_id", fingerprint("text").alias("fp")))
     prints = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -235,21 +229,36 @@ def simhash_groups(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
         .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     )
     least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
+    return marks, cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"))
+
+
+def simhash_groups(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of ``docs``.
+
+    Equal fingerprints collapse before any comparison. component_id is the
+    smallest doc_id that links lead to, the row's own included. Null and empty
+    texts have fingerprint 0 and link like any other; a null doc_id is never
+    the smallest (a group without any doc_id has null); repeated rows and
+    doc_ids give a row each; no rows give no rows; further columns are ignored.
+    """
+    marks, named = _named_prints(docs, tile_rows)
     return marks.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one_of_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each SimHash group: that of the smallest doc_id.
+    """``docs`` with one row of each SimHash group: that of the smallest doc_id,
+    and of the smallest text among those that share this doc_id. Of the rows
+    without doc_id one of each group stays as well, that of the smallest text.
 
-    Rows that share this doc_id leave one row, that of the smallest text. Rows
-    without doc_id belong to no group and stay.
+    Groups are told apart by their roots: a doc_id whose rows lie in several
+    groups stands for each of them.
     """
-    groups = simhash_groups(docs)
-    kept = cut_lineage(groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct())
-    found = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    single = found.groupBy("doc_id").agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("row"))
-    return single.select("row.*").unionByName(docs.where("doc_id is null"))
+    _, named = _named_prints(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    placed = docs.select(whole, fingerprint("text").alias("fp")).join(named, "fp")
+    no_id = F.col("whole.doc_id").isNull()
+    found = placed.where(no_id | (F.col("whole.doc_id") == F.col("component_id")))
+    least = F.min_by("whole", F.coalesce("whole.text", F.lit(""))).alias("row")
+    return found.groupBy("root", no_id.alias("no_id")).agg(least).select("row.*")

@@ -106,3 +106,15 @@ def test_keep_one_of_group(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(
         [(2, "A b  c d e f"), (9, "quite another text of words"), (None, "a b c d e f")], key=repr
     )
+
+
+def test_keep_one_of_groups_that_share_an_id(spark):
+    """Each group keeps a document, also where doc_ids repeat or are null."""
+    rows = [
+        (5, "a b c d e f"), (5, "quite another text of words"), (6, "quite another text of words"), (7, "A b c  d e f"),
+        (None, "no id here but some words"), (None, "no id here but some words"), (None, "No id here  but some words"),
+    ]
+    out = simhash.keep_one_of_group(documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted(
+        [(5, "a b c d e f"), (5, "quite another text of words"), (None, "No id here  but some words")], key=repr
+    )
