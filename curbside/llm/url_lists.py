@@ -54,10 +54,13 @@ def _month(time):
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, active_from, active_to) of the entries (pattern,
     action, dated): from each entry to the next of its pattern, open-ended with
-    a null; ``remove`` ends an entry and is none itself."""
+    a null; ``remove`` ends an entry and is none itself. Hosts are in lower
+    case, paths are kept as they are."""
     strength = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action"))
     usable = entries.where("pattern is not null and dated is not null").where(F.col("action").isin(*ACTIONS))
-    one = usable.groupBy(F.lower("pattern").alias("pattern"), "dated").agg(F.max(strength).alias("strength"))
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.expr("substr(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
+    one = usable.groupBy(pattern.alias("pattern"), "dated").agg(F.max(strength).alias("strength"))
     following = F.lead("dated").over(Window.partitionBy("pattern").orderBy("dated"))
     spans = one.select("pattern", "strength", F.col("dated").alias("active_from"), following.alias("active_to"))
     action = F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("strength").cast("int"))

@@ -147,6 +147,14 @@ def test_decisions_like_plain_python(spark):
     assert url_lists.decide(table.where("false"), lists).count() == 0
 
 
+def test_paths_of_entries_keep_their_capitals(spark):
+    lists = spark.createDataFrame([("Example.com/Docs", "block", day(0))], "pattern string, action string, dated timestamp")
+    urls = ["https://example.com/Docs/x", "https://EXAMPLE.com/Docs", "https://example.com/docs/x", "https://example.com/"]
+    table = spark.createDataFrame([(u, day(1)) for u in urls], "url string, fetched_at timestamp")
+    got = {r["url"]: (r["decision"], r["pattern"]) for r in url_lists.decide(table, lists).collect()}
+    assert got == {u: ("block", "example.com/Docs") if "/Docs" in u else ("allow", None) for u in urls}
+
+
 # --- main text --------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
