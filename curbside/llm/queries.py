@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from curbside.llm import bpe, decontaminate, licenses, main_text, quality, secret_spans, simhash, topk, url_lists, wavelet
+from curbside.llm import (
+    bpe,
+    centroids,
+    decontaminate,
+    licenses,
+    main_text,
+    quality,
+    secret_spans,
+    simhash,
+    topk,
+    toxicity,
+    url_lists,
+    wavelet,
+    whitening,
+)
 from curbside.llm.common import table
 
 REGISTRY = {}
@@ -133,3 +147,58 @@ ranked as (
   from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
+
+
+@query
+def op11_centroid_clusters(spark, folder):
+    return centroids.clusters(table(spark, folder, "embeddings"))
+
+
+def _clustering_sql(rounds: int) -> str:
+    """Rounds of assignment and exact means, one pair of CTEs each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as (
+  select nth, vec_id, v, cluster, distance from (
+    select k.nth, k.vec_id, k.v, c.cluster,
+      list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as distance,
+      row_number() over (partition by k.nth order by distance, c.cluster) as place
+    from kept k cross join c{r} c) where place = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} as (
+  select cluster, place, sum(x) as s, count(*) as n from (
+    select cluster, unnest(v) as x, generate_subscripts(v, 1) as place from a{r}) group by all),
+c{r + 1} as (
+  select c.cluster, coalesce(new.v, c.v) as v from c{r} c left join (
+    select cluster, list(cast((s - ((s % n) + n) % n) / n as bigint) order by place) as v from m{r} group by cluster) new
+  using (cluster))""")
+    return ",".join(steps)
+
+
+ORACLE["op11_centroid_clusters"] = f"""
+with kept as (
+  select row_number() over () as nth, vec_id, [cast(floor(64 * cast(x as double)) as hugeint) for x in embedding] as v
+  from embeddings
+  where len(embedding) = 64 and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
+c0 as (
+  select cast(row_number() over (order by name, v) - 1 as int) as cluster, v from (
+    select sha256('1:' || coalesce(cast(vec_id as varchar), 'null')) as name, v from kept)
+  order by cluster limit 16),
+{_clustering_sql(3)},
+total as (select cluster, sum(distance) as s from a3 group by cluster)
+select a.vec_id, a.cluster, cast(a.distance as bigint) as distance, cast(t.s as bigint) as cluster_inertia,
+  cast((select sum(distance) from a3) as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a3 a join total t using (cluster) join c3 c using (cluster)
+"""
+
+
+@query
+def op12_whitened_embeddings(spark, folder):
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_toxicity_scores(spark, folder):
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
