@@ -1,5 +1,7 @@
 """Counts along the way."""
 
+import time
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ def count_by_location(df: DataFrame) -> DataFrame:
 
 
 class Funnel:
-    """Row counts of stages, taken while the job itself runs."""
+    """Row counts of stages, taken while the job itself runs; ``counts`` can be
+    asked at any time and tells of the stages whose action has ended."""
 
     def __init__(self):
         self._stages: dict[str, Observation] = {}
@@ -21,9 +24,19 @@ class Funnel:
         self._stages[stage] = Observation(stage)
         return df.observe(self._stages[stage], F.count(F.lit(1)).alias("rows"))
 
-    def counts(self) -> dict[str, int]:
-        """After an action on the last stage."""
-        return {stage: seen.get["rows"] for stage, seen in self._stages.items()}
+    def counts(self, wait: float = 2.0) -> dict[str, int]:
+        """Counts of the stages that have run, in their order. Figures arrive a
+        little after the action that took them: where some are missing they are
+        waited for ``wait`` seconds, and left out after that."""
+        until = time.monotonic() + wait
+        while not all(map(self._ended, self._stages.values())) and time.monotonic() < until:
+            time.sleep(0.05)
+        return {stage: seen.get["rows"] for stage, seen in self._stages.items() if self._ended(seen)}
+
+    @staticmethod
+    def _ended(seen: Observation) -> bool:
+        # ``get`` would wait for an action that may never come.
+        return seen._jo.future().isCompleted()
 
 
 def running_total(

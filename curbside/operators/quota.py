@@ -20,7 +20,8 @@ def quota_ledger(events: DataFrame, limit: int = fv.ACTION_LIMIT) -> DataFrame:
     wins = first_per(events.where("success").select("session", "ts", "event_id"),
                      ["session"], ["ts", "event_id"], limit)
     lists = wins.groupBy("session").agg(F.array_sort(F.collect_list(at)).alias("_wins"))
-    placed = events.join(lists, "session", "left").withColumn(
+    lists = lists.withColumnRenamed("session", "_session")
+    placed = events.join(lists, F.col("session").eqNullSafe(F.col("_session")), "left").withColumn(
         "_before",
         F.when(F.col("_wins").isNull(), 0).otherwise(F.size(F.filter("_wins", lambda w: w < at))),
     )

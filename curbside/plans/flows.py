@@ -28,10 +28,8 @@ class Job(NamedTuple):
     rejects: DataFrame  # stage, key, reason
 
 
-def clean_job(raw: DataFrame, mode: str = "fuzzy", funnel: metrics.Funnel | None = None) -> Job:
-    """Duplicates out, cleaned, validated: raw listings with ``ordinal`` to
-    listings. The url-unique rows are stored once, as they are read twice, and
-    so are the cleaned ones, which give the rows and the rejects."""
+def _cleaned(raw: DataFrame, mode: str, funnel: metrics.Funnel | None) -> tuple[DataFrame, DataFrame]:
+    """The valid listings, and the cleaned ones, stored, that they come from."""
 
     def watch(df, stage):
         return funnel.watch(df, stage) if funnel else df
@@ -39,12 +37,21 @@ def clean_job(raw: DataFrame, mode: str = "fuzzy", funnel: metrics.Funnel | None
     unique = cut_lineage(watch(dedup.dedup_url(watch(raw, "raw")), "url_unique"))
     distinct = watch(similar.dedup_similar(unique, mode), "similar_unique")
     cleaned = cut_lineage(clean.to_listing(distinct))
-    valid = watch(clean.model_check(clean.validate(cleaned)), "valid")
-    return Job(valid, watch(clean.listing_rejects(cleaned), "rejected"))
+    return watch(clean.model_check(clean.validate(cleaned)), "valid"), cleaned
+
+
+def clean_job(raw: DataFrame, mode: str = "fuzzy", funnel: metrics.Funnel | None = None) -> Job:
+    """Duplicates out, cleaned, validated: raw listings with ``ordinal`` to
+    listings. The url-unique rows are stored once, as they are read twice, and
+    so are the cleaned ones, which give the rows and the rejects."""
+    valid, cleaned = _cleaned(raw, mode, funnel)
+    rejects = clean.listing_rejects(cleaned)
+    return Job(valid, funnel.watch(rejects, "rejected") if funnel else rejects)
 
 
 def clean_all(raw: DataFrame, mode: str = "fuzzy", funnel: metrics.Funnel | None = None) -> DataFrame:
-    return clean_job(raw, mode, funnel).rows
+    """The rows of ``clean_job`` alone; the funnel has no rejects then."""
+    return _cleaned(raw, mode, funnel)[0]
 
 
 # --- pages ------------------------------------------------------------------
@@ -136,7 +143,7 @@ def pages_job(pages: DataFrame, max_listings: int | None = None, mode: str = "fu
 def listings_from_pages(
     pages: DataFrame, max_listings: int | None = None, mode: str = "fuzzy", funnel=None
 ) -> DataFrame:
-    return pages_job(pages, max_listings, mode, funnel).rows
+    return clean_all(raw_from_pages(pages, max_listings), mode, funnel)
 
 
 # --- payloads ---------------------------------------------------------------
@@ -166,7 +173,7 @@ def payloads_job(payloads: DataFrame, max_listings: int | None = None, mode: str
 def listings_from_payloads(
     payloads: DataFrame, max_listings: int | None = None, mode: str = "fuzzy", funnel=None
 ) -> DataFrame:
-    return payloads_job(payloads, max_listings, mode, funnel).rows
+    return clean_all(raw_from_payloads(payloads, max_listings), mode, funnel)
 
 
 # --- posts ------------------------------------------------------------------

@@ -438,6 +438,13 @@ ORACLE["sample_exact"] = (
 
 # --- whole jobs and streams -------------------------------------------------
 # Raw listings under the names that the shared parts above expect.
+# What the detail page of a row adds; one row in nine has none.
+DETAIL_COLUMNS = f"""
+  case when p_partkey % 9 = 0 or p_partkey % 4 = 1 then null else concat(p_partkey, ' Main St') end as raw_address,
+  case when p_partkey % 9 > 0 then concat(p_size % 7, 'BR / 1.5Ba ', 600 + p_size, 'ft2 fee: $', p_size, lower(p_type),
+   'fee: ', p_brand, ': x') end as raw_housing_info,
+  case when p_partkey % 9 > 0 then {BODY.format(nl="' '")} end as description,
+  case when p_partkey % 9 > 0 then concat('2024-01-', lpad(cast(p_size % 28 + 1 as varchar), 2, '0')) end as posted_date"""
 FROM_PAGES = f"""
 {COUNTED}, {REACHED},
 firsts as (
@@ -450,11 +457,7 @@ raw_listings as (
   case when p_partkey % 3 > 0 then concat('https://x.example/d/', p_partkey)
    else concat('https://', location_key, '.craigslist.org/d/', p_partkey) end as url,
   concat(p_name, ' & ', p_brand) as title, {ROW_PRICE} as raw_price, {CITY} as location,
-  case when p_partkey % 9 = 0 or p_partkey % 4 = 1 then null else concat(p_partkey, ' Main St') end as raw_address,
-  case when p_partkey % 9 > 0 then concat(p_size % 7, 'BR / 1.5Ba ', 600 + p_size, 'ft2 fee: $', p_size, lower(p_type),
-   'fee: ', p_brand, ': x') end as raw_housing_info,
-  case when p_partkey % 9 > 0 then {BODY.format(nl="' '")} end as description,
-  case when p_partkey % 9 > 0 then concat('2024-01-', lpad(cast(p_size % 28 + 1 as varchar), 2, '0')) end as posted_date
+  {DETAIL_COLUMNS}
  from firsts)"""
 ORACLE["listings_from_pages"] = f"""
 with recursive {FROM_PAGES}, {SIMILAR},
@@ -472,6 +475,16 @@ with {PLACED}, raw_listings as (
   concat(p_name, ' & ', p_brand) as title, {ROW_PRICE} as raw_price from placed where not no_link),
 priced as (select location, url, title, {PRICE} as price, 'redfin' as source from raw_listings)
 select * from priced where price is null or (price > 0 and price <= 100000000)"""
+ORACLE["stream_listings_published"] = ORACLE["stream_listings"]
+ORACLE["stream_listings_details"] = f"""
+with {PLACED}, raw_listings as (
+ select distinct {CITY} as location, case when p_partkey % 3 > 0 then concat('https://x.example/d/', p_partkey)
+   else concat('https://', location_key, '.craigslist.org/d/', p_partkey) end as url,
+  concat(p_name, ' & ', p_brand) as title, {ROW_PRICE} as raw_price, {DETAIL_COLUMNS} from placed where not no_link),
+listings as (
+ select title, {PRICE} as price, {ADDRESS} as address, {", ".join(f"{e} as {n}" for n, e in HOUSING.items())},
+  url, description, posted_date, 'redfin' as source, location from raw_listings)
+select * from listings where {VALID}"""
 ORACLE["stream_posts"] = """
 select distinct role || '_' || sha256(substring(text, 1, 100)) as id, role as author, text from conversations"""
 

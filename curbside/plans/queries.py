@@ -20,7 +20,7 @@ from curbside.session import shared_dir
 from curbside.sinks import files
 from curbside.sources import stored
 from curbside.sources.locations import join_location as _join_location
-from curbside.streaming import streams
+from curbside.streaming import published, streams
 
 REGISTRY = {}
 
@@ -657,6 +657,60 @@ def stream_listings(spark, folder):
     return spark.read.parquet(f"{run}/out").select("location", "url", "title", "price", "source")
 
 
+#: An empty page of a later crawl: it moves a stream's watermark on.
+_LATER = [
+    "cast(0 as bigint) as page_id", "'https://x.example/later' as url", "'milwaukee' as location", "'redfin' as source",
+    "timestamp'2024-01-15 00:00:00' as fetched_at", "'<html></html>' as html",
+]
+
+
+@query
+def stream_listings_details(spark, folder):
+    """Search and detail pages as two streams, in two parts each with a restart in
+    between; the last page of each stream is of a later crawl."""
+    run = _run_dir(spark)
+    names = ["page_id", "url", "location", "source", "fetched_at", "html"]
+    search = derived.search_pages(spark, folder).select(*names, "keyword_idx")
+    details = derived.detail_pages(spark, folder).unionByName(derived.broken_pages(spark, folder)).select(*names)
+    later = spark.range(1).selectExpr(*_LATER)
+    parts = [
+        ("search", search.where("keyword_idx < 2").drop("keyword_idx").repartition(2)),
+        ("details", details.where("page_id % 3 < 2").repartition(2)),
+        None,
+        ("details", details.where("page_id % 3 = 2").repartition(2)),
+        ("search", search.where("keyword_idx >= 2").drop("keyword_idx").repartition(2)),
+        ("search", later), ("details", later), None,
+    ]
+    for part in parts:
+        if part:
+            part[1].write.mode("append").parquet(f"{run}/{part[0]}")
+            continue
+        arriving = [
+            streams.file_stream(spark, f"{run}/{kind}", spark.read.parquet(f"{run}/{kind}").schema)
+            for kind in ("search", "details")
+        ]
+        listed = streams.stream_listings(arriving[0], details=arriving[1])
+        streams.run_available(listed, f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out")
+
+
+@query
+def stream_listings_published(spark, folder):
+    """The search pages arrive, and a month later, far beyond the watermark,
+    arrive again with some that are new; each url of a location is written once."""
+    run = _run_dir(spark)
+    pages = derived.search_pages(spark, folder).select("page_id", "location", "source", "keyword_idx", "fetched_at", "html")
+    again = pages.withColumns({"page_id": F.col("page_id") + 1, "fetched_at": F.expr("fetched_at + interval 30 days")})
+    for part in (pages.where("keyword_idx <> 1"), again):
+        part.write.mode("append").parquet(f"{run}/pages")
+        arriving = streams.file_stream(spark, f"{run}/pages", spark.read.parquet(f"{run}/pages").schema)
+        published.run_unpublished(
+            streams.stream_listings(arriving), f"{run}/out", f"{run}/checkpoint", f"{run}/keys",
+            ["location", "url"], ["title", "price"], buckets=8,
+        )
+    return published.read_unpublished(spark, f"{run}/out").select("location", "url", "title", "price", "source")
+
+
 @query
 def stream_posts(spark, folder):
     columns = derived.table(spark, folder, "conversations").schema

@@ -1,15 +1,17 @@
-"""The same records as streams. State is bounded by a watermark; the nightly
-batch removes repeats that come later than that."""
+"""The same records as streams. State is bounded by watermarks; what comes
+later than that is held against the published keys (``published``)."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from curbside import fixed_values as fv
 from curbside.functions import urls
 from curbside.functions.markup import Profile
 from curbside.operators import clean, html
-from curbside.operators.quota import quota_ledger
-from curbside.session import cut_lineage
+from curbside.session import ship_package
 from curbside.sources.locations import join_location
 
 
@@ -23,11 +25,19 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 
 def stream_listings(
-    pages: DataFrame, profile: Profile = html.SEARCH, delay: str = "1 day"
+    pages: DataFrame, profile: Profile = html.SEARCH, delay: str = "1 day",
+    details: DataFrame | None = None, wait: str = "1 day",
 ) -> DataFrame:
     """Arriving search pages (with ``fetched_at`` and ``location``) to valid
     listings, the first sighting of each url in a location. Links and locations
-    are resolved as in the batch job, which its rows therefore match."""
+    are resolved as in the batch job, which its rows therefore match.
+
+    ``details``: a stream of detail pages (``url``, ``fetched_at``, ``html``).
+    Each row is then joined with the page of its url that was fetched up to
+    ``wait`` before or after it, the first to arrive; search values win. A row
+    without one comes out alone once the watermarks of both streams have passed
+    that time, so both have to go on for rows to come out.
+    """
     placed = join_location(
         pages.withWatermark("fetched_at", delay).withColumnRenamed("location", "location_key")
     )
@@ -37,9 +47,25 @@ def stream_listings(
         "location": urls.location_key(F.col("location_key"), F.col("dim_state")),
     })
     first = resolved.dropDuplicatesWithinWatermark(["location", "url"])
+    if details is not None:
+        first = _with_details(first, details, delay, wait)
     return clean.validate(clean.to_listing(first))
 
 
+def _with_details(rows: DataFrame, details: DataFrame, delay: str, wait: str) -> DataFrame:
+    """A left outer join of two streams: state holds the rows and the details
+    of one ``wait`` on either side of the watermark, spread by url."""
+    pages = details.select(
+        F.col("url").alias("details_url"), F.col("fetched_at").alias("details_at"), "html"
+    ).withWatermark("details_at", delay)
+    read = html.extract_details(pages).drop("title", "raw_price")
+    first = read.dropDuplicatesWithinWatermark(["details_url"])
+    near = F.expr(
+        f"url = details_url and details_at >= fetched_at - interval {wait} and details_at <= fetched_at + interval {wait}"
+    )
+    return rows.join(first, near, "left_outer")
+
+
 def stream_posts(posts: DataFrame, time_col: str, delay: str = "1 day") -> DataFrame:
     """Arriving post rows, the first sighting of each id."""
     return html.keep_posts(posts).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["id"])
@@ -52,53 +78,62 @@ def run_available(df: DataFrame, out: str, checkpoint: str) -> None:
        .awaitTermination())
 
 
-#: Batches after which the wins so far are summed up anew.
-COMPACT = 16
+def _open_attempts(frame: pd.DataFrame, room: int) -> pd.DataFrame:
+    """Attempts in order, with the successes before each in ``_before``, while
+    these are fewer than ``room``."""
+    frame = frame.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+    won = frame["success"].eq(True).astype("int64")
+    frame["_before"] = won.cumsum() - won
+    return frame[frame["_before"] < room]
 
 
-def run_quota(events: DataFrame, out: str, checkpoint: str, limit: int = fv.ACTION_LIMIT) -> None:
-    """Accepted attempts of an event stream, counted per session.
-
-    Each micro-batch writes its accepted attempts and the successes it added,
-    in folders of its own, so that a repeated batch overwrites itself. What a
-    session has used up is the last sum plus the additions since, read only for
-    the batch's own sessions; every COMPACT batches there is a new sum. Within
-    a batch the ledger is the batch operator: no session has to fit into one
-    task. Order is that of arrival between batches and of time within a batch.
+def stream_quota(events: DataFrame, limit: int = fv.ACTION_LIMIT, forget_after_ms: int | None = None) -> DataFrame:
+    """Accepted attempts of an event stream with ``action_number`` and
+    ``remaining``, as in ``quota_ledger``.
+
+    The state store holds one number for each session: its successes so far. It
+    is never reset, unless ``forget_after_ms`` is given: then a session without
+    attempts for so long (processing time) is forgotten and starts anew. Order is
+    that of arrival between micro-batches and of (ts, event_id) within one.
+
+    A session's attempts of one micro-batch are taken in as they are read; what
+    can no longer be accepted is let go at once, and a session that is used up
+    costs nothing. What a task holds is bounded by the size of the micro-batch.
     """
+    ship_package(events.sparkSession)
+    kind = T.StructType([
+        *events.schema.fields, T.StructField("action_number", T.LongType()), T.StructField("remaining", T.LongType())
+    ])
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = state.get[0] if state.exists else 0
+        held = None
+        for frame in frames:
+            if used < limit:
+                held = frame if held is None else pd.concat([held.drop(columns="_before"), frame], ignore_index=True)
+                held = _open_attempts(held, limit - used)
+        if held is not None:
+            before = held.pop("_before")
+            won = held["success"].astype("boolean").astype("Int64")
+            yield held.assign(action_number=used + before + 1, remaining=limit - used - before - won)
+            used += int(won.fillna(0).sum())
+        state.update((used,))
+        if forget_after_ms is not None:
+            state.setTimeoutDuration(forget_after_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("session").applyInPandasWithState(step, kind, "used long", "append", timeout)
 
-    def used_before(spark, batch, sessions):
-        base = (batch // COMPACT) * COMPACT
-        folders = [f"{out}/sums/batch={base}"] if base else []
-        folders += [f"{out}/won/batch={k}" for k in range(base, batch)]
-        if not folders:
-            return sessions.select("session", F.lit(0).cast("bigint").alias("used"))
-        counts = spark.read.schema(f"session {sessions.schema['session'].dataType.simpleString()}, won bigint").parquet(*folders)
-        return counts.join(sessions, "session", "left_semi").groupBy("session").agg(F.sum("won").alias("used"))
-
-    def step(frame: DataFrame, batch: int) -> None:
-        spark = frame.sparkSession
-        rows = cut_lineage(frame.select("session", "ts", "event_id", "success"))
-        if batch and batch % COMPACT == 0:
-            kind = f"session {frame.schema['session'].dataType.simpleString()}, won bigint"
-            base = batch - COMPACT
-            folders = [f"{out}/sums/batch={base}"] if base else []
-            folders += [f"{out}/won/batch={k}" for k in range(base, batch)]
-            total = spark.read.schema(kind).parquet(*folders).groupBy("session").agg(F.sum("won").alias("won"))
-            total.write.mode("overwrite").parquet(f"{out}/sums/batch={batch}")
-        before = used_before(spark, batch, rows.select("session").distinct())
-        left = rows.join(before, "session", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("bigint")))
-        numbered = quota_ledger(left.where(F.col("used") < limit), limit)
-        accepted = numbered.withColumn("action_number", F.col("used") + F.col("action_number")).where(
-            F.col("action_number") <= limit
-        ).withColumn("remaining", F.col("remaining") - F.col("used")).drop("used")
-        accepted.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch}")
-        won = spark.read.schema(accepted.schema).parquet(f"{out}/ledger/batch={batch}").where("success")
-        won.groupBy("session").agg(F.count("*").alias("won")).write.mode("overwrite").parquet(f"{out}/won/batch={batch}")
-
-    (events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-       .trigger(availableNow=True).start().awaitTermination())
+
+def run_quota(events: DataFrame, out: str, checkpoint: str, limit: int = fv.ACTION_LIMIT) -> None:
+    """Write the accepted attempts of all events that have arrived, then stop.
+    Counters go on from the checkpoint."""
+    attempts = events.select("session", "ts", "event_id", "success")
+    run_available(stream_quota(attempts, limit), f"{out}/ledger", checkpoint)
 
 
 def read_ledger(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/ledger").drop("batch")
+    return spark.read.parquet(f"{out}/ledger")

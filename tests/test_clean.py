@@ -86,3 +86,18 @@ def test_clean_all_and_funnel(spark):
     assert {r["ordinal"] for r in flows.clean_all(df, "exact").collect()} == {1, 3, 6}
     totals = {r["location"]: r["listings"] for r in metrics.count_by_location(kept).collect()}
     assert totals == {"l": 1, "m": 1, None: 2}
+
+
+def test_funnel_can_be_asked_at_any_time(spark):
+    df = raw(spark, [(n, f"Title {n % 7}", f"${n % 5}00", "a", "40br" if n % 4 == 0 else "3br", f"u{n % 20}", "l", "s") for n in range(60)])
+    funnel = metrics.Funnel()
+    assert funnel.counts() == {}
+    job = flows.clean_job(df, "exact", funnel)
+    before = funnel.counts(0.2)
+    assert "valid" not in before and "rejected" not in before
+    rows = job.rows.count()
+    assert funnel.counts(0.5)["valid"] == rows and "rejected" not in funnel.counts(0.2)
+    bad = job.rejects.count()
+    assert bad > 0 and funnel.counts() == {
+        "raw": 60, "url_unique": 20, "similar_unique": rows + bad, "valid": rows, "rejected": bad
+    }
