@@ -41,11 +41,15 @@ FOLDS = 5
 HELD_OUT = 0
 
 
+#: Tokens whose buckets a worker remembers; long-lived workers keep them.
+REMEMBERED = 60_000
+
+
 class _Buckets(dict):
     """Bucket of each token met so far, emptied when it has grown large."""
 
     def __missing__(self, token):
-        if len(self) > 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[token] = bucket = zlib.crc32(token.encode()) % BUCKETS
         return bucket

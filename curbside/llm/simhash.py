@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbside.llm.common import small_batches
+from curbside.llm.common import may_be_in, place_of, small_batches
 from curbside.llm.components import components
 from curbside.session import cut_lineage
 
@@ -217,17 +217,22 @@ def link_edges(prints: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 # --- operator ---------------------------------------------------------------
 
 
-def _named_prints(docs: DataFrame, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, root, component_id) of each distinct
-    fp; groups have different roots, even if they share a component_id."""
-    small_batches(docs.sparkSession)
-    marks = cut_lineage(docs.select("doc_id", fingerprint("text").alias("fp")))
-    prints = cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+def _rooted(prints: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(fp, first_id, root) of distinct fingerprints: groups have different
+    roots, even if they share their smallest doc_id."""
     found = components(link_edges(prints.select("fp"), tile_rows))
-    rooted = cut_lineage(
+    return cut_lineage(
         prints.join(found.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
         .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     )
+
+
+def _named_prints(docs: DataFrame, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each distinct
+    fp."""
+    small_batches(docs.sparkSession)
+    marks = cut_lineage(docs.select("doc_id", fingerprint("text").alias("fp")))
+    rooted = _rooted(cut_lineage(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), tile_rows)
     least = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     return marks, cut_lineage(rooted.join(least, "root").select("fp", "root", "component_id"))
 
@@ -249,16 +254,35 @@ def simhash_groups(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 
 def keep_one_of_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each SimHash group: that of the smallest doc_id,
-    and of the smallest text among those that share this doc_id. Of the rows
-    without doc_id one of each group stays as well, that of the smallest text.
+    of a row without doc_id only where the group has no other. Of several rows
+    under this doc_id the one with the smallest text stays.
 
     Groups are told apart by their roots: a doc_id whose rows lie in several
-    groups stands for each of them.
+    groups stands for each of them. All is decided on hashes of the texts; of
+    the texts only those travel that a set of hashes cannot tell to be the one
+    row of their group: the copies that go, and rows stored several times.
     """
-    _, named = _named_prints(docs)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    placed = docs.select(whole, fingerprint("text").alias("fp")).join(named, "fp")
-    no_id = F.col("whole.doc_id").isNull()
-    found = placed.where(no_id | (F.col("whole.doc_id") == F.col("component_id")))
-    least = F.min_by("whole", F.coalesce("whole.text", F.lit(""))).alias("row")
-    return found.groupBy("root", no_id.alias("no_id")).agg(least).select("row.*")
+    small_batches(docs.sparkSession)
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    marks = docs.select("doc_id", text_hash, fingerprint("text").alias("fp"))
+    keys = cut_lineage(marks.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("rows")))
+    roots = _rooted(cut_lineage(keys.groupBy("fp").agg(F.min("doc_id").alias("first_id")))).select("fp", "root")
+    placed = cut_lineage(keys.join(roots, "fp").withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id")))
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    judged = placed.join(first, "root").withColumn("stays", F.col("place") == F.col("first"))
+    several = cut_lineage(judged.where("stays").groupBy("root").agg(F.sum("rows").alias("rows")).where("rows > 1"))
+    gone = judged.where("not stays").select("doc_id", "text_hash", F.lit(None).cast("long").alias("root"))
+    tied = judged.where("stays").join(several.select("root"), "root", "left_semi").select("doc_id", "text_hash", "root")
+    open_keys = cut_lineage(gone.unionByName(tied).select(F.struct("doc_id", "text_hash").alias("key"), "root"))
+
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    whole = docs.select(columns, F.struct("doc_id", text_hash).alias("key"))
+    may_be_open = may_be_in(open_keys, "key")(place_of("key"))
+    sure = whole.where(~may_be_open).select("whole.*")
+    unsure = whole.where(may_be_open)
+    named = [unsure["key"].getField(c).eqNullSafe(open_keys["key"].getField(c)) for c in ("doc_id", "text_hash")]
+    alone = unsure.join(open_keys, named, "left_anti").select("whole.*")
+    ties = unsure.join(open_keys.where("root is not null"), named).select("whole", "root")
+    text = F.coalesce("whole.text", F.lit(""))
+    least = ties.groupBy("root").agg(F.min_by("whole", text).alias("row")).select("row.*")
+    return sure.unionByName(alone).unionByName(least)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbside.llm.common import small_batches, texts
+from curbside.llm.common import may_be_in, place_of, small_batches, texts
 
 #: Symbols of an expression; the context is one shorter.
 ORDER = 4
@@ -40,8 +40,6 @@ HELD_OUT = 1
 CURVE_FOLDS, CURVE = 7, 0
 #: Differences of log-likelihoods are told apart by this much in the curve.
 GRAIN = 0.002
-#: Bits of the set of labelled doc_ids that texts are tested against first.
-ID_BITS = 1 << 26
 
 MARKS = re.compile(r"[\W_]+")
 
@@ -181,40 +179,15 @@ def usable_labels(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", "toxic", (F.shiftright(_crc(), 8) % CURVE_FOLDS == CURVE).alias("curve"))
 
 
-def _marks_of(batches):
-    """Bits of the hashed ids of a partition, as words of the set that are set."""
-    bits = np.zeros(ID_BITS // 64, np.uint64)
-    for batch in batches:
-        at = batch.column(0).to_numpy(zero_copy_only=False)
-        np.bitwise_or.at(bits, at >> 6, np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)))
-    used = np.flatnonzero(bits)
-    yield pa.record_batch([pa.array(used, pa.int64()), pa.array(bits[used].view(np.int64))], names=["word", "bits"])
-
-
-def _id_place():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
-
-
 def labelled(docs: DataFrame, usable: DataFrame) -> DataFrame:
     """(text, toxic, curve) of the rows of ``docs`` that have a usable label.
 
     Labels may be as many as documents, so they are joined, not broadcast. First
-    a set of ID_BITS hashed ids (8 MB, whatever their number) keeps back nearly
-    all texts without a label; a full set would only cost shuffle, not rows.
+    a set of hashed ids of fixed size keeps back nearly all texts without a
+    label; a set grown full would only cost shuffle, not rows.
     """
-    spark = docs.sparkSession
-    words = usable.select(_id_place().alias("place")).mapInArrow(_marks_of, "word bigint, bits bigint")
-    bits = np.zeros(ID_BITS // 64, np.int64)
-    for row in words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
-        bits[row.column(0).to_numpy()] = row.column(1).to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.arrow_udf(T.BooleanType())
-    def may_have_label(place: pa.Array) -> pa.Array:
-        at = place.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    near = docs.select("doc_id", "text").where("doc_id is not null").where(may_have_label(_id_place()))
+    labelled_id = may_be_in(usable, "doc_id")
+    near = docs.select("doc_id", "text").where("doc_id is not null").where(labelled_id(place_of("doc_id")))
     return near.join(usable, "doc_id").select("text", "toxic", "curve")
 
 
