@@ -136,14 +136,14 @@ def op10_top_k(spark, folder):
 
 ORACLE["op10_top_k"] = """
 with vectors as (
-  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
-  where vec_id is not null and embedding is not null
+  select row_number() over () as nth, vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings where vec_id is not null and embedding is not null
     and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v::double[], c.v::double[]) as bigint) as score
-  from vectors q join vectors c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+  select q.nth, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v::double[], c.v::double[]) as bigint) as score
+  from vectors q join vectors c on q.vec_id % 20 = 0 and c.nth <> q.nth),
 ranked as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+  select query_id, cast(row_number() over (partition by nth order by score desc, vec_id) as int) as rank, vec_id, score
   from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """

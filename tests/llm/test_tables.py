@@ -59,14 +59,11 @@ def brute_top(rows, k):
         (i, [math.floor(float(np.float32(x)) * 64) for x in v]) for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
-    asking = {}
-    for i, v in whole:
-        if i % 5 == 0:
-            asking[i] = min(v, asking.get(i, v))
     out = []
-    for q, a in asking.items():
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    for n, (q, a) in enumerate(whole):
+        if q % 5 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(whole) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
@@ -88,6 +85,12 @@ def test_top_k_like_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == brute_top(rows, 20)
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(20, [1.0]), (20, [2.0]), (21, [3.0])]
+    want = [(20, 1, 21, 64 * 192), (20, 1, 21, 128 * 192), (20, 2, 20, 64 * 128), (20, 2, 20, 64 * 128)]
+    assert sorted(map(tuple, topk.top_k(vectors(spark, rows), "vec_id % 5 = 0").collect())) == sorted(want)
+
+
 def test_top_k_of_few(spark):
     rows = [(0, [1.0]), (1, [2.0]), (2, [2.0])]
     assert sorted(map(tuple, topk.top_k(vectors(spark, rows), "vec_id % 5 = 0").collect())) == [(0, 1, 1, 8192), (0, 2, 2, 8192)]
