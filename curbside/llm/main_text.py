@@ -54,11 +54,18 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
+#: Elements that hold a paragraph or a heading, not other blocks: parts of their
+#: names ("market-share") say what they are about, whole names what they are for.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th caption figcaption summary".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
+#: Raw elements that a browser, too, takes for closed at the end of their tag.
+SELF_CLOSED = frozenset(("svg", "iframe"))
+
 PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S,
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*)|[^<]+|<", re.S
 )
+UNQUOTED = re.compile(r"[^<>\"']*")
+MAIN_ROLE = re.compile(r"role\s*=\s*[\"']?main\b", re.I)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Za-z0-9]+")
 #: What an end tag may close at most, and what a start tag closes by itself.
@@ -70,36 +77,78 @@ FENCES = frozenset("ul ol dl table article main section div body html aside nav
 
 ARTICLE, OPEN, LABELLED = 0, 1, 2
 
+#: Open elements that an end tag, or a start tag that closes others, looks back at.
+DEPTH = 128
+
+#: How firmly an element is left out: not at all; unless an article or main
+#: begins inside it; unless a main does; with all that it holds.
+KEPT, SOFT, FIRM, HARD = 0, 1, 2, 3
 
-def _dropped(tag: str, attributes: str, in_scope: bool) -> bool:
+
+def tag_end(page: str, at: int) -> tuple[int, int]:
+    """Where the attributes end that begin at ``at``, and where the tag does. A
+    quote opens a value only behind an equals sign, and only if it is closed
+    before another tag seems to begin; a tag that is never closed ends where the
+    next one begins. Every character is looked at a bounded number of times."""
+    while True:
+        m = UNQUOTED.match(page, at)
+        at = m.end()
+        if at == len(page) or page[at] == "<":
+            return at, at
+        quote = page[at]
+        if quote == ">":
+            return at, at + 1
+        if m[0].rstrip().endswith("="):
+            end = page.find(quote, at + 1)
+            closed = page.find(">", at + 1, end) if end >= 0 else 0
+            if closed < 0 or end >= 0 and page.find("<", closed, end) < 0:
+                at = end
+        at += 1
+
+
+def firmness(tag: str, attributes: str, in_scope: bool) -> int:
+    """How firmly the element is left out, by its tag, role, classes and id."""
+    found = KEPT
     if tag in DROPPED:
-        return True
-    if tag == "header":
-        return not in_scope
-    if not attributes or tag in ("html", "body") or tag in SCOPES and not in_scope:
-        return False
+        found = SOFT if tag == "form" else HARD
+    elif tag == "header" and not in_scope:
+        found = FIRM
+    if found == HARD or not attributes or tag in ("html", "body") or tag in SCOPES and not in_scope:
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = next((v for v in m.groups()[1:] if v is not None), "")
         if name in ("class", "id"):
-            if any(word in NAMES for word in (w.lower() for w in NAME.findall(value))):
-                return True
+            whole = value.lower().split()
+            parts = {w for token in whole for w in NAME.findall(token)}
+            if any(token in NAMES for token in whole):
+                found = max(found, FIRM)
+            elif not (in_scope and tag in TEXT_BLOCKS) and parts & NAMES:
+                found = max(found, FIRM if parts & COMMENTS else SOFT)
         elif name == "role" and value.strip().lower() in ROLES:
-            return True
+            found = max(found, SOFT if value.strip().lower() == "form" else HARD)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD
         elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return HARD
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of the blocks of a page in order, none of them empty."""
+    """(kind, text) of the blocks of a page in order, none of them empty.
+
+    An article or main, wherever it begins, ends what its wrappers left out by
+    a part of their names or as forms; a main also what they left out by a whole
+    name. Nothing begins in menus, asides, footers or what is hidden.
+    """
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, int]] = []  # element, dropped and scopes so far
-    dropped = scopes = 0
+    # Open elements, each with the state outside it: how firmly its inside is
+    # left out, whether that is by the header of an article alone, scopes.
+    stack: list[tuple[str, int, bool, int]] = []
+    level, by_header, scopes = KEPT, False, 0
     parts: list[str] = []
     kind = OPEN
+    unclosed: set[str] = set()
 
     def flush():
         nonlocal parts
@@ -113,66 +162,81 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     while at < size:
         m = PIECE.match(page, at)
         at = m.end()
-        tag = m[2]
+        tag, ends = m[2], bool(m[1])
         if tag is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 parts.append(piece)
             continue
         tag = tag.lower()
-        if tag not in BLOCKS and tag not in DROPPED and not m[1]:
+        attributes_end, behind = tag_end(page, at)
+        attributes, at = page[at:attributes_end], behind
+        block = tag in BLOCKS or tag in DROPPED
+        if not block and not ends:
             # Inline: only what hides its content matters.
             if tag == "br":
                 parts.append(" ")
                 continue
             if tag in VOID:
                 continue
-            if not m[3] or not _dropped(tag, m[3], scopes > 0):
-                stack.append((tag, dropped, scopes))
+            if not attributes or not firmness(tag, attributes, scopes > 0):
+                stack.append((tag, level, by_header, scopes))
                 continue
-        if m[1] and tag not in BLOCKS and tag not in DROPPED and not (stack and stack[-1][0] == tag and stack[-1][1] != dropped):
-            for k in range(len(stack) - 1, -1, -1):
+        if ends and not block and not (stack and stack[-1][0] == tag and stack[-1][1] != level):
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                 if stack[k][0] == tag:
-                    if stack[k][1] != dropped:
+                    if stack[k][1] != level:
                         flush()
-                    dropped, scopes = stack[k][1:]
+                    level, by_header, scopes = stack[k][1:]
                     del stack[k:]
                     break
                 if stack[k][0] in BLOCKS:
                     break
         else:
             flush()
-            if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
+            if ends:
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                     if stack[k][0] == tag:
-                        dropped, scopes = stack[k][1:]
+                        level, by_header, scopes = stack[k][1:]
                         del stack[k:]
                         break
                     if stack[k][0] in FENCES and tag not in FENCES:
                         break
             else:
                 closing = CLOSES.get(tag, ()) + (("p",) if tag in BLOCKS else ())
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                     if stack[k][0] in closing:
-                        dropped, scopes = stack[k][1:]
+                        level, by_header, scopes = stack[k][1:]
                         del stack[k:]
                     elif stack[k][0] in FENCES:
                         break
-                if tag not in VOID and not m[3].endswith("/"):
-                    stack.append((tag, dropped, scopes))
-                    if _dropped(tag, m[3], scopes > 0):
-                        dropped += 1
-                    elif tag == "header" and scopes:
-                        dropped += 1
-                    elif tag in HEADINGS and dropped and stack[-2:-1] and stack[-2][0] == "header" and scopes and dropped == stack[-2][1] + 1:
-                        dropped -= 1
-                    elif tag in SCOPES or re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I):
+                own_end = attributes.rstrip().endswith("/")
+                if tag not in VOID and not own_end:
+                    stack.append((tag, level, by_header, scopes))
+                    is_main = tag == "main" or bool(MAIN_ROLE.search(attributes))
+                    found = firmness(tag, attributes, scopes > 0)
+                    if (is_main or tag == "article") and found == KEPT:
+                        if level <= (FIRM if is_main else SOFT):
+                            level, by_header = KEPT, False
                         scopes += 1
-                if tag in RAW:
+                    elif found:
+                        level, by_header = max(level, found), False
+                    elif tag == "header" and level == KEPT:
+                        level, by_header = FIRM, True
+                    elif tag in HEADINGS and by_header:
+                        level, by_header = KEPT, False
+                if tag in RAW and not (own_end and tag in SELF_CLOSED) and tag not in unclosed:
                     end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-                    at = end.start() if end else size
+                    if end:
+                        at = end.start()
+                    elif tag in ("script", "style"):
+                        at = size
+                    else:  # never closed: it ends at once, and so do all after it
+                        unclosed.add(tag)
+                if tag in unclosed and stack and stack[-1][0] == tag:
+                    level, by_header, scopes = stack.pop()[1:]
         if not parts:
-            kind = LABELLED if dropped else ARTICLE if scopes else OPEN
+            kind = LABELLED if level else ARTICLE if scopes else OPEN
     flush()
     return out
 
@@ -337,27 +401,29 @@ def main_texts(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession, 500)
     page = F.md5(F.concat_ws("\x00", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).cast("binary"))
     rows = pages.select("page_id", "url", "html")
-    seen = rows.select(host_of(F.col("url")).alias("host"), page.alias("page"), parsed("html").alias("p"))
+    seen = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), page.alias("page"), parsed("html").alias("p"))
     # The article texts are not needed here; what is outside them is small.
-    outside = cut_lineage(
-        seen.select("host", "page", F.col("p.article").isNotNull().alias("marked"), F.col("p.kinds").alias("kinds"), F.col("p.outside").alias("outside"))
-    )
-    some = outside.where(F.size("outside") > 0)
+    outside = cut_lineage(seen.select(
+        "page_id", "url", "host", "page", F.col("p.article").isNotNull().alias("marked"),
+        F.col("p.kinds").alias("kinds"), F.col("p.outside").alias("outside"),
+    ))
+    unmarked = outside.where(~F.col("marked"))
+    # Repeats matter where a page of the host leaves blocks open; a page stored
+    # several times is one page.
+    open_hosts = cut_lineage(unmarked.where(F.size("outside") > 0).select("host").distinct())
+    some = outside.where(F.size("outside") > 0).join(open_hosts, "host", "left_semi")
+    some = cut_lineage(some.select("host", "page", "marked", "kinds", "outside").dropDuplicates(["page"]))
     large = some.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK_PAGES)
     large = cut_lineage(large.select("host", F.ceil(F.col("n") / CHUNK_PAGES).cast("int").alias("chunks")))
     repeats = cut_lineage(host_repeats(some.select("host", "page", "outside"), large))
-    open_pages = cut_lineage(some.where(~F.col("marked")).dropDuplicates(["page"]).select("host", "page", "kinds", "outside"))
+    open_pages = some.where(~F.col("marked"))
     held = open_pages.select("host", "page", F.explode(F.array_distinct(_openings("outside"))).alias("opening"))
     known = held.join(repeats, ["host", "opening"]).groupBy("page").agg(F.collect_list("opening").alias("repeated"))
     unique = cut_lineage(
         open_pages.join(known, "page", "left").select("page", _unique_runs("kinds", "outside", "repeated").alias("open_text"))
     )
-    html = F.coalesce("html", F.lit(""))
-    marked = rows.where(html.rlike(MARKED)).select("page_id", "url", page.alias("page"), parsed("html").alias("p"))
-    plain = rows.where(~html.rlike(MARKED)).select("page_id", "url", page.alias("page"))
-    # Marks that stand in comments or scripts only leave a page without article.
-    without = marked.where("p.article is null").select("page_id", "url", "page")
-    with_article = marked.where("p.article is not null").select("page_id", "url", F.col("p.article").alias("text"))
-    judged = plain.unionByName(without).join(unique, "page", "left")
+    judged = unmarked.select("page_id", "url", "page").join(unique, "page", "left")
     judged = judged.select("page_id", "url", F.coalesce("open_text", F.lit("")).alias("text"))
-    return with_article.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+    # Only pages whose html names an article at all are read again for its text.
+    marked = rows.where(F.coalesce("html", F.lit("")).rlike(MARKED)).select("page_id", "url", parsed("html")["article"].alias("text"))
+    return marked.where("text is not null").unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))

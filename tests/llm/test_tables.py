@@ -3,10 +3,12 @@
 import datetime
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from llm_cases import ODD, documents
 from tokenizers import Tokenizer
 
@@ -176,6 +178,39 @@ def test_article_by_structure():
     assert inside == ["Head & line", "Onetwo three four", "Next line on", "item 1", "item 2", "tail &am"]
 
 
+ARTICLE = "<article><h1>T</h1><p>Body</p></article>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<div class="layout has-sidebar">{ARTICLE}</div>', ["T", "Body"]),
+    (f'<form id="aspnetForm"><main>{ARTICLE}</main></form>', ["T", "Body"]),
+    (f'<div id="search"><main>{ARTICLE}</main></div>', ["T", "Body"]),
+    (f'<nav>{ARTICLE}</nav><div class="comments">{ARTICLE}</div><aside>{ARTICLE}</aside><div class="reader-comments">{ARTICLE}</div>', []),
+    (f'<div hidden>{ARTICLE}</div><div class="sidebar">{ARTICLE}</div><div role="complementary">{ARTICLE}</div>', []),
+    ('<article><p class="market-share">a</p><p id="search-results">b</p><h2 id="comment-on-method">c</h2>'
+     '<p class="notice-theorem">d</p><p class="notice">no</p><div class="share-buttons">no</div></article>', ["a", "b", "c", "d"]),
+    ('<article><p>a<svg viewBox="0"/>b</p><iframe src="x"/><p>c</p></article>', ["a", "b", "c"]),
+    ("<article><noscript><p>a</p><textarea>b</article>", ["a", "b"]),
+    ("<article><svg><text>no</text></svg><iframe>no</iframe><p>a</p></article>", ["a"]),
+    ("<article><p title=\"it's>one</p><p title='a > b'>two</p><p x\"y>three</p><p data-x=\"a<b>c\">four</p></article>", ["one", "two", "three", "four"]),
+    ("<main><header><div><h1>Title</h1><p>by me</p></div></header><p>x</p></main>", ["Title", "x"]),
+    ("<article><header><h1>H</h1><span>by me</span></header><p>x</p><footer>f</footer></article>", ["H", "x"]),
+])
+def test_wrappers_and_broken_markup(page, want):
+    assert [t for k, t in main_text.blocks_of(page) if k == main_text.ARTICLE] == want
+
+
+@pytest.mark.parametrize("piece", [
+    '<p title="x" ', '<p title="x ', "<p title='", "<svg ", "<svg>", "<noscript>", '<p a="x>y', "<", "<p>", "<h1>", "<div class=ad>",
+    "<b></i>", "<li><b></ul>", "<section></p>", "<!--", "<![CDATA[", "</", "<title></titles>", "<a ='",
+])
+def test_markup_that_never_ends(piece):
+    """A megabyte of it takes seconds, whatever is left open."""
+    begin = time.process_time()
+    main_text.blocks_of(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - begin < 20
+
+
 def test_main_text_rows(spark):
     shared = "welcome to this site of ours please read all of our rules with care"
     rows = [(1, "http://h.test/1", PAGE), (1, "http://h.test/1", PAGE), (2, "http://h.test/2", None), (3, None, ""), (None, "http://h.test/4", "<p>alone")]
