@@ -1,13 +1,16 @@
 """Licence notices in texts, by the Dice coefficient over word bigrams.
 
-A text is cut into sentences and lines. Every stretch of them is a segment, list
+A text is cut into clauses and lines. Every stretch of them is a segment, list
 numbers, stray lines and all; it is compared with a template unless the numbers
-of their bigrams already rule out the least coefficient. Stretches are taken best
-first, by what their bigrams allow at most, so that few are compared in full.
+of their bigrams already rule out the least coefficient. The stretches of one
+beginning are compared together: a bigram counts in all of them but those in
+which the template's number of it is used up before. Of each beginning only the
+best stretch waits to be taken, and a shorter one when that is no longer free.
 """
 
 import heapq
 import re
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,7 +23,7 @@ from curbside.llm.license_full_texts import FULL_TEXTS
 from curbside.llm.license_texts import TEMPLATES
 
 WORD = re.compile(r"\w+")
-UNIT_END = re.compile(r"\n+|(?<=[.!?;:])\s+")
+UNIT_END = re.compile(r"\n+|(?<=[.!?;:,])\s+")
 #: Notices and full texts.
 ALL_TEMPLATES = {name: TEMPLATES.get(name, []) + FULL_TEXTS.get(name, []) for name in {**TEMPLATES, **FULL_TEXTS}}
 #: Least Dice coefficient of a match.
@@ -40,6 +43,76 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / max(1, a.total() + b.total())
 
 
+class _Beginnings:
+    """The stretches of a text that reach the least coefficient with one
+    template, by the unit in which they begin. A key is (coefficient, negated,
+    - number of words, first word, name), in the order of preference."""
+
+    def __init__(self, row: tuple, words: list[str], edges: list[int], least: float):
+        self.name, grams, self.total = row
+        self.edges, self.least = np.array(edges), least
+        self.single = all(len(g) == 1 for g in grams)
+        if self.single:
+            (self.word,) = next(iter(grams))
+            self.words = words
+            return
+        # Of each bigram of the text: whether the template has it, and where the
+        # one stands after which its number in the template is used up.
+        pairs = list(zip(words, words[1:]))
+        self.used_up = np.full(len(pairs), len(words), np.int64)  # never counts
+        places = defaultdict(list)
+        for at, gram in enumerate(pairs):
+            wanted = grams.get(gram)
+            if wanted:
+                own = places[gram]
+                self.used_up[at] = own[-wanted] if len(own) >= wanted else -1
+                own.append(at)
+        lacking = np.concatenate([[0], np.cumsum(self.used_up == len(words))])
+        begins, ends = self.edges[:-1], self.edges[1:]
+        near = (ends - begins == 1) | (
+            lacking[ends - 1] - lacking[begins] <= self.total * 2 * (1 - least) / least + 1e-9
+        )
+        # Of each unit, the next one that no match may hold.
+        self.stop = np.full(len(near) + 1, len(near))
+        for k in range(len(near) - 1, -1, -1):
+            self.stop[k] = self.stop[k + 1] if near[k] else k
+
+        # A match shares total * least / (2 - least) bigrams or more, all of them
+        # within the longest stretch that a match can be.
+        held = np.arange(len(lacking)) - lacking
+        reach = np.minimum(begins + int(self.total * (2 - least) / least + 1e-9), len(lacking) - 1)
+        some = held[reach] - held[np.minimum(begins, len(held) - 1)]
+        self.worth = np.flatnonzero(near & (some >= self.total * least / (2 - least) - 1e-9))
+
+    def best(self):
+        for a in range(len(self.edges) - 1) if self.single else self.worth.tolist():
+            key = self.best_of(a, int(self.edges[-1]))
+            if key:
+                yield a, key
+
+    def best_of(self, a: int, free: int) -> tuple | None:
+        """Key of the best stretch that begins with unit ``a`` and ends at the
+        word ``free`` or before; None if there is none."""
+        begin = int(self.edges[a])
+        if self.single:
+            end = int(self.edges[a + 1])
+            alike = end - begin == 1 and end <= free and self.words[begin] == self.word
+            return (-1.0, -1, begin, self.name) if alike else None
+        highest = min(free, begin + 1 + int(self.total * (2 - self.least) / self.least + 1e-9))
+        last = min(int(self.stop[a]), int(np.searchsorted(self.edges, highest, "right")) - 1)
+        ends = self.edges[a + 1 : last + 1]
+        if not len(ends) or ends[-1] - begin < 2:
+            return None
+        counted = np.cumsum(self.used_up[begin : ends[-1] - 1] < begin)
+        sizes = ends - begin - 1
+        shared = np.where(sizes > 0, counted[sizes - 1], 0)
+        values = 2 * shared / (self.total + sizes)
+        at = len(values) - 1 - int(np.argmax(values[::-1]))  # the longest of the best
+        if sizes[at] == 0 or values[at] < self.least:
+            return None
+        return -float(values[at]), -int(sizes[at]) - 1, begin, self.name
+
+
 class Templates:
     """Templates as bigrams, and the templates of each bigram."""
 
@@ -78,56 +151,34 @@ class Templates:
         possible = self._possible(words)
         if not possible:
             return []
-        units, at = [], 0
+        edges = [0]
         for piece in UNIT_END.split(text):
-            own = normalised(piece)
+            own = len(normalised(piece))
             if own:
-                units.append((at, own, bigrams(own)))
-                at += len(own)
-        edges = np.array([u[0] for u in units] + [at])
-        open_ = [stretch for row in possible for stretch in self._stretches(row, words, units, edges)]
+                edges.append(edges[-1] + own)
+        beginnings = [_Beginnings(self.rows[row], words, edges, self.least) for row in possible]
+        open_ = [(key, which, a) for which, own in enumerate(beginnings) for a, key in own.best()]
         heapq.heapify(open_)
-        taken, used = [], bytearray(len(words))
+        taken: list[tuple] = []
+        starts: list[int] = []  # of the words taken, in order
+        ends: dict[int, int] = {}
         while open_:
-            value, size, begin, name, row, exact = heapq.heappop(open_)
-            end = begin - size
-            if any(used[begin:end]):
-                continue
-            if exact:
-                used[begin:end] = b"\1" * (end - begin)
-                taken.append((begin, end, name, -value))
+            (value, size, begin, name), which, a = heapq.heappop(open_)
+            k = bisect_left(starts, begin + 1)
+            if k and ends[starts[k - 1]] > begin:
+                continue  # the beginning itself is taken
+            free = starts[k] if k < len(starts) else len(words)
+            if begin - size > free:
+                key = beginnings[which].best_of(a, free)
+                if key:
+                    heapq.heappush(open_, (key, which, a))
                 continue
-            value = dice(bigrams(words[begin:end]), self.rows[row][1])
-            if value >= self.least:
-                heapq.heappush(open_, (-value, size, begin, name, row, True))
+            insort(starts, begin)
+            ends[begin] = begin - size
+            taken.append((begin, begin - size, name, -value))
         return sorted(taken)
 
-    def _stretches(self, row: int, words, units, edges):
-        """Stretches whose bigrams do not rule out the least coefficient, each
-        (bound on it, negated, - number of words, first word, name, row, False)."""
-        name, grams, total = self.rows[row]
-        if all(len(g) == 1 for g in grams):
-            for begin, own, held in units:
-                if held == grams:
-                    yield -1.0, -len(own), begin, name, row, False
-            return
-        shared = np.zeros(len(words) + 1, np.int64)  # of the bigrams that end before a word
-        shared[2:] = np.cumsum(np.fromiter((g in grams for g in zip(words, words[1:])), np.int64, len(words) - 1))
-        highest = total * (2 - self.least) / self.least
-        near = [self._near(unit, grams, self.least) for unit in units]
-        stop = len(units)
-        for a in range(len(units) - 1, -1, -1):
-            if not near[a]:
-                stop = a
-                continue
-            begin = edges[a]
-            last = min(stop, int(np.searchsorted(edges, begin + highest + 1 + 1e-9, "right")) - 1)
-            ends = edges[a + 1 : last + 1]
-            sizes = ends - begin - 1
-            bound = 2 * (shared[ends] - shared[begin + 1]) / (total + sizes)
-            for k in np.flatnonzero((bound >= self.least) & (sizes > 0)).tolist():
-                yield -float(bound[k]), -int(sizes[k]) - 1, int(begin), name, row, False
-
+    # The rule that ``_Beginnings`` applies to all units at once.
     @staticmethod
     def _near(unit, grams: Counter, least: float = DICE) -> bool:
         """Whether a match may hold the unit: of bigrams that the template lacks

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -282,6 +283,37 @@ def test_versions_and_full_texts():
         assert max(held.matches("Some words.\n" + full[0]), key=lambda m: m[1] - m[0])[2:] == (name, 1.0), name
 
 
+def test_several_full_texts_in_linear_time():
+    held = licenses.Templates(licenses.ALL_TEMPLATES)
+    full = licenses.FULL_TEXTS["GPL-2.0"][0]
+    times = []
+    for n in (2, 10):
+        begin = time.process_time()
+        found = held.matches("\n".join([full] * n))
+        times.append(time.process_time() - begin)
+        assert [m[2] for m in found if m[3] == 1.0].count("GPL-2.0") == n
+    assert times[1] < 10 and times[1] < 12 * max(times[0], 0.2)
+
+
+def test_notice_inside_a_sentence():
+    held = licenses.Templates(licenses.ALL_TEMPLATES)
+    assert [m[2] for m in held.matches("Foo, released under the MIT License, by Bar.")] == ["MIT"]
+
+
+def test_repeated_halves_without_pruning_are_the_same():
+    """Templates that overlap themselves and each other, counts used up."""
+    rng = random.Random(4)
+    templates = {"a": ["x y z x y z q r s t"], "b": ["x y z. q r s t u v", "p"], "c": ["z x y z x y"]}
+    held = licenses.Templates(templates)
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choice("x y z q r s t u p".split()) + rng.choice([" ", " ", " ", ". ", "\n", ", "]) for _ in range(rng.randint(1, 40)))
+        expected = all_matches(text, templates)
+        assert held.matches(text) == expected
+        found += len(expected)
+    assert found > 100
+
+
 def test_license_rows(spark):
     rows = ODD + [(30, "Some text. Released under the MIT License.\nAll rights reserved."), (31, "All rights reserved. " * 2000)]
     docs = documents(spark, rows).selectExpr("*", "1 as r", "2 as dice")
