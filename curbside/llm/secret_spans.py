@@ -48,6 +48,8 @@ LEAST_OF_EACH = 2
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}"),
+    # A path of two or more names; a number stands at the end of a word only.
+    re.compile(r"/?WORD([-_]WORD)*(/WORD([-_]WORD)*)+/?".replace("WORD", r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})")),
 )
 #: Samples from manuals: the letters and digits joined to such a word, on each
 #: side up to the length of a key, are no part of a hot window.
@@ -57,10 +59,8 @@ SAMPLE = re.compile(
 #: What ends a link, and what begins one.
 LINK_END = re.compile(r"""[\s"'`,()\[\]{}<>|\\^]|(?<!&amp);""")
 LINK = re.compile(r"//|www\.", re.I)
-#: Before an @, the rest of the user and password of a link.
-USER_REST = re.compile(r"""[^\s/?#@"'`,()\[\]{}<>|\\^]*@""")
-#: Characters before a string that are looked at for the start of a link.
-LINK_CHARS = 2048
+#: What the user and password of a link end with, or cannot hold.
+USER_END = re.compile(r"""[\s/?#@"'`,()\[\]{}<>|\\^]""")
 
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -97,21 +97,58 @@ def hot_windows(string: str, letters: frozenset, least: float) -> list[tuple[int
     return found
 
 
-def allowed(text: str, begin: int, end: int) -> bool:
+class Links:
+    """Where the strings of one text stand in its links, asked from left to
+    right. A link may be of any length: what is looked up moves on only."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.marks = re.compile(f"(?P<start>{LINK.pattern})|{LINK_END.pattern}", re.I).finditer(text)
+        self.mark = next(self.marks, None)
+        self.start = None  # of the link that is open, if one is
+        self.found: dict[str, int] = {}
+
+    def _first(self, what: str, at: int) -> int:
+        """Where the first ``what`` from ``at`` on stands."""
+        place = self.found.get(what, -1)
+        if place < at:
+            place = self.text.find(what, at)
+            self.found[what] = place = len(self.text) if place < 0 else place
+        return place
+
+    def _user_end(self, at: int) -> int:
+        place = self.found.get("user end", -1)
+        if place < at:
+            m = USER_END.search(self.text, at)
+            self.found["user end"] = place = m.start() if m else len(self.text)
+        return place
+
+    def harmless(self, begin: int, end: int) -> bool:
+        """Whether ``begin`` to ``end`` is a part of a link other than its user,
+        password or query."""
+        while self.mark and self.mark.end() <= begin:
+            self.start = self.mark if self.mark["start"] else None
+            self.mark = next(self.marks, None)
+        if not self.start:
+            return False
+        at = self.start.end()
+        if min(self._first("?", at), self._first("#", at)) < begin:
+            return False
+        if self.start["start"] != "//" or self._first("/", at) < begin:
+            return True
+        head, slash, _ = self.text[begin:end].partition("/")
+        if slash and (self._first(":", at) >= begin or head.isdigit()):  # a host or port, then the path
+            return True
+        place = self._user_end(end)
+        return not (place < len(self.text) and self.text[place] == "@")
+
+
+def allowed(text: str, begin: int, end: int, links: Links | None = None) -> bool:
     """Whether the allow-list covers the candidate at ``begin`` to ``end`` as a
-    whole: by its form, or as a part of a link other than user and password."""
+    whole: by its form, or as a harmless part of a link."""
     if any(rule.fullmatch(text, begin, end) for rule in ALLOWED):
         return True
-    before = LINK_END.split(text[max(0, begin - LINK_CHARS) : begin])[-1]
-    links = list(LINK.finditer(before))
-    if not links:
-        return False
-    inside = before[links[-1].end() :]
-    in_authority = links[-1].group() == "//" and not any(c in inside for c in "/?#")
-    head, slash, _ = text[begin:end].partition("/")
-    if slash and (":" not in inside or head.isdigit()):  # a host or port, then the path
-        in_authority = False
-    return not (in_authority and USER_REST.match(text, end))
+    return (links or Links(text)).harmless(begin, end)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -141,9 +178,10 @@ def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
     inside the union of ``known``, which is in order."""
     spans = []
     covered = _joined((s, e) for s, _, e in known)
+    links = Links(text)
     for m in CANDIDATE.finditer(text):
         string = m.group()
-        if string.isalpha() or string.isdigit() or allowed(text, m.start(), m.end()):
+        if string.isalpha() or string.isdigit() or allowed(text, m.start(), m.end(), links):
             continue
         string = SAMPLE.sub(lambda s: "." * len(s.group()), string)
         for a, b in _joined(sorted(w for letters, least in CLASSES for w in hot_windows(string, letters, least))):

@@ -112,17 +112,36 @@ def test_allow_list_ends():
         '{"url":"https://a.b/c","k":"%s"}', "u='//a.b/c',k='%s'", "www.a.b/c,%s", "f(https://a.b/c)[%s]", "<a href=//a.b/c>%s</a>",
         "https://a.b/c;k:%s", "https://user:%s@host.test/a", "https://%s@host.test", "https://user:a/%s@host.test", "https://user:%s.more@host.test/a?b",
         "example_service_key=%s", "sample-%s", "%s_dummy", "xxxx/%s", "0123456789=%s", "abcdefgh+%s", "x" * 500 + "-%s",
+        "https://a.b/c?d=1&amp;e=%s", "https://x.com/a?sig=%s", "https://x.com/a#%s", "www.a.b/c?token_id=%s",
+        "https://a.b/" + "c/" * 3000 + "?k=%s", "/usr/lib/%s",
     ):
         spans = secret_spans.entropy_spans(text % key, [])
         at = text.index("%s")
         assert any(a <= at + 2 and b >= at + 30 for a, _, b in spans), text
         assert key not in secret_spans.redact(text % key)
     for harmless in (
-        "https://a.b/c?d=1&amp;e=%s", "http://www.a.b/@me/%s", "www.a.b/%s", "https://a.b/x/%s@y", "https://a.b:80/x/%s@y", "%sExample",
+        "http://www.a.b/@me/%s", "www.a.b/%s", "https://a.b/x/%s@y", "https://a.b:80/x/%s@y", "%sExample",
     ):
         assert secret_spans.entropy_spans(harmless % key, []) == [], harmless
 
 
+def test_paths_and_long_links_are_harmless():
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCY9zQ2"
+    for harmless in (
+        "/usr/local/lib/python3.11/site-packages/numpy/core/multiarray2.so", "src/components/Button2024/index_v2_final",
+        "docs/2024/05/some-page-of-a-site-12", "https://a.b/" + "c/" * 3000 + key, "https://a.b/" + "c.d," * 3 + "e",
+    ):
+        assert secret_spans.entropy_spans(f"see {harmless} there", []) == [], harmless
+    assert not any(secret_spans.allowed(k, 0, len(k)) for k in random_keys(5, 300, 40))
+
+
+def test_links_in_linear_time():
+    for piece in ("https://a.b/c.wJalrXUtnFEMI7K7MDENGbPxRfiCY9zQ2.", "//wJalrXUtnFEMI7K7MDENGbPxRfiCY9zQ2.", "www.a:", "https://"):
+        begin = time.process_time()
+        secret_spans.entropy_spans(piece * (500_000 // len(piece)), [])
+        assert time.process_time() - begin < 15
+
+
 def test_secret_rows(spark):
     rows = ODD + [(20, 'x password: "abcdefghijkl" é 0123456789abcdef'), (21, "AKIA" + "A" * 14)]
     docs = documents(spark, rows).selectExpr("*", "1 as r", "2 as spans")
