@@ -68,3 +68,28 @@ def may_be_in(df: DataFrame, *keys):
         return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
     return may_be
+
+
+def row_key():
+    """A struct that tells rows apart by doc_id and a hash of the whole text."""
+    return F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
+def same_key(left, right):
+    parts = [left.getField(c).eqNullSafe(right.getField(c)) for c in ("doc_id", "text_hash")]
+    return parts[0] & parts[1]
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(whole, key): each row as a struct, and its ``row_key``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key().alias("key"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``gone`` (key). Texts
+    travel only where the set of hashed keys does not say that they stay."""
+    whole = whole_rows(docs)
+    may_go = may_be_in(gone, "key")(place_of("key"))
+    unsure = whole.where(may_go)
+    alone = unsure.join(gone, same_key(unsure["key"], gone["key"]), "left_anti")
+    return whole.where(~may_go).unionByName(alone).select("whole.*")

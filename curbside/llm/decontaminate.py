@@ -11,6 +11,7 @@ Everything at or above the threshold is then verified word by word.
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbside.llm.common import small_batches, texts
+from curbside.llm.common import row_key, same_key, small_batches, texts, without_rows
+from curbside.session import cut_lineage
 
 WORD = re.compile(r"\w+")
 SEGMENT = 64
@@ -51,7 +53,8 @@ def segments_of(words: list[str]) -> list[list[str]]:
 
 def question_answer(words: list[str]) -> tuple[list[str], list[str]]:
     """Both are the item as a whole: its text alone does not tell where an answer
-    begins. OVERLAP of the whole cannot be reached without a part of its end."""
+    begins. OVERLAP of the whole cannot be reached without a part of its end.
+    Items that come with a question and an answer do not need this."""
     return words, words
 
 
@@ -69,14 +72,17 @@ class ItemIndex:
     ``count`` and ``mean`` (number and mean length of segments) are those of
     all items."""
 
-    def __init__(self, items, frequency, count: int, mean: float):
+    def __init__(self, items, frequency, count: int, mean: float, overlap: float = OVERLAP):
+        """``items``: (item, text), or (item, text, question, answer)."""
         self.parts = {}
+        self.overlap = overlap
         self.owner, rows = [], []
-        for item, text in items:
+        for item, text, *apart in items:
             words = words_of(text)
             if not words:
                 continue
-            question, answer = question_answer(words)
+            question, answer = map(words_of, apart) if apart else question_answer(words)
+            question, answer = question or answer, answer or question
             sides = [self._side(question)]
             sides.append(sides[0] if answer == question else self._side(answer))
             self.parts.setdefault(item, []).append(sides)
@@ -188,7 +194,7 @@ class ItemIndex:
                 if size not in own:
                     own[size] = shingles(words, size)
                 shares.append(len(wanted & own[size]) / len(wanted))
-            if min(shares) >= OVERLAP and (item not in out or score > out[item][1]):
+            if min(shares) >= self.overlap and (item not in out or score > out[item][1]):
                 out[item] = (item, score, *shares)
         return sorted(out.values())
 
@@ -198,11 +204,23 @@ def _segments(text: pa.Array) -> pa.Array:
     return pa.array([segments_of(words_of(t)) for t in texts(text)], pa.list_(pa.list_(pa.string())))
 
 
-def build_indexes(items: DataFrame, part_chars: int = PART_CHARS):
-    """Indexes over all items, one for each ``part_chars`` characters or so;
-    counts and statistics are those of all items. Null ids and texts are left
-    out. Only one part at a time passes through the driver."""
-    items = items.where("item_id is not null and text is not null").select("item_id", "text")
+def read_items(items: DataFrame, question: str | None = None, answer: str | None = None) -> DataFrame:
+    """(item_id, text), and question and answer where their columns are named;
+    the text is then both, one after the other. item_id becomes a bigint where
+    it can; items without id or text are left out."""
+    named = items.where("item_id is not null").withColumn("item_id", F.expr("try_cast(item_id as bigint)"))
+    if question and answer:
+        sides = [F.coalesce(F.col(c), F.lit("")).alias(k) for c, k in ((question, "question"), (answer, "answer"))]
+        return named.select("item_id", *sides).where("item_id is not null").select(
+            "item_id", F.concat_ws("\n", "question", "answer").alias("text"), "question", "answer"
+        )
+    return named.where("item_id is not null and text is not null").select("item_id", "text")
+
+
+def build_indexes(items: DataFrame, part_chars: int = PART_CHARS, overlap: float = OVERLAP):
+    """Indexes over all rows of ``read_items``, one for each ``part_chars``
+    characters or so; counts and statistics are those of all items. Only one
+    part at a time passes through the driver."""
     pieces = items.select(F.explode(_segments("text")).alias("words"))
     size = pieces.agg(F.count("*"), F.avg(F.size("words"))).first()
     if not size[0]:
@@ -214,15 +232,15 @@ def build_indexes(items: DataFrame, part_chars: int = PART_CHARS):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         held = rows.select(F.explode(_segments("text")).alias("words")).select(F.explode("words").alias("term")).distinct()
         frequency = {r["term"]: r["df"] for r in terms.join(held, "term", "left_semi").collect()}
-        yield ItemIndex(sorted(map(tuple, rows.distinct().collect())), frequency, *size)
+        yield ItemIndex(sorted(map(tuple, rows.distinct().collect())), frequency, *size, overlap)
 
 
 _HIT = "array<struct<item_id: bigint, bm25: double, question_overlap: double, answer_overlap: double>>"
 
 
-def hits_column(spark, items: DataFrame, part_chars: int = PART_CHARS):
-    """Column function: text to the items found in it. One pass over the texts
-    for each part of the index; an index part is bounded and is broadcast."""
+def hits_columns(spark, items: DataFrame, part_chars: int = PART_CHARS, overlap: float = OVERLAP) -> list:
+    """Column functions, one for each part of the index, which is bounded and
+    broadcast: text to the items of that part that are found in it."""
     kind = pa.list_(pa.struct([
         ("item_id", pa.int64()), ("bm25", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()),
     ]))
@@ -236,32 +254,51 @@ def hits_column(spark, items: DataFrame, part_chars: int = PART_CHARS):
 
         return find
 
-    passes = [one_pass(spark.sparkContext.broadcast(index)) for index in build_indexes(items, part_chars)]
-
-    def hits(column):
-        return F.concat(*[f(column) for f in passes]) if passes else F.array().cast(_HIT)
+    return [one_pass(spark.sparkContext.broadcast(index)) for index in build_indexes(items, part_chars, overlap)]
 
-    return hits
 
-
-def contaminated(docs: DataFrame, items: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, part_chars: int = PART_CHARS, question: str | None = None,
+    answer: str | None = None, overlap: float = OVERLAP,
+) -> DataFrame:
     """doc_id, item_id, bm25, question_overlap, answer_overlap of every item
     found in a row of ``docs``; rows that hold none give no row.
 
     An item counts as found if a window reaches RETRIEVED of a segment's BM25
-    score and the document holds OVERLAP of the five-word shingles of the item as
-    a whole (of shorter ones: their whole sequence); this share is in both overlap
-    columns, since an item's text does not tell question and answer apart. Null and
-    empty texts hold nothing; repeated rows give their rows each; items that
-    share an item_id count as one, by their best match.
+    score and the document holds ``overlap`` of the five-word shingles (of shorter
+    ones: their whole sequence) of its question and of its answer, which are the
+    columns ``question`` and ``answer`` of ``items`` where these are named. An
+    item of which only the text is known is both as a whole. Each part of the
+    index has tasks of its own, so that a task holds one part. Null and empty
+    texts hold nothing; repeated rows give their rows each; items that share an
+    item_id count as one, by their best match; without items there are no rows.
     """
     small_batches(docs.sparkSession)
-    hits = hits_column(docs.sparkSession, items, part_chars)
-    return docs.select("doc_id", F.explode(hits("text")).alias("hit")).select("doc_id", "hit.*")
-
-
-def without_benchmarks(docs: DataFrame, items: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
+    passes = hits_columns(docs.sparkSession, read_items(items, question, answer), part_chars, overlap)
+    none = docs.limit(0).select("doc_id", F.explode(F.array().cast(_HIT)).alias("hit")).select("doc_id", "hit.*")
+    found = [docs.select("doc_id", F.explode(hits("text")).alias("hit")).select("doc_id", "hit.*") for hits in passes]
+    if len(found) < 2:
+        return found[0] if found else none
+    # Items that share an id may lie in several parts: by their best match.
+    rows = reduce(DataFrame.unionByName, [
+        docs.select(row_key().alias("key"), F.explode(hits("text")).alias("hit")) for hits in passes
+    ])
+    best = rows.groupBy("key", "hit.item_id").agg(F.max_by("hit", "hit.bm25").alias("hit"))
+    times = docs.select(row_key().alias("key")).groupBy("key").agg(F.count("*").cast("int").alias("times"))
+    again = best.join(times, same_key(best["key"], times["key"])).select(
+        best["key"]["doc_id"].alias("doc_id"), "hit", F.explode(F.sequence(F.lit(1), "times"))
+    )
+    return again.select("doc_id", "hit.*")
+
+
+def without_benchmarks(
+    docs: DataFrame, items: DataFrame, part_chars: int = PART_CHARS, question: str | None = None,
+    answer: str | None = None, overlap: float = OVERLAP,
+) -> DataFrame:
+    """``docs`` without the rows that hold an item, as ``contaminated`` tells."""
     small_batches(docs.sparkSession)
-    hits = hits_column(docs.sparkSession, items, part_chars)
-    return docs.where(F.size(hits("text")) == 0)
+    passes = hits_columns(docs.sparkSession, read_items(items, question, answer), part_chars, overlap)
+    if len(passes) < 2:
+        return docs.where(F.size(passes[0]("text")) == 0) if passes else docs
+    found = [docs.where(F.size(hits("text")) > 0).select(row_key().alias("key")) for hits in passes]
+    return without_rows(docs, cut_lineage(reduce(DataFrame.unionByName, found).distinct()))

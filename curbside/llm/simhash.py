@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curbside.llm.common import may_be_in, place_of, small_batches
+from curbside.llm.common import may_be_in, place_of, row_key, same_key, small_batches, whole_rows
 from curbside.llm.components import components
 from curbside.session import cut_lineage
 
@@ -263,8 +263,7 @@ def keep_one_of_group(docs: DataFrame) -> DataFrame:
     row of their group: the copies that go, and rows stored several times.
     """
     small_batches(docs.sparkSession)
-    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    marks = docs.select("doc_id", text_hash, fingerprint("text").alias("fp"))
+    marks = docs.select(row_key().alias("key"), fingerprint("text").alias("fp")).select("key.*", "fp")
     keys = cut_lineage(marks.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("rows")))
     roots = _rooted(cut_lineage(keys.groupBy("fp").agg(F.min("doc_id").alias("first_id")))).select("fp", "root")
     placed = cut_lineage(keys.join(roots, "fp").withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id")))
@@ -275,12 +274,11 @@ def keep_one_of_group(docs: DataFrame) -> DataFrame:
     tied = judged.where("stays").join(several.select("root"), "root", "left_semi").select("doc_id", "text_hash", "root")
     open_keys = cut_lineage(gone.unionByName(tied).select(F.struct("doc_id", "text_hash").alias("key"), "root"))
 
-    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    whole = docs.select(columns, F.struct("doc_id", text_hash).alias("key"))
+    whole = whole_rows(docs)
     may_be_open = may_be_in(open_keys, "key")(place_of("key"))
     sure = whole.where(~may_be_open).select("whole.*")
     unsure = whole.where(may_be_open)
-    named = [unsure["key"].getField(c).eqNullSafe(open_keys["key"].getField(c)) for c in ("doc_id", "text_hash")]
+    named = same_key(unsure["key"], open_keys["key"])
     alone = unsure.join(open_keys, named, "left_anti").select("whole.*")
     ties = unsure.join(open_keys.where("root is not null"), named).select("whole", "root")
     text = F.coalesce("whole.text", F.lit(""))

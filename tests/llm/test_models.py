@@ -178,6 +178,33 @@ def test_items_with_one_changed_word(spark, length):
     assert {r["doc_id"] for r in kept.collect()} == set(range(length + 1)) - expected
 
 
+def test_question_and_answer_columns(spark):
+    """Both have to be there where the item names them."""
+    rng = random.Random(6)
+    q, a = ([f"{k}{rng.randrange(900)}" for _ in range(30)] for k in "qa")
+    items = spark.createDataFrame([("7", " ".join(q), " ".join(a)), ("x", "no id", "that is a number"), ("8", None, "only an answer of some words")],
+                                  "item_id string, question string, answer string")
+    bodies = [q + a, a + ["between"] + q, q, a, q + a[:20], q[:12] + a, "here is only an answer of some words".split(), []]
+    docs = documents(spark, [(n, " ".join(b)) for n, b in enumerate(bodies)])
+    for part_chars in (decontaminate.PART_CHARS, 60):
+        found = decontaminate.contaminated(docs, items, part_chars, "question", "answer").collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 7), (1, 7), (6, 8)} and len(found) == 3
+        kept = decontaminate.without_benchmarks(docs, items, part_chars, "question", "answer")
+        assert {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 5, 7}
+    loose = decontaminate.contaminated(docs, items, question="question", answer="answer", overlap=0.5).collect()
+    assert {r["doc_id"] for r in loose if r["item_id"] == 7} == {0, 1, 4}
+
+
+def test_parts_of_the_index_and_repeated_rows(spark):
+    rows, items = corpus(3)
+    table = spark.createDataFrame([(k % 25, t) for k, t in items], "item_id long, text string")
+    docs = documents(spark, rows[:60] + rows[:10] + [(None, items[3][1]), (None, None)])
+    one, several = (sorted(((r[0], r[1], round(r[2], 6), *r[3:]) for r in decontaminate.contaminated(docs, table, n).collect()), key=repr) for n in (10**9, 2500))
+    assert one == several and len(one) > 20
+    kept = [sorted((repr(tuple(r)) for r in decontaminate.without_benchmarks(docs, table, n).collect())) for n in (10**9, 2500)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < 72
+
+
 def test_odd_passages(spark):
     items = [(1, "one"), (2, None), (None, "word word"), (3, ""), (4, "same id another text"), (4, "a text without an id"), (5, "...")]
     table = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as words", "2 as part")
