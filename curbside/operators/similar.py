@@ -7,12 +7,14 @@ transitive, so the outcome is that of going through the rows in order.
 How it stays parallel:
 
 * equal titles at one price collapse to the first, with partial aggregation;
-* pairs are looked for only inside *groups*. If two titles differ by fewer than
-  ``d`` insertions and deletions, then of any ``d`` disjoint chunks of the
-  shorter one at least one is a fragment of the other, and stands there less
-  than ``d`` places away. A group is a fragment of a price within a band of
-  places, so titles that merely share a common phrase meet only where it stands
-  at the same place, and unlike titles hardly meet at all;
+* pairs are looked for only inside *groups*, which are fragments of a price. If
+  two titles differ by fewer than ``d`` insertions and deletions, then of any
+  ``d`` disjoint fragments of one at least one is a fragment of the other. Each
+  title therefore takes its fragments in one order for all, the rarest first,
+  and only so many that ``d`` disjoint ones are among them: of a similar pair
+  the title whose share ends first has a fragment there that the other has too.
+  What occurs once in all titles counts for this share but makes no group, so
+  unlike titles mostly need none, and common phrases are hardly ever reached;
 * in a group the first ``leaders`` rows are compared with the rest, so a group
   of near copies costs rows times leaders, not their square: its first row
   removes the others. A row among the leaders of all its groups can be decided
@@ -34,8 +36,11 @@ from curbside.session import cut_lineage
 GROUP_LEADERS = 1000
 GROWTH = 4
 ROWS_PER_TASK = 50_000
-#: Longest fragments, and places in one band.
-WIDTH, BAND = 4, 8
+#: Longest fragments. They are chosen so that a title has SLACK times the
+#: disjoint ones it needs: with fewer it could not leave the common ones out.
+WIDTH, SLACK = 4, 1.25
+#: Titles up to this length leave common fragments out.
+LONGEST = 2000
 
 
 def _distinct_titles(df: DataFrame) -> DataFrame:
@@ -57,64 +62,77 @@ def _near(cutoff: int):
     )
 
 
-LONGEST = 2000
+def _needed(n: int, cutoff: int) -> int:
+    """Disjoint fragments of which a partner of a title of ``n`` characters, or
+    of a shorter one's longer partner, keeps at least one."""
+    return -(-2 * (100 - cutoff) * n // cutoff)
+
+
+def _width(n: int, cutoff: int) -> int:
+    return next((w for w in range(WIDTH, 1, -1) if n >= SLACK * w * _needed(n, cutoff)), 1)
 
 
 def _widths(cutoff: int) -> list[tuple[int, int, int]]:
     """(width, least, most): lengths of titles that need fragments of a width,
-    as titles that have such chunks or as their longer partners. Beyond LONGEST
-    characters all widths are taken."""
+    as the shorter title of a pair, whose length chooses it, or as the longer.
+    Beyond LONGEST characters all widths are taken."""
     room, found = 100 - cutoff, {}
     for n in range(1, LONGEST + 1):
-        d = -(-2 * room * n // cutoff)
-        found.setdefault(next((w for w in range(WIDTH, 1, -1) if n // w >= d), 1), []).append(n)
+        found.setdefault(_width(n, cutoff), []).append(n)
     reach = (100 + room) / (100 - room)
     return [(w, ns[0], 1 << 30 if ns[-1] * reach >= LONGEST else int(ns[-1] * reach) + 1) for w, ns in found.items()]
 
 
+def _rare_share(cutoff: int) -> str:
+    """SQL for the keys that a title takes from ``all``, its (f, key, at) of one
+    width ``w`` in order: up to the place where ``d`` disjoint ones are among
+    them, found by halving; all of them where that is nowhere."""
+    disjoint = (
+        "aggregate(array_sort(transform(slice(all, 1, int((s.low + s.high) div 2)), g -> g.at)), "
+        "named_struct('last', -w, 'n', 0), (t, at) -> if(at >= t.last + w, named_struct('last', at, 'n', t.n + 1), t)).n"
+    )
+    halved = (
+        f"if(s.low >= s.high, s, if({disjoint} >= d, named_struct('low', s.low, 'high', int((s.low + s.high) div 2)), "
+        "named_struct('low', int((s.low + s.high) div 2) + 1, 'high', s.high)))"
+    )
+    steps = LONGEST.bit_length() + 1
+    place = f"aggregate(sequence(1, {steps}), named_struct('low', least(d, size(all)), 'high', size(all)), (s, step) -> {halved}).high"
+    return (
+        f"array_distinct(transform(filter(if(n > {LONGEST}, all, slice(all, 1, {place})), g -> g.f > 1), g -> g.key))"
+    )
+
+
 def _fragment_groups(reps: DataFrame, cutoff: int) -> DataFrame:
-    """(key, ordinal, role, n, mask) of every row in each of its groups.
-    ``role`` is true where the row offers the key as a chunk of its own; a pair
-    needs that on one side.
-
-    A title of n characters has chunks of ``w``, the longest up to WIDTH of
-    which it has ``d`` of them; every title has all its fragments of every width
-    that its partners may use, each under the band of its place.
-    """
+    """(key, ordinal, n, mask) of every title in each of its groups."""
     room = 100 - cutoff
-    d = f"cast(ceil({2 * room} * n / {cutoff}) as int)"
-    width = "coalesce(" + ", ".join(f"case when n div {w} >= {d} then {w} end" for w in range(WIDTH, 1, -1)) + ", 1)"
+    needed = F.expr(f"cast(ceil({2 * room} * n / {cutoff}) as int)")
     # With d = 1 no difference is allowed, and equal titles are one row by now.
-    titles = reps.where(f"{d} > 1").withColumns({"d": F.expr(d), "w": F.expr(width)})
-    own = titles.select(
-        "ordinal", "n", "mask",
-        F.explode(F.expr(
-            "flatten(transform(sequence(0, d - 1), c -> transform("
-            f"sequence(cast(floor((c * w - d + 1) / {BAND}) as int), cast(floor((c * w + d - 1) / {BAND}) as int)), "
-            "band -> xxhash64(p, w, substring(t, c * w + 1, w), band))))"
-        )).alias("key"),
-    )
+    titles = reps.withColumn("d", needed).where("d > 1")
     used = ", ".join(
         f"case when n > {LONGEST} or n between {low} and {high} then {w} end" for w, low, high in _widths(cutoff)
     )
-    fragments = (
-        f"flatten(transform(array_compact(array({used})), w -> transform(sequence(0, n - w), "
-        f"i -> xxhash64(p, w, substring(t, i + 1, w), cast(floor(i / {BAND}) as int)))))"
+    fragments = F.expr(
+        f"flatten(transform(filter(array({used}), w -> w <= n), w -> transform(sequence(0, n - w), "
+        "i -> named_struct('w', w, 'at', i, 'key', xxhash64(p, w, substring(t, i + 1, w))))))"
+    )
+    grams = titles.select("ordinal", F.explode(fragments).alias("g")).select("ordinal", "g.*")
+    common = grams.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = grams.join(common, "key", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    # As many as a title has characters.
+    own = ranked.groupBy("ordinal", "w").agg(F.sort_array(F.collect_list(F.struct("f", "key", "at"))).alias("all"))
+    taken = own.join(titles.select("ordinal", "n", "mask", "d"), "ordinal").select(
+        "ordinal", "n", "mask", F.explode(F.expr(_rare_share(cutoff))).alias("key")
     )
-    any_place = titles.select("ordinal", "n", "mask", F.explode(F.expr(fragments)).alias("key"))
-    owned = own.select("key").distinct()
-    return own.withColumn("role", F.lit(True)).unionByName(
-        any_place.join(owned, "key", "left_semi").withColumn("role", F.lit(False))
-    ).groupBy("key", "ordinal").agg(F.bool_or("role").alias("role"), F.first("n").alias("n"), F.first("mask").alias("mask"))
+    return taken
 
 
 def _live(groups: DataFrame) -> DataFrame:
-    """Groups that can hold a pair, with the number of ``parts`` that a large
-    one is split into."""
-    groups = groups.select("key", "ordinal", "role", "n", "mask")
-    sizes = groups.groupBy("key").agg(F.count("*").alias("rows"), F.bool_or("role").alias("any"))
+    """Groups that can hold a pair, with their number of ``rows`` and that of the
+    ``parts`` that a large one is split into."""
+    groups = groups.select("key", "ordinal", "n", "mask")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
     parts = F.ceil(F.col("rows") / ROWS_PER_TASK).cast("int").alias("parts")
-    return groups.join(sizes.where("rows > 1 and any").select("key", parts), "key")
+    return groups.join(sizes.select("key", "rows", parts), "key")
 
 
 def _fragment_pairs(heads: DataFrame, rows: DataFrame, reps: DataFrame, cutoff: int) -> DataFrame:
@@ -123,8 +141,7 @@ def _fragment_pairs(heads: DataFrame, rows: DataFrame, reps: DataFrame, cutoff:
     rows = rows.withColumn("part", F.expr("pmod(hash(ordinal), parts)"))
     heads = heads.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     near = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part"))
-        & (F.col("a.role") | F.col("b.role")) & _near(cutoff)
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & _near(cutoff)
     )
     found = (
         rows.alias("b").join(heads.alias("a"), near)
@@ -164,7 +181,10 @@ def _gone(reps: DataFrame, groups: DataFrame, cutoff: int, leaders: int) -> Data
     """Ordinals that an earlier kept row makes redundant."""
     gone = []
     while True:
-        groups = _live(groups)
+        groups = cut_lineage(_live(groups))
+        if (groups.agg(F.max("rows")).first()[0] or 0) <= leaders:
+            # Every row is a leader of all its groups: nothing has to wait.
+            return _union(gone + _settle(_fragment_pairs(groups, groups, reps, cutoff), None)[0] or [reps.select("ordinal").limit(0)])
         heads = cut_lineage(first_per(groups, ["key"], ["ordinal"], leaders))
         waiting = cut_lineage(
             groups.join(heads.select("key", "ordinal"), ["key", "ordinal"], "left_anti")
@@ -172,8 +192,6 @@ def _gone(reps: DataFrame, groups: DataFrame, cutoff: int, leaders: int) -> Data
         )
         out, undecided = _settle(_fragment_pairs(heads, groups, reps, cutoff), waiting)
         gone += out
-        if waiting.isEmpty():
-            break
         unsure = waiting.unionByName(undecided.select(F.col("b").alias("ordinal"))).distinct()
         for part in out:
             unsure = unsure.join(part, "ordinal", "left_anti")

@@ -15,7 +15,7 @@ from curbside.functions.markup import html_rows
 from curbside.functions.order import page_ordinal, payload_ordinal
 from curbside.operators import clean, crawl, dedup, html, metrics, payload, similar
 from curbside.session import cut_lineage, ship_package
-from curbside.sources.locations import join_location
+from curbside.sources.locations import join_location, unknown_locations
 
 #: Detail pages are fetched by a broadcast of up to so many page ids (16 bytes
 #: each); for more of them every detail page is read first and its short record
@@ -60,8 +60,8 @@ _SLOT = ["location_key", "keyword_idx", "offset"]
 
 
 def search_job(pages: DataFrame, profile=html.SEARCH) -> Job:
-    """Rows of the landing and search pages that paging would have reached,
-    and the pages that could not be read.
+    """Rows of the landing and search pages that paging would have reached;
+    the pages that could not be read, and the locations that are not known.
 
     The HTML is read once; what is stored in between is the extracted rows. A
     page may be stored several times: its fetches are numbered by time and page
@@ -69,9 +69,8 @@ def search_job(pages: DataFrame, profile=html.SEARCH) -> Job:
     read does not end its keyword, as nothing is known of its results.
     """
     ship_package(pages.sparkSession)
-    listed = join_location(
-        pages.where("kind in ('landing', 'search')").withColumnRenamed("location", "location_key")
-    ).select(
+    searched = pages.where("kind in ('landing', 'search')").withColumnRenamed("location", "location_key")
+    listed = join_location(searched).select(
         *_SLOT, "location_idx", "base_url", "kind", "source", "fetched_at", "page_id",
         urls.location_key(F.col("location_key"), F.col("dim_state")).alias("location"),
         html_rows(F.col("html"), profile).alias("_page"),
@@ -83,7 +82,7 @@ def search_job(pages: DataFrame, profile=html.SEARCH) -> Job:
     read = cut_lineage(found.withColumn("error", F.col("_page.error")).drop("_page"))
     rejects = read.where("error is not null").select(
         F.lit("html").alias("stage"), F.col("page_id").cast("string").alias("key"), F.col("error").alias("reason")
-    )
+    ).unionByName(unknown_locations(searched))
     fetch = [*_SLOT, "fetched_at", "page_id"]
     number = F.expr("row_number() over (partition by location_key, keyword_idx, `offset` order by fetched_at, page_id) - 1")
     fetches = cut_lineage(read.select(*fetch).distinct().withColumn("fetch_no", number))
@@ -157,7 +156,8 @@ def raw_payloads_job(payloads: DataFrame, max_listings: int | None = None) -> Jo
         payloads = payloads.withColumn("payload_no", F.lit(0).cast("bigint"))
     homes = payload.cap_payload(payload.payload_homes(payloads), max_listings)
     placed = join_location(homes).withColumn("ordinal", payload_ordinal())
-    return Job(payload.normalize_home(placed), payload.payload_rejects(homes))
+    rejects = payload.payload_rejects(homes).unionByName(unknown_locations(payloads))
+    return Job(payload.normalize_home(placed), rejects)
 
 
 def raw_from_payloads(payloads: DataFrame, max_listings: int | None = None) -> DataFrame:

@@ -27,3 +27,13 @@ def join_location(df: DataFrame) -> DataFrame:
     """Add the dimension by ``location_key``; unknown locations drop out. The
     dimension is a constant of two rows, so it is always broadcast."""
     return df.join(F.broadcast(location_dim(df.sparkSession)), "location_key")
+
+
+def unknown_locations(df: DataFrame) -> DataFrame:
+    """The ``location_key``s that the dimension does not have, one row each:
+    stage, key, reason. What ``join_location`` drops does not go unnoticed."""
+    known = F.broadcast(location_dim(df.sparkSession).select("location_key"))
+    keys = df.select("location_key").distinct().join(known, "location_key", "left_anti")
+    return keys.select(
+        F.lit("location").alias("stage"), F.col("location_key").alias("key"), F.lit("unknown location").alias("reason")
+    )

@@ -148,6 +148,18 @@ def test_pages_job(spark):
     assert yields[("milwaukee_wi", 1, 0)] == (120, 119)
 
 
+def test_unknown_locations_are_rejects(spark):
+    rows = [("landing", "u", "milwaukee", 0, 0, result_page([1])), ("search", "u", "nowhere", 1, 0, result_page([5])),
+            ("search", "u", "nowhere", 1, 120, result_page([6])), ("detail", "u", "elsewhere", 0, 0, "<p>x</p>")]
+    found = flows.search_job(stored_pages(spark, rows))
+    assert [tuple(r) for r in found.rejects.collect()] == [("location", "nowhere", "unknown location")]
+    assert found.rows.count() == 1
+    body = json.dumps({"payload": {"homes": [FULL]}})
+    texts = spark.createDataFrame([("milwaukee", body), ("atlantis", body)], "location_key string, body string")
+    job = flows.raw_payloads_job(texts)
+    assert job.rows.count() == 1 and [tuple(r) for r in job.rejects.collect()] == [("location", "atlantis", "unknown location")]
+
+
 def test_pages_stored_twice(spark):
     """A later fetch of a page adds its new urls and loses none."""
     base = "https://milwaukee.craigslist.org"
