@@ -485,6 +485,8 @@ listings as (
  select title, {PRICE} as price, {ADDRESS} as address, {", ".join(f"{e} as {n}" for n, e in HOUSING.items())},
   url, description, posted_date, 'redfin' as source, location from raw_listings)
 select * from listings where {VALID}"""
+ORACLE["stream_truncate_pages"] = ORACLE["truncate_short_pages"]
+ORACLE["stream_truncate_stale"] = ORACLE["truncate_stale"]
 ORACLE["stream_posts"] = """
 select distinct role || '_' || sha256(substring(text, 1, 100)) as id, role as author, text from conversations"""
 

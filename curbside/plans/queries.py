@@ -20,7 +20,7 @@ from curbside.session import shared_dir
 from curbside.sinks import files
 from curbside.sources import stored
 from curbside.sources.locations import join_location as _join_location
-from curbside.streaming import published, streams
+from curbside.streaming import published, sequences, streams
 
 REGISTRY = {}
 
@@ -711,6 +711,42 @@ def stream_listings_published(spark, folder):
     return published.read_unpublished(spark, f"{run}/out").select("location", "url", "title", "price", "source")
 
 
+@query
+def stream_truncate_pages(spark, folder):
+    """The counted search pages arrive in two parts, dealt by a hash, so that a
+    page often comes before those that lead to it."""
+    run = _run_dir(spark)
+    placed = derived.placed(spark, folder).withColumn("no_link", F.expr(derived.NO_LINK))
+    counted = placed.groupBy(F.col("location_key").alias("location"), "keyword_idx", "offset").agg(
+        F.count_if(~F.col("no_link")).cast("int").alias("results")
+    ).selectExpr(
+        "*", "case when keyword_idx = 0 then 'landing' else 'search' end as kind", "xxhash64(location, keyword_idx, `offset`) as page_id",
+        "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, keyword_idx * 1000 + `offset`) as fetched_at",
+    )
+    for part in range(2):
+        counted.where(F.pmod("page_id", F.lit(2)) == part).write.mode("append").parquet(f"{run}/pages")
+        pages = streams.file_stream(spark, f"{run}/pages", spark.read.parquet(f"{run}/pages").schema)
+        streams.run_available(sequences.reached_pages(pages), f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out").selectExpr("location", "keyword_idx", "`offset`", "cast(results as bigint) as results")
+
+
+@query
+def stream_truncate_stale(spark, folder):
+    """The sightings of ``truncate_stale`` arrive in two parts, each of all
+    snapshots; the last sighting is of another feed, a month later."""
+    run = _run_dir(spark)
+    seen = derived.table(spark, folder, "conversations").selectExpr(
+        "conv_id as feed", "cast(turn + 1 + case when turn > 1 and conv_id % 2 = 0 then 5 when turn > 3 then 4 else 0 end as int) as snapshot_no",
+        "md5(text) as id", "xxhash64(text) % 2 = 0 as part",
+    ).withColumn("seen_at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, snapshot_no, 0)"))
+    later = spark.range(1).selectExpr("-1L as feed", "1 as snapshot_no", "'' as id", "timestamp'2024-02-01 00:00:00' as seen_at")
+    for part in (seen.where("part").drop("part"), seen.where("not part").drop("part").unionByName(later)):
+        part.write.mode("append").parquet(f"{run}/seen")
+        arriving = streams.file_stream(spark, f"{run}/seen", spark.read.parquet(f"{run}/seen").schema)
+        streams.run_available(sequences.fresh_sightings(arriving), f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out")
+
+
 @query
 def stream_posts(spark, folder):
     columns = derived.table(spark, folder, "conversations").schema

@@ -6,10 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from curbside.operators import clean, crawl, dedup, html, quota
+from curbside.operators import clean, crawl, dedup, html, metrics, quota
 from curbside.sources.locations import join_location
 from curbside.functions import urls
-from curbside.streaming import published, streams
+from curbside.streaming import published, sequences, streams
 
 T0 = datetime.datetime(2024, 1, 1)
 PAGE = "page_id long, location string, source string, fetched_at timestamp, url string, html string"
@@ -185,3 +185,122 @@ def test_history_is_not_shuffled(spark, tmp_path):
     assert len(re.findall(r"Exchange hashpartitioning", final)) == 1 and "SortMergeJoin" in final
     assert re.search(r"FileScan parquet [^\n]*Bucketed: true", final)
     assert "Exchange" not in final[final.rindex("Filter", 0, final.index("FileScan")) :]
+
+
+# --- stop rules -------------------------------------------------------------
+
+
+def paging_cases(rng):
+    """Fetches (offset, results, page_id) of one keyword: gaps, short, null and
+    empty pages, pages fetched again with more or fewer results."""
+    rows = []
+    for n in range(rng.randint(1, 9)):
+        for _ in range(rng.choice([0, 1, 1, 1, 1, 2])):
+            rows.append((n * 10, rng.choice([10, 10, 10, 10, 12, 9, 0, None]), len(rows)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_paging_in_any_order():
+    rng = random.Random(2)
+    for _ in range(300):
+        rows = paging_cases(rng)
+        best = {}
+        for o, r, _ in rows:
+            best[o] = max(best.get(o, 0), r or 0)
+        end = 0
+        while best.get(end, 0) >= 10:
+            end += 10
+        paging, out, at = sequences.Paging(10), [], 0
+        while at < len(rows):
+            step = rng.randint(1, 4)
+            out += paging.add(rows[at : at + step])
+            at += step
+        assert sorted(out, key=lambda r: r[2]) == sorted((r for r in rows if r[0] <= end), key=lambda r: r[2])
+
+
+def test_scrolling_like_a_plain_loop():
+    rng = random.Random(3)
+    for _ in range(300):
+        k = rng.randint(1, 4)
+        rows, pool = [], 1
+        for n in range(1, 25):
+            if rng.random() < 0.15:
+                continue
+            for _ in range(rng.randint(1, 3)):
+                pool += rng.random() < 0.25
+                rows.append((n, f"p{rng.randint(1, pool)}", n * 100 + rng.randint(0, 40)))
+        last, seen, want = 0, set(), []
+        for n in sorted({r[0] for r in rows}):
+            if n > last + k:
+                break
+            own = [r for r in rows if r[0] == n]
+            want += own
+            if any(r[1] not in seen for r in own):
+                last = n
+            seen |= {r[1] for r in own}
+        scrolling, out = sequences.Scrolling(k), []
+        # Rows come up to two snapshots late; the watermark follows behind.
+        for now in range(0, 2900, 50):
+            scrolling.waiting += [r for r in rows if now - 50 <= r[2] + (r[2] % 5) * 40 < now] if not scrolling.closed else []
+            out += scrolling.take(now - 220)
+        assert sorted(out) == sorted(want)
+
+
+def test_reached_pages_as_in_the_batch(spark, tmp_path):
+    rng = random.Random(7)
+    kinds = "kind string, location string, keyword_idx int, offset int, results int, page_id long, fetched_at timestamp"
+    rows = [("landing", "a", 0, 0, 3, 999, at(1))]
+    for keyword in range(1, 13):
+        rows += [("search", rng.choice("ab"), keyword, o * 12, r and r * 12, 1000 * keyword + p, at(o / 10)) for o, r, p in paging_cases(rng)]
+    rows += [("search", "b", 50, 12, 120, 7, at(1))]  # its first page never comes
+    rng.shuffle(rows)
+    src = str(tmp_path / "pages")
+    for part in range(4):
+        spark.createDataFrame(rows[part::4], kinds).repartition(2).write.mode("append").parquet(src)
+        if part % 2:
+            pages = streams.file_stream(spark, src, spark.read.parquet(src).schema, files_per_trigger=2)
+            streams.run_available(sequences.reached_pages(pages), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    batch = crawl.truncate_short_pages(spark.createDataFrame(rows, kinds))
+    columns = ["location", "keyword_idx", "offset", "results", "page_id"]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()), key=repr)
+    assert got == sorted(map(tuple, batch.select(*columns).collect()), key=repr) and 10 < len(got) < len(rows)
+
+
+def test_keywords_close(spark, tmp_path):
+    """What waits is forgotten when the watermark has passed; a page that comes
+    after that begins anew."""
+    kinds = "kind string, location string, keyword_idx int, offset int, results int, page_id long, fetched_at timestamp"
+    src, out = str(tmp_path / "pages"), str(tmp_path / "out")
+    for part in (
+        [("search", "a", 1, 120, 120, 1, at(0))], [("landing", "a", 0, 0, 1, 2, at(200))],
+        [("search", "a", 1, 0, 120, 3, at(201)), ("landing", "a", 0, 0, 1, 4, at(400))],
+    ):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(src)
+        pages = streams.file_stream(spark, src, spark.read.parquet(src).schema)
+        streams.run_available(sequences.reached_pages(pages), out, str(tmp_path / "checkpoint"))
+    assert {r["page_id"] for r in spark.read.parquet(out).collect()} == {2, 3, 4}
+
+
+def test_fresh_sightings_as_in_the_batch(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for feed in range(12):
+        pool = 1
+        for n in range(1, rng.randint(4, 30)):
+            if rng.random() < 0.2:
+                continue
+            for _ in range(rng.randint(1, 3)):
+                pool += rng.random() < 0.2
+                rows.append((feed, n, f"p{rng.randint(1, pool)}", at(n)))
+    rng.shuffle(rows)
+    kinds = "feed long, snapshot_no int, id string, seen_at timestamp"
+    src, out = str(tmp_path / "seen"), str(tmp_path / "out")
+    for part in (rows[::2], rows[1::2] + [(-1, 1, "", at(2000))]):
+        spark.createDataFrame(part, kinds).repartition(2).write.mode("append").parquet(src)
+        seen = streams.file_stream(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
+        streams.run_available(sequences.fresh_sightings(seen, delay="2 days"), out, str(tmp_path / "checkpoint"))
+    batch = metrics.truncate_stale(spark.createDataFrame(rows, kinds))
+    columns = ["feed", "snapshot_no", "id"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(*columns).collect()))
+    assert got == sorted(map(tuple, batch.select(*columns).collect())) and 50 < len(got) < len(rows)
