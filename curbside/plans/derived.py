@@ -241,3 +241,24 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
         "c_custkey", "((c_custkey * 7919) % 700 - 88300) / 1000e0 as lon",
         "((c_custkey * 104729) % 500 + 42750) / 1000e0 as lat",
     )
+
+
+# Regions around the suppliers: x, y in thousandths of a degree and half a side.
+REGION = {
+    "x": "(s_suppkey * 7907) % 700 - 88300", "y": "(s_suppkey * 104723) % 500 + 42750", "r": "5 + (s_suppkey * 31) % (case when s_suppkey % 10 = 0 then 300 else 40 end)",
+}
+#: Corners in half sides: a box, a triangle, an arrow head that is not convex.
+CORNERS = [
+    [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)], [(-1, -1), (1, 0), (0, 1), (-1, -1)],
+    [(-1, -1), (0, 0), (1, -1), (0, 1), (-1, -1)],
+]
+
+
+def regions(spark: SparkSession, folder: str) -> DataFrame:
+    def ring(corners):
+        points = [f"string((x + {a} * r) / 1000e0), ' ', string((y + {b} * r) / 1000e0)" for a, b in corners]
+        return "concat(" + ", ',', ".join(points) + ")"
+
+    cases = " ".join(f"when {n} then {ring(c)}" for n, c in enumerate(CORNERS))
+    placed = table(spark, folder, "supplier").selectExpr("s_suppkey", *[f"{e} as {n}" for n, e in REGION.items()])
+    return placed.selectExpr("s_suppkey", f"case s_suppkey % {len(CORNERS)} {cases} end as ring")

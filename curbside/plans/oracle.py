@@ -6,7 +6,7 @@ views that give both sides the same derived input.
 
 from curbside import fixed_values as fv
 from curbside.plans.derived import (
-    BROKEN, NO_LINK, OLD_STYLE, PLACE_COLUMNS, RAW_LISTING_COLUMNS, REPEAT_PLACE, REPEATED,
+    BROKEN, CORNERS, NO_LINK, OLD_STYLE, PLACE_COLUMNS, RAW_LISTING_COLUMNS, REGION, REPEAT_PLACE, REPEATED,
 )
 
 ORACLE = {}
@@ -428,6 +428,28 @@ ledger as (
  select session, ts, event_id, success, before + 1 as action_number, 10 - before - success::int as remaining
  from attempts where before < 10)"""
 ORACLE["quota_ledger"] = f"with {LEDGER} select * from ledger"
+
+
+def _inside() -> str:
+    """By the three kinds of region: between the sides of the box, or an odd
+    number of edges to the east."""
+    kinds = []
+    for n, corners in enumerate(CORNERS):
+        ends = [(f"((g.x + {a} * g.r) / 1000e0)", f"((g.y + {b} * g.r) / 1000e0)") for a, b in corners]
+        bounds = (f"p.lon between (g.x - g.r) / 1000e0 and (g.x + g.r) / 1000e0 and p.lat between (g.y - g.r) / 1000e0 and (g.y + g.r) / 1000e0")
+        crossed = " + ".join(
+            f"case when ({y1} > p.lat) <> ({y2} > p.lat) and p.lon < {x1} + (p.lat - {y1}) * (({x2} - {x1}) / nullif({y2} - {y1}, 0)) then 1 else 0 end"
+            for (x1, y1), (x2, y2) in zip(ends, ends[1:])
+        )
+        kinds.append(f"when {n} then {bounds}" + (f" and ({crossed}) % 2 = 1" if n else ""))
+    return f"case s_suppkey % {len(CORNERS)} {' '.join(kinds)} end"
+
+
+ORACLE["join_regions"] = f"""
+with p as (select c_custkey, ((c_custkey * 7919) % 700 - 88300) / 1000e0 as lon, ((c_custkey * 104729) % 500 + 42750) / 1000e0 as lat from customer),
+g as (select s_suppkey, {", ".join(f"{e} as {n}" for n, e in REGION.items())} from supplier)
+select c_custkey, s_suppkey from p, g where {_inside()}"""
+
 ORACLE["stream_quota"] = ORACLE["quota_ledger"]
 ORACLE["ledger_totals"] = (
     f"with {LEDGER} select count(*) as attempts, count(*) filter (success) as total_actions from ledger"

@@ -14,7 +14,7 @@ from curbside.functions import text as text_fn
 from curbside.functions import urls
 from curbside.functions.markup import Field, Profile
 from curbside.functions.order import packed, page_ordinal
-from curbside.operators import clean, crawl, dedup, filters, html, metrics, payload, quota, similar
+from curbside.operators import clean, crawl, dedup, filters, html, metrics, payload, quota, regions, similar
 from curbside.plans import derived, flows
 from curbside.session import shared_dir
 from curbside.sinks import files
@@ -220,6 +220,12 @@ def filter_region_polygon(spark, folder):
     return filters.filter_region(derived.places(spark, folder), ring)
 
 
+@query
+def join_regions(spark, folder):
+    found = regions.join_regions(derived.places(spark, folder), derived.regions(spark, folder))
+    return found.select("c_custkey", "s_suppkey")
+
+
 @query
 def filter_type_codes(spark, folder):
     coded = derived.table(spark, folder, "part").selectExpr("p_partkey", "p_size % 9 as type_code")
