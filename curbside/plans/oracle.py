@@ -507,6 +507,23 @@ listings as (
  select title, {PRICE} as price, {ADDRESS} as address, {", ".join(f"{e} as {n}" for n, e in HOUSING.items())},
   url, description, posted_date, 'redfin' as source, location from raw_listings)
 select * from listings where {VALID}"""
+ORACLE["stream_funnel"] = f"""
+with {PLACED}, rows as (select {CITY} as location, p_partkey, {ROW_PRICE} as raw_price from placed where not no_link),
+firsts as (select distinct location, p_partkey, raw_price from rows), priced as (select *, {PRICE} as price from firsts)
+select 'raw' as stage, count(*) as rows from rows union all select 'url_unique', count(*) from firsts
+union all select 'valid', count(*) from priced where price is null or (price > 0 and price <= 100000000)"""
+ORACLE["stream_page_yield"] = f"""
+with {PLACED}, linked as (select *, row_number() over (partition by location_key, p_partkey
+  order by keyword_idx, "offset", position) as sighting from placed where not no_link)
+select location_key as location, keyword_idx, "offset",
+ date_trunc('hour', timestamp '2024-01-01' + to_hours(keyword_idx) + to_seconds("offset")) as window_start,
+ count(*) as results, count(*) filter (sighting = 1) as new_results
+from linked group by all"""
+ORACLE["stream_snapshot_yield"] = f"""
+with {SEEN}, timed as (select feed, snapshot_no, md5(text) as id, row_number() over (partition by feed, md5(text) order by snapshot_no) as nth from seen)
+select feed, timestamp '2024-01-01' + to_hours(3 * (snapshot_no // 3)) as window_start, count(*) as sightings,
+ count(*) filter (nth = 1) as new_posts
+from timed group by all"""
 ORACLE["stream_truncate_pages"] = ORACLE["truncate_short_pages"]
 ORACLE["stream_truncate_stale"] = ORACLE["truncate_stale"]
 ORACLE["stream_posts"] = """

@@ -20,7 +20,7 @@ from curbside.session import shared_dir
 from curbside.sinks import files
 from curbside.sources import stored
 from curbside.sources.locations import join_location as _join_location
-from curbside.streaming import published, sequences, streams
+from curbside.streaming import measures, published, sequences, streams
 
 REGISTRY = {}
 
@@ -717,6 +717,62 @@ def stream_listings_published(spark, folder):
     return published.read_unpublished(spark, f"{run}/out").select("location", "url", "title", "price", "source")
 
 
+def _in_turn(spark, run, parts, stream):
+    """What ``stream`` makes of parts that arrive one after another; it goes on
+    from its checkpoint after each."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{run}/in")
+        arriving = streams.file_stream(spark, f"{run}/in", part.schema)
+        streams.run_available(stream(arriving), f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out")
+
+
+@query
+def stream_funnel(spark, folder):
+    """Counts of the stages of the listing stream, over two runs of it."""
+    run = _run_dir(spark)
+    funnel = measures.StreamFunnel()
+    spark.streams.addListener(funnel)
+    try:
+        for part in ("keyword_idx <> 1", "keyword_idx = 1"):
+            derived.search_pages(spark, folder).where(part).write.mode("append").parquet(f"{run}/pages")
+            pages = streams.file_stream(spark, f"{run}/pages", spark.read.parquet(f"{run}/pages").schema)
+            listed = streams.stream_listings(pages, funnel=funnel)
+            funnel.settle(streams.run_available(listed, f"{run}/out", f"{run}/checkpoint"))
+    finally:
+        spark.streams.removeListener(funnel)
+    return spark.createDataFrame(list(funnel.counts().items()), "stage string, rows long")
+
+
+@query
+def stream_page_yield(spark, folder):
+    """The yield of the search pages by hours of their fetch; a page of a later
+    crawl moves the watermark on."""
+    run = _run_dir(spark)
+    pages = derived.search_pages(spark, folder).select("page_id", "location", "keyword_idx", "offset", "fetched_at", "html")
+    later = spark.range(1).selectExpr(
+        "cast(0 as bigint) as page_id", "'milwaukee' as location", "0 as keyword_idx", "0 as `offset`",
+        "timestamp'2024-01-15 00:00:00' as fetched_at", "'<ul><li class=\"cl-search-result\"><a class=\"cl-app-anchor\" href=\"/z\">z</a></li></ul>' as html",
+    )
+    parts = [pages.where(f"keyword_idx = {k}") for k in range(5)] + [later]
+    counted = _in_turn(spark, run, parts, lambda arriving: measures.page_yield_windows(html.extract_search_rows(arriving)))
+    return counted.selectExpr("location", "keyword_idx", "`offset`", "window_start", "results", "new_results")
+
+
+@query
+def stream_snapshot_yield(spark, folder):
+    """New posts of the snapshots of all feeds, one after another, by windows."""
+    run = _run_dir(spark)
+    seen = _seen(spark, folder).select("feed", "snapshot_no", "id").withColumn(
+        "seen_at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, snapshot_no, 0, 0)")
+    )
+    later = spark.range(1).selectExpr("-1L as feed", "1 as snapshot_no", "'' as id", "timestamp'2024-02-01 00:00:00' as seen_at")
+    last = seen.agg(F.max("snapshot_no")).first()[0] or 0
+    parts = [seen.where(f"snapshot_no = {n}") for n in range(1, last + 1)] + [later]
+    counted = _in_turn(spark, run, parts, lambda arriving: measures.sighting_yield_windows(arriving, "3 hours"))
+    return counted.selectExpr("feed", "window_start", "sightings", "new_posts")
+
+
 @query
 def stream_truncate_pages(spark, folder):
     """The counted search pages arrive in two parts, dealt by a hash, so that a

@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from curbside import fixed_values as fv
@@ -13,6 +14,7 @@ from curbside.functions.markup import Profile
 from curbside.operators import clean, html
 from curbside.session import ship_package
 from curbside.sources.locations import join_location
+from curbside.streaming.measures import StreamFunnel
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",
@@ -26,7 +28,7 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 def stream_listings(
     pages: DataFrame, profile: Profile = html.SEARCH, delay: str = "1 day",
-    details: DataFrame | None = None, wait: str = "1 day",
+    details: DataFrame | None = None, wait: str = "1 day", funnel: StreamFunnel | None = None,
 ) -> DataFrame:
     """Arriving search pages (with ``fetched_at`` and ``location``) to valid
     listings, the first sighting of each url in a location. Links and locations
@@ -37,7 +39,13 @@ def stream_listings(
     ``wait`` before or after it, the first to arrive; search values win. A row
     without one comes out alone once the watermarks of both streams have passed
     that time, so both have to go on for rows to come out.
+
+    ``funnel`` counts the rows of the stages raw, url_unique and valid.
     """
+
+    def watch(df, stage):
+        return funnel.watch(df, stage) if funnel else df
+
     placed = join_location(
         pages.withWatermark("fetched_at", delay).withColumnRenamed("location", "location_key")
     )
@@ -46,10 +54,10 @@ def stream_listings(
         "url": urls.absolute_url(F.col("url"), F.col("base_url")),
         "location": urls.location_key(F.col("location_key"), F.col("dim_state")),
     })
-    first = resolved.dropDuplicatesWithinWatermark(["location", "url"])
+    first = watch(watch(resolved, "raw").dropDuplicatesWithinWatermark(["location", "url"]), "url_unique")
     if details is not None:
         first = _with_details(first, details, delay, wait)
-    return clean.validate(clean.to_listing(first))
+    return watch(clean.validate(clean.to_listing(first)), "valid")
 
 
 def _with_details(rows: DataFrame, details: DataFrame, delay: str, wait: str) -> DataFrame:
@@ -71,11 +79,14 @@ def stream_posts(posts: DataFrame, time_col: str, delay: str = "1 day") -> DataF
     return html.keep_posts(posts).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def run_available(df: DataFrame, out: str, checkpoint: str) -> None:
+def run_available(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write all that has arrived to Parquet, then stop."""
-    (df.writeStream.format("parquet").outputMode("append").option("path", out)
-       .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-       .awaitTermination())
+    query = (
+        df.writeStream.format("parquet").outputMode("append").option("path", out)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query
 
 
 def _open_attempts(frame: pd.DataFrame, room: int) -> pd.DataFrame:

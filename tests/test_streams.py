@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from curbside.operators import clean, crawl, dedup, html, metrics, quota
 from curbside.sources.locations import join_location
 from curbside.functions import urls
-from curbside.streaming import published, sequences, streams
+from curbside.streaming import measures, published, sequences, streams
 
 T0 = datetime.datetime(2024, 1, 1)
 PAGE = "page_id long, location string, source string, fetched_at timestamp, url string, html string"
@@ -304,3 +304,40 @@ def test_fresh_sightings_as_in_the_batch(spark, tmp_path):
     columns = ["feed", "snapshot_no", "id"]
     got = sorted(map(tuple, spark.read.parquet(out).select(*columns).collect()))
     assert got == sorted(map(tuple, batch.select(*columns).collect())) and 50 < len(got) < len(rows)
+
+
+# --- counts -----------------------------------------------------------------
+
+
+def test_stream_funnel_over_runs(spark, tmp_path):
+    funnel, src, total = measures.StreamFunnel(), str(tmp_path / "pages"), 0
+    assert funnel.counts() == {}
+    spark.streams.addListener(funnel)
+    try:
+        for part, numbers in enumerate([range(1, 9), range(5, 15), range(0, 3)]):
+            arrive(spark, src, [(part, "milwaukee", "s", at(part), None, search_page(numbers))])
+            pages = streams.file_stream(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
+            listed = streams.stream_listings(pages, funnel=funnel)
+            funnel.settle(streams.run_available(listed, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
+            total += len(numbers)
+            assert funnel.counts()["raw"] == total
+    finally:
+        spark.streams.removeListener(funnel)
+    valid = spark.read.parquet(str(tmp_path / "out")).count()
+    assert funnel.counts() == {"raw": 21, "url_unique": 15, "valid": valid} and valid == 14  # one costs $0
+
+
+def test_yields_by_window(spark, tmp_path):
+    kinds = "location string, keyword_idx int, offset int, fetched_at timestamp, url string"
+    parts = [
+        [("a", 1, 0, at(0.1), "u1"), ("a", 1, 0, at(0.1), "u2"), ("a", 1, 0, at(0.9), "u2"), ("b", 1, 0, at(0.2), "u1")],
+        [("a", 2, 0, at(1.5), "u1"), ("a", 2, 0, at(1.6), "u3"), ("a", 1, 0, at(0.3), "u4")],
+        [("z", 0, 0, at(100), "z")],
+    ]
+    src, out = str(tmp_path / "rows"), str(tmp_path / "out")
+    for part in parts:
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(src)
+        rows = streams.file_stream(spark, src, spark.read.parquet(src).schema)
+        streams.run_available(measures.page_yield_windows(rows), out, str(tmp_path / "checkpoint"))
+    got = {(r["window_start"], r["location"], r["keyword_idx"]): (r["results"], r["new_results"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(at(0), "a", 1): (4, 3), (at(0), "b", 1): (1, 1), (at(1), "a", 2): (2, 1)}
