@@ -42,6 +42,8 @@ SHARD_TOKENS = 1 << 18
 #: Words, and pieces of words, in one of the two generations that a worker keeps.
 KNOWN_WORDS = 150_000
 KNOWN_PIECES = 300_000
+#: Characters of the longest word or piece that is kept.
+KNOWN_CHARS = 64
 
 
 # --- the matrix -------------------------------------------------------------
@@ -174,19 +176,27 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-
 PLAIN = re.compile(r"[\x21-\x7eÀ-ɏ]*")
 
 
-class _Memo:
-    """Two generations of known entries: when the younger is full it takes the
-    place of the older, and entries that come again move up. Rare ones fall
-    out, frequent ones stay, and the memory is bounded."""
+class _Known(dict):
+    """Entries met before, others made by ``make``, in two generations: when the
+    younger is full it takes the place of the older, and entries that come again
+    move up. Rare ones fall out, frequent ones stay, long ones are not kept at
+    all: the memory is bounded."""
 
-    def __init__(self, keep: int):
-        self.keep = keep
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, keep: int, make):
+        super().__init__()
+        self.keep, self.make, self.old = keep, make, {}
 
-    def turn(self) -> None:
-        if len(self.young) > self.keep:
-            self.young, self.old = {}, self.young
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > KNOWN_CHARS:
+                return found
+        if len(self) >= self.keep:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class WordCoder:
@@ -204,7 +214,7 @@ class WordCoder:
         self.coder.no_padding()
         self.model = self.coder.model
         self.letter = letter_of_byte()
-        self.words, self.pieces = _Memo(words), _Memo(pieces)
+        self.words, self.pieces = _Known(words, self._word), _Known(pieces, self._piece)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece by the tokenizer's model alone: nothing is left to
@@ -212,58 +222,21 @@ class WordCoder:
         letters = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
         return array("H", [token.id for token in self.model.tokenize(letters)]).tobytes()
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The words ``missing`` in the younger generation, with their ids."""
-        young, old = self.words.young, self.words.old
-        pieces, earlier = self.pieces.young, self.pieces.old
-        odd = []
-        for word in missing:
-            ids = old.get(word)
-            if ids is None:
-                # Marks of the vocabulary's own, such as <|endoftext|>, are not split.
-                if not PLAIN.fullmatch(word) or "<|" in word:
-                    odd.append(word)
-                    continue
-                parts = []
-                for piece in PIECE.findall(word.lower()):
-                    own = pieces.get(piece)
-                    if own is None:
-                        own = earlier.get(piece)
-                        if own is None:
-                            own = self._piece(piece)
-                        pieces[piece] = own
-                    parts.append(own)
-                ids = parts[0] if len(parts) == 1 else b"".join(parts)
-            young[word] = ids
-        for word, coded in zip(odd, self.coder.encode_batch_fast(odd, add_special_tokens=False)):
-            young[word] = array("H", coded.ids).tobytes()
-        return young
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.pieces[word.lower()]
+        # Marks of the vocabulary's own, such as <|endoftext|>, are not split.
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            return array("H", self.coder.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text, 16 bits each. Each word is looked up once; the
-        words of the batch that are not there yet are learnt together."""
-        self.words.turn()
-        self.pieces.turn()
-        get = self.words.young.get
-        coded, open_places, missing = [], [], set()
-        for text in batch:
-            own = text.replace("\n", " ").split(" ")
-            ids = list(map(get, own))
-            if None in ids:
-                places = [(k, own[k]) for k, known in enumerate(ids) if known is None]
-                missing.update([word for _, word in places])
-                open_places.append((ids, places))
-            coded.append(ids)
-        known = self._learn(missing)
-        for ids, places in open_places:
-            for k, word in places:
-                ids[k] = known[word]
-        return list(map(b"".join, coded))
+        """Ids of each text, 16 bits each: one lookup for a word."""
+        get = self.words.__getitem__
+        return [b"".join(map(get, text.replace("\n", " ").split(" "))) for text in batch]
 
 
 _CODERS: dict[str, WordCoder] = {}
-#: Characters of texts whose unknown words are learnt together.
-LEARN_CHARS = 2_000_000
 
 
 def _coded(path: str | None):
@@ -273,16 +246,8 @@ def _coded(path: str | None):
         place = path or public_tokenizers.path(VOCABULARY)
         if place not in _CODERS:
             _CODERS[place] = WordCoder(place)
-        coder = _CODERS[place]
-        end, out, group, size = np.array([END_ID], "<u2").tobytes(), [], [], 0
-        for t in texts(text):
-            group.append(t)
-            size += len(t)
-            if size > LEARN_CHARS:
-                out += coder.encode(group)
-                group, size = [], 0
-        out += coder.encode(group)
-        return pa.array([ids + end for ids in out], pa.binary())
+        end = np.array([END_ID], "<u2").tobytes()
+        return pa.array([ids + end for ids in _CODERS[place].encode(texts(text))], pa.binary())
 
     return code
 

@@ -53,6 +53,19 @@ def test_matrix_answers_like_the_array():
             assert [matrix.select(value, k) for k in range(len(places) + 1)] == places.tolist() + [-1]
 
 
+def test_words_are_the_librarys():
+    """Marks, cases, scripts, white space; memories so small that they turn."""
+    path = public_tokenizers.path(wavelet.VOCABULARY)
+    library, coder = Tokenizer.from_file(path), wavelet.WordCoder(path, words=40, pieces=15)
+    rng = random.Random(1)
+    for _ in range(1500):
+        text = "".join(rng.choice("abcABC'sStT 019.,<|>_é ßÄü你😀\t\n\u00a0ªıİ-") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(coder.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(coder.words) <= 40 and len(coder.pieces) <= 15
+    coder.encode(["x" * 100_000])
+    assert max(map(len, {**coder.words, **coder.words.old})) <= wavelet.KNOWN_CHARS
+
+
 # --- top-k ------------------------------------------------------------------
 
 
