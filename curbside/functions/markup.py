@@ -200,42 +200,65 @@ def _value(node, field):
     return found.text(skip, field.lines).strip()
 
 
-def read_page(html, profile):
-    """Rows of one page as dictionaries."""
+def _tree(html):
     reader = _TreeReader()
     reader.feed(html)
     reader.close()
-    nodes = [reader.root]
+    return reader.root
+
+
+def _records(root, profile):
+    nodes = [root]
     if profile.rows:
-        nodes = next((r for r in (list(_select(reader.root, s)) for s in profile.rows) if r), [])
+        nodes = next((r for r in (list(_select(root, s)) for s in profile.rows) if r), [])
     return [{f.name: _value(n, f) for f in profile.fields} for n in nodes]
 
 
-def html_rows(html: Column, profile: Profile) -> Column:
-    """``struct<rows, error>`` of each page; no rows for an empty page. A page
-    that cannot be read yields the reason in ``error`` and no rows."""
-    row_type = pa.struct(
-        [(f.name, pa.list_(pa.string()) if f.many else pa.string()) for f in profile.fields]
-    )
-    result_type = pa.struct([("rows", pa.list_(row_type)), ("error", pa.string())])
-    row_ddl = ", ".join(
-        f"{f.name}: {'array<string>' if f.many else 'string'}" for f in profile.fields
-    )
+def read_page(html, profile):
+    """Rows of one page as dictionaries."""
+    return _records(_tree(html), profile)
+
+
+def _kinds(profile: Profile) -> tuple[pa.DataType, str]:
+    """Type of what a profile finds in a page, for Arrow and as text."""
+    row = pa.struct([(f.name, pa.list_(pa.string()) if f.many else pa.string()) for f in profile.fields])
+    fields = ", ".join(f"{f.name}: {'array<string>' if f.many else 'string'}" for f in profile.fields)
+    return pa.struct([("rows", pa.list_(row)), ("error", pa.string())]), f"struct<rows: array<struct<{fields}>>, error: string>"
+
+
+def html_profiles(html: Column, profiles: dict[str, Profile]) -> Column:
+    """A struct with ``struct<rows, error>`` for each profile: a page is parsed
+    once for all of them. No rows for an empty page; a page that cannot be read
+    yields the reason in ``error`` and no rows."""
+    kinds = {name: _kinds(profile) for name, profile in profiles.items()}
 
     def read(pages: pa.Array) -> pa.Array:
         out = []
         for page in pages:
-            rows, error = [], None
-            try:
-                rows = read_page(page.as_py() or "", profile) if page.is_valid else []
-                if page.is_valid and page.as_py() == "":
-                    rows = []
-            except Exception as problem:
-                rows, error = [], f"{type(problem).__name__}: {problem}"
-            out.append({"rows": rows, "error": error})
-        return pa.array(out, type=result_type)
+            text = page.as_py()
+            found = {name: {"rows": [], "error": None} for name in profiles}
+            if text:
+                root, problem = None, None
+                try:
+                    root = _tree(text)
+                except Exception as e:
+                    problem = e
+                for name, profile in profiles.items():
+                    try:
+                        if problem:
+                            raise problem
+                        found[name]["rows"] = _records(root, profile)
+                    except Exception as e:
+                        found[name]["error"] = f"{type(e).__name__}: {e}"
+            out.append(found)
+        return pa.array(out, type=pa.struct([(name, arrow) for name, (arrow, _) in kinds.items()]))
 
     # Marked as not deterministic: otherwise the optimizer derives a filter from
     # the explode that follows and reads every page a second time for it.
-    reader = F.arrow_udf(read, f"struct<rows: array<struct<{row_ddl}>>, error: string>")
+    reader = F.arrow_udf(read, "struct<" + ", ".join(f"{name}: {text}" for name, (_, text) in kinds.items()) + ">")
     return reader.asNondeterministic()(html)
+
+
+def html_rows(html: Column, profile: Profile) -> Column:
+    """``struct<rows, error>`` of each page, by one profile."""
+    return html_profiles(html, {"page": profile})["page"]

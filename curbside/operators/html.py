@@ -7,7 +7,7 @@ from curbside import fixed_values as fv
 from curbside.functions import posts as post_fn
 from curbside.functions import text as text_fn
 from curbside.functions import urls
-from curbside.functions.markup import Field, Profile, html_rows
+from curbside.functions.markup import Field, Profile, html_profiles, html_rows
 from curbside.session import ship_package
 
 SEARCH = Profile(
@@ -64,6 +64,20 @@ def parse_pages(pages: DataFrame, profile: Profile, html_col: str = "html") -> D
     return pages.select(*kept, html_rows(F.col(html_col), profile).alias("_page"))
 
 
+def parse_profiles(pages: DataFrame, profiles: dict[str, Profile], html_col: str = "html") -> DataFrame:
+    """The pages with ``_profiles``, what each of several profiles finds in
+    them: every page is parsed once. Store this and read each profile from it
+    with ``profile_pages``, by column expressions alone."""
+    ship_package(pages.sparkSession)
+    kept = [F.col(c) for c in pages.columns if c != html_col]
+    return pages.select(*kept, html_profiles(F.col(html_col), profiles).alias("_profiles"))
+
+
+def profile_pages(parsed: DataFrame, name: str) -> DataFrame:
+    """What one profile found, as ``parse_pages`` gives it."""
+    return parsed.withColumn("_page", F.col(f"_profiles.{name}")).drop("_profiles")
+
+
 def page_rows(parsed: DataFrame) -> DataFrame:
     """One row per record of each page with its ``position``; the page's other
     columns stay, unless a field has the same name."""
@@ -114,7 +128,12 @@ def detail_records(rows: DataFrame) -> DataFrame:
 def extract_attributes(pages: DataFrame) -> DataFrame:
     """Description without boilerplate, and the ``key: value`` spans as a map
     in which a later key wins."""
-    found = extract_html(pages, ATTRIBUTES).drop("position")
+    return attribute_records(extract_html(pages, ATTRIBUTES))
+
+
+def attribute_records(rows: DataFrame) -> DataFrame:
+    """The same of rows that are read already."""
+    found = rows.drop("position")
     named = F.filter("spans", lambda s: F.contains(s, F.lit(":")))
     entries = F.transform(
         named,

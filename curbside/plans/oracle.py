@@ -267,6 +267,9 @@ from part where p_partkey % 9 <> 0"""
 ORACLE["extract_attributes"] = f"""
 select p_partkey as page_id, {BODY.format(nl="chr(10)")} as description, 'fee' as name, concat(p_brand, ': x') as value
 from part where p_partkey % 9 <> 0"""
+ORACLE["extract_profiles"] = f"""
+with details as ({ORACLE["extract_details"]}), named as ({ORACLE["extract_attributes"]})
+select d.page_id, d.title, d.raw_housing_info, d.posted_date, n.name, n.value from details d join named n using (page_id)"""
 CITY = "case location_key when 'milwaukee' then 'milwaukee_wi' else 'columbus_oh' end"
 ORACLE["page_yield"] = f"""
 with {PLACED}, linked as (select *, row_number() over (partition by location_key, p_partkey

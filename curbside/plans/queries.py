@@ -16,7 +16,7 @@ from curbside.functions.markup import Field, Profile
 from curbside.functions.order import packed, page_ordinal
 from curbside.operators import clean, crawl, dedup, filters, html, metrics, payload, quota, regions, similar
 from curbside.plans import derived, flows
-from curbside.session import shared_dir
+from curbside.session import cut_lineage, shared_dir
 from curbside.sinks import files
 from curbside.sources import stored
 from curbside.sources.locations import join_location as _join_location
@@ -336,6 +336,18 @@ def extract_attributes(spark, folder):
     return found.select("page_id", "description", F.explode("attributes").alias("name", "value"))
 
 
+@query
+def extract_profiles(spark, folder):
+    """Details and attributes of the same pages, each page parsed once."""
+    parsed = cut_lineage(html.parse_profiles(
+        derived.detail_pages(spark, folder), {"detail": html.DETAIL, "attributes": html.ATTRIBUTES}
+    ))
+    details = html.detail_records(html.page_rows(html.profile_pages(parsed, "detail")))
+    named = html.attribute_records(html.page_rows(html.profile_pages(parsed, "attributes")))
+    found = named.select("page_id", F.explode("attributes").alias("name", "value"))
+    return details.select("page_id", "title", "raw_housing_info", "posted_date").join(found, "page_id")
+
+
 @query
 def page_yield(spark, folder):
     rows = html.extract_search_rows(_join_location(

@@ -122,3 +122,21 @@ def test_partitioning_does_not_matter(spark, parts):
     df = pages(spark, [NEW, OLD] * 10).repartition(parts)
     got = html.extract_search_rows(df).groupBy("url").agg(F.count("*").alias("n")).collect()
     assert {(r["url"], r["n"]) for r in got} == {("/d/1", 10), ("https://h/2", 10), ("/o/1", 10)}
+
+
+def test_several_profiles_of_one_reading(spark):
+    pages = spark.createDataFrame(
+        [(1, '<ul><li class="cl-search-result"><a class="cl-app-anchor" href="/1">One</a></li></ul><span id="titletextonly">T</span>'),
+         (2, '<span class="price">$5</span><p class="attrgroup"><span>fee: 3</span></p>'), (3, None), (4, ""), (5, "<![bad[x]]>")],
+        "page_id int, html string",
+    )
+    profiles = {"search": html.SEARCH, "detail": html.DETAIL, "attributes": html.ATTRIBUTES}
+    parsed = html.parse_profiles(pages, profiles)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    for name, profile in profiles.items():
+        one, own = html.profile_pages(parsed, name), html.parse_pages(pages, profile)
+        assert sorted(map(str, one.collect())) == sorted(map(str, own.collect()))
+        assert one.dtypes == own.dtypes
+        assert [r["key"] for r in html.page_rejects(one).collect()] == ["5"]
+    assert {r["page_id"] for r in html.page_rows(html.profile_pages(parsed, "search")).collect()} == {1}
