@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Cells along the longer side of a region, and bounds of the cell widths 2^-level.
 SPAN = 16
 LEVELS = (-9, 40)
+#: Rings, of at most (SPAN + 1)^2 cells each, whose cells are broadcast.
+BROADCAST_RINGS = 500
 
 
 def _points(ring: str) -> Column:
@@ -74,24 +76,37 @@ def covering(shaped: DataFrame) -> DataFrame:
     return cells.where(near | _odd(F.col("_shape.edges"), *centre)).drop("_scale")
 
 
-def join_regions(df: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", ring: str = "ring") -> DataFrame:
+def _within(points: DataFrame, covered: DataFrame, levels: list[int], x: Column, y: Column) -> DataFrame:
+    """Every row of ``points`` with every ring of ``covered`` it lies in."""
+    scales = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(2.0**n).alias("scale")) for n in levels or [0]])
+    placed = points.where(x.isNotNull() & y.isNotNull()).select("*", F.explode(scales).alias("_s")).select(
+        *[F.col(f"`{c}`") for c in points.columns], F.col("_s.level").alias("_level"),
+        F.floor(x * F.col("_s.scale")).alias("_cx"), F.floor(y * F.col("_s.scale")).alias("_cy"),
+    )
+    near = placed.join(covered, ["_level", "_cx", "_cy"])
+    s = F.col("_shape")
+    inside = x.between(s["low_x"], s["high_x"]) & y.between(s["low_y"], s["high_y"]) & (s["box"] | _odd(s["edges"], x, y))
+    return near.where(inside).drop("_level", "_cx", "_cy", "_shape")
+
+
+def join_regions(
+    df: DataFrame, regions: DataFrame, lon: str = "lon", lat: str = "lat", ring: str = "ring",
+    broadcast_rings: int = BROADCAST_RINGS,
+) -> DataFrame:
     """Every row of ``df`` with every region it lies in, as ``filter_region``
     tells: a box with its border, other rings by ray casting. The columns of
     both, without the ring. Rows without coordinates lie in no region.
 
     A row goes to one cell of each level that regions have (LEVELS bounds their
-    number); adaptive execution broadcasts a small covering or splits the cells
-    that hold most of the rows.
+    number). The cells of up to ``broadcast_rings`` rings are sent to the rows.
+    More of them are shuffled, as the planner takes them for as small as the
+    rings; rows at one place are then tested once and joined with the outcome.
     """
     shaped = with_shape(regions, ring)
-    levels = [r[0] for r in shaped.select("_shape.level").distinct().collect()]
+    rings = {r[0]: r[1] for r in shaped.groupBy("_shape.level").count().collect()}
     x, y = F.col(f"`{lon}`").cast("double"), F.col(f"`{lat}`").cast("double")
-    scales = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(2.0**n).alias("scale")) for n in sorted(levels)] or [F.struct(F.lit(0).alias("level"), F.lit(1.0).alias("scale"))])
-    placed = df.where(x.isNotNull() & y.isNotNull()).select("*", F.explode(scales).alias("_s")).select(
-        *[F.col(f"`{c}`") for c in df.columns], F.col("_s.level").alias("_level"),
-        F.floor(x * F.col("_s.scale")).alias("_cx"), F.floor(y * F.col("_s.scale")).alias("_cy"),
-    )
-    near = placed.join(covering(shaped), ["_level", "_cx", "_cy"])
-    s = F.col("_shape")
-    inside = x.between(s["low_x"], s["high_x"]) & y.between(s["low_y"], s["high_y"]) & (s["box"] | _odd(s["edges"], x, y))
-    return near.where(inside).drop("_level", "_cx", "_cy", "_shape", ring)
+    if sum(rings.values()) <= broadcast_rings:
+        return _within(df, F.broadcast(covering(shaped)), sorted(rings), x, y).drop(ring)
+    spots = df.select(x.alias("_x"), y.alias("_y")).distinct()
+    found = _within(spots, covering(shaped).hint("merge"), sorted(rings), F.col("_x"), F.col("_y")).drop(ring)
+    return df.join(found.hint("merge"), (x == F.col("_x")) & (y == F.col("_y"))).drop("_x", "_y")

@@ -58,3 +58,22 @@ def test_cells_are_few_and_near(spark):
     table = spark.createDataFrame(list(enumerate(some_rings(rng, 40))), "region int, ring string")
     counts = [r["count"] for r in regions.covering(regions.with_shape(table)).groupBy("region").count().collect()]
     assert len(counts) == 40 and max(counts) <= (2 * regions.SPAN + 2) ** 2
+
+
+def test_many_rings_are_not_broadcast(spark, tmp_path):
+    rng = random.Random(3)
+    rings = some_rings(rng, 40)
+    points = [(n, rng.uniform(-91, -79), rng.uniform(39, 46)) for n in range(200)]
+    points += [(n + 500, *points[n][1:]) for n in range(100)] + [points[0]]
+    points += [(-1, None, 42.0), (-2, -85.0, None), (-3, float("nan"), 42.0), (-4, 0.0, 0.0), (-5, -0.0, -0.0)]
+    rings.append("-1 -1,1 -1,1 1,-1 1,-1 -1")
+    spark.createDataFrame(points, "i int, lon double, lat double").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame(list(enumerate(rings)), "region int, ring string").write.parquet(str(tmp_path / "r"))
+    places, table = spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "r"))
+    out = regions.join_regions(places, table, broadcast_rings=40)
+    assert out.columns == ["i", "lon", "lat", "region"]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["i"], r["region"]) for r in out.collect())
+    want = sorted((r["i"], n) for n, ring in enumerate(rings) for r in filters.filter_region(places, ring).collect())
+    assert got == want and len(got) > 100
+    assert got == sorted((r["i"], r["region"]) for r in regions.join_regions(places, table).collect())
