@@ -26,6 +26,12 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     )
 
 
+def table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
+    """A Parquet table as it grows, whether ``path`` is one file or a folder of
+    files. As a pattern it may be either; a plain path has to be a folder."""
+    return file_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, files_per_trigger=files_per_trigger)
+
+
 def stream_listings(
     pages: DataFrame, profile: Profile = html.SEARCH, delay: str = "1 day",
     details: DataFrame | None = None, wait: str = "1 day", funnel: StreamFunnel | None = None,

@@ -341,3 +341,18 @@ def test_yields_by_window(spark, tmp_path):
         streams.run_available(measures.page_yield_windows(rows), out, str(tmp_path / "checkpoint"))
     got = {(r["window_start"], r["location"], r["keyword_idx"]): (r["results"], r["new_results"]) for r in spark.read.parquet(out).collect()}
     assert got == {(at(0), "a", 1): (4, 3), (at(0), "b", 1): (1, 1), (at(1), "a", 2): (2, 1)}
+
+
+def test_stream_posts_of_a_table_in_several_files(spark, tmp_path):
+    from curbside.plans.queries import REGISTRY
+
+    rows = [(n % 3, n, "user", f"text {n % 7}") for n in range(20)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.repartition(4).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    turns.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    written = next((tmp_path / "one").glob("*.parquet"))
+    (tmp_path / "file" / "conversations.parquet").write_bytes(written.read_bytes())
+    for kind in ("folder", "file"):
+        got = REGISTRY["stream_posts"](spark, str(tmp_path / kind)).collect()
+        assert sorted(r["text"] for r in got) == sorted({r[3] for r in rows})
