@@ -118,3 +118,10 @@ def write_action_ledger(actions: DataFrame, path: str, session_start: str, daily
     _write_with_metadata(
         actions, "actions", metadata, path, list(order_by), schema.ACTION.fieldNames(), document_limit
     )
+
+
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Payload texts (``location_key``, ``payload_no``, ``body``) as a Parquet
+    table of ``location.number`` and text, whose files grow with the texts' size
+    and not with their number."""
+    payloads.selectExpr("concat(location_key, '.', payload_no) as name", "body as value").write.parquet(path)

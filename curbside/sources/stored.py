@@ -33,12 +33,22 @@ def read_page_files(
     return shaped.select(*[F.col(f.name).cast(f.dataType) for f in schema.PAGES])
 
 
+def read_payload_table(spark: SparkSession, path: str) -> DataFrame:
+    """Payload texts that ``write_payloads`` wrote to ``path``, as
+    ``read_payloads`` gives them."""
+    return _payload_texts(spark.read.schema("name string, value string").parquet(path), "name")
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """JSON payload texts in files ``location.json`` or ``location.number.json``,
     or in folders ``name=location.number`` with one file each; the number orders
-    the texts of a location, without one it is 0."""
+    the texts of a location, without one it is 0. Every file is listed by the
+    driver: many texts are better kept in a table (``read_payload_table``)."""
     files = spark.read.text(path, wholetext=True)
-    name = "name" if "name" in files.columns else "_metadata.file_name"
+    return _payload_texts(files, "name" if "name" in files.columns else "_metadata.file_name")
+
+
+def _payload_texts(files: DataFrame, name: str) -> DataFrame:
     number = F.regexp_extract(name, r"\A[^.]*\.(\d+)(?:\.|\z)", 1).try_cast("bigint")
     return files.select(
         F.regexp_extract(name, r"\A([^.]*)", 1).alias("location_key"),

@@ -426,3 +426,14 @@ def test_stream_posts(spark, tmp_path):
     stream = streams.file_stream(spark, src, df.schema)
     streams.run_available(streams.stream_posts(stream, "at"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+
+
+def test_payload_texts_in_a_table(spark, tmp_path):
+    from curbside.sinks import files
+
+    rows = [("milwaukee", n, f'{{}}&&{{"payload":\n{{"homes":[{n}]}}}}') for n in range(300)] + [("columbus", 7, None)]
+    df = spark.createDataFrame(rows, "location_key string, payload_no long, body string").coalesce(2)
+    path = tmp_path / "texts"
+    files.write_payloads(df, str(path))
+    assert len(list(path.rglob("*.parquet"))) <= 2
+    assert sorted(map(tuple, stored.read_payload_table(spark, str(path)).collect())) == sorted(rows)
