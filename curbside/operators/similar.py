@@ -19,7 +19,11 @@ How it stays parallel:
   of near copies costs rows times leaders, not their square: its first row
   removes the others. A row among the leaders of all its groups can be decided
   now; the others wait for the next round, which has GROWTH times as many
-  leaders. Rounds follow the logarithm of the largest group of unlike titles.
+  leaders. Rounds follow the logarithm of the largest group of unlike titles;
+* a few titles that come again at many prices share nearly all their fragments,
+  and each price would compare them anew. Up to FEW_TITLES titles are therefore
+  compared once for all prices, and each price is gone through in order with
+  what the titles resemble; it has at most that many rows.
 """
 
 from functools import reduce
@@ -41,6 +45,9 @@ ROWS_PER_TASK = 50_000
 WIDTH, SLACK = 4, 1.25
 #: Titles up to this length leave common fragments out.
 LONGEST = 2000
+#: Titles that are compared once for all prices: up to so many of them, with up
+#: to so many similar pairs, each title at REPEATED prices in the mean.
+FEW_TITLES, FEW_PAIRS, REPEATED = 2000, 100_000, 4
 
 
 def _distinct_titles(df: DataFrame) -> DataFrame:
@@ -202,10 +209,46 @@ def _gone(reps: DataFrame, groups: DataFrame, cutoff: int, leaders: int) -> Data
     return _union(gone) if gone else reps.select("ordinal").limit(0)
 
 
-def _prepare(df: DataFrame, cutoff: int):
+def _title_pairs(reps: DataFrame, cutoff: int) -> DataFrame | None:
+    """Similar pairs of titles whatever their price, each way round: title ``t``
+    and the numbers ``id`` of itself and ``other`` of the one it resembles. None
+    where the titles, or these pairs, are not few."""
+    size = reps.agg(F.count("*").alias("rows"), F.count_distinct("t").alias("titles")).first()
+    if size["titles"] > FEW_TITLES or size["rows"] < REPEATED * size["titles"]:
+        return None
+    titles = cut_lineage(reps.groupBy("t", "n", "mask").agg(F.min("ordinal").alias("ordinal")).coalesce(8))
+    near = titles.alias("b").join(F.broadcast(titles.alias("a")), _near(cutoff))
+    both = near.select(*[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("t", "ordinal")])
+    found = cut_lineage(with_similarity(both, "t_a", "t_b", cutoff))
+    if found.count() > FEW_PAIRS:
+        return None
+    return found.selectExpr("t_a as t", "ordinal_a as id", "ordinal_b as other").unionByName(
+        found.selectExpr("t_b as t", "ordinal_b as id", "ordinal_a as other")
+    )
+
+
+def _gone_by_price(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Ordinals that an earlier kept row makes redundant: the rows of a price in
+    order, each against the titles kept so far."""
+    rivals = pairs.groupBy("t", "id").agg(F.collect_list("other").alias("near"))
+    placed = reps.join(F.broadcast(rivals), "t").select("p", F.struct("ordinal", "id", "near").alias("row"))
+    none = "cast(array() as array<bigint>)"
+    walk = (
+        f"aggregate(array_sort(rows), named_struct('kept', {none}, 'gone', {none}), (s, r) -> if(arrays_overlap(s.kept, r.near), "
+        "named_struct('kept', s.kept, 'gone', concat(s.gone, array(r.ordinal))), "
+        "named_struct('kept', concat(s.kept, array(r.id)), 'gone', s.gone))).gone"
+    )
+    return placed.groupBy("p").agg(F.collect_list("row").alias("rows")).select(F.explode(F.expr(walk)).alias("ordinal"))
+
+
+def _reps(df: DataFrame, cutoff: int) -> DataFrame:
     if not 67 <= cutoff < 100:
         raise ValueError("cutoff is from 67 to 99")
-    reps = cut_lineage(_distinct_titles(check_unique(df)))
+    return cut_lineage(_distinct_titles(check_unique(df)))
+
+
+def _prepare(df: DataFrame, cutoff: int):
+    reps = _reps(df, cutoff)
     return reps, cut_lineage(_fragment_groups(reps, cutoff))
 
 
@@ -231,6 +274,11 @@ def dedup_similar(
         return first_per(keyed, ["_t", "raw_price"], ["ordinal"]).drop("_t")
     if mode != "fuzzy":
         raise ValueError("mode is fuzzy or exact")
-    reps, groups = _prepare(df, cutoff)
-    kept = reps.join(_gone(reps, groups, cutoff, leaders), "ordinal", "left_anti").select("ordinal")
+    reps = _reps(df, cutoff)
+    pairs = _title_pairs(reps, cutoff)
+    if pairs is not None:
+        gone = _gone_by_price(reps, pairs)
+    else:
+        gone = _gone(reps, cut_lineage(_fragment_groups(reps, cutoff)), cutoff, leaders)
+    kept = reps.join(gone, "ordinal", "left_anti").select("ordinal")
     return df.join(kept, "ordinal", "left_semi")

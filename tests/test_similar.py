@@ -146,3 +146,15 @@ def test_arguments(spark):
     with pytest.raises(ValueError):
         similar.dedup_similar(frame(spark, [(1, "a", "b")]), mode="other")
     assert similar.dedup_similar(frame(spark, [(1, "a", "b")])).count() == 1
+
+
+def test_few_titles_at_many_prices(spark, monkeypatch):
+    """Titles that come again at many prices are compared once for all of them,
+    not in the fragments of each price; the outcome is that of the plain loop."""
+    rng = random.Random(4)
+    titles = [t or "" for _, t, _ in chains(31, 40)] + [f"{n}BR/1.5BA {kind} in {city}" for n in "?3456" for kind in ("house", "condo") for city in ("BUILDING", "MACHINERY")]
+    rows = [(o, rng.choice(titles), rng.choice([None, *(f"${n}" for n in range(12))])) for o in range(1500)]
+    monkeypatch.setattr(similar, "_fragment_groups", None)
+    got = {r["ordinal"] for r in similar.dedup_similar(frame(spark, rows)).collect()}
+    assert got == greedy(rows)[0]
+    assert len(got) < len({(t, p) for _, t, p in rows})
