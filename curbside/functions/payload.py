@@ -1,5 +1,7 @@
 """Column expressions that turn one home of a JSON payload into a raw listing."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,12 @@ def kind_of(tree: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
 
 
+def _starts(kind: Column, *names: str) -> Column:
+    return reduce(Column.__or__, [F.startswith(kind, F.lit(n)) for n in names])
+
+
 def is_number(kind: Column) -> Column:
-    return F.coalesce(F.regexp_like(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")), F.lit(False))
+    return F.coalesce(_starts(kind, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.lit(False))
 
 
 def truthy(raw: Column, kind: Column) -> Column:
@@ -43,7 +49,7 @@ def truthy(raw: Column, kind: Column) -> Column:
     empty = (
         F.when(is_number(kind), F.coalesce(raw.try_cast("double") == 0, F.lit(False)))
         .when(F.startswith(kind, F.lit("BOOLEAN")), text == "false")
-        .when(F.regexp_like(kind, F.lit("^(ARRAY|OBJECT)")), F.translate(text, " ", "").isin("[]", "{}"))
+        .when(_starts(kind, "ARRAY", "OBJECT"), F.translate(text, " ", "").isin("[]", "{}"))
         .otherwise(text == "")
     )
     return raw.isNotNull() & kind.isNotNull() & (kind != "VOID") & ~empty
@@ -72,22 +78,20 @@ def payload_address(street: Column, city: Column, state: Column, zip_code: Colum
     return F.btrim(line, F.lit(", "))
 
 
-def spelled(value: Column, tree: Column, path: str, default) -> Column:
+def spelled(value: Column, kind: Column, default) -> Column:
     """A part as text: a null is spelled ``None``, a missing part takes the
-    default. ``tree`` is the home as a variant, which tells the two apart."""
+    default. ``kind`` tells the two apart."""
     if default is not None:
         value = F.coalesce(value, default if isinstance(default, Column) else F.lit(default))
-    found = F.try_variant_get(tree, path, "variant")
-    return F.when(F.is_variant_null(found), "None").otherwise(value)
+    return F.when(kind == "VOID", "None").otherwise(value)
 
 
 def misshapen(value: Column, tree: Column, name: str) -> Column:
     """The part is there but is not an object."""
-    return F.try_variant_get(tree, f"$.{name}", "variant").isNotNull() & value.isNull()
+    return value.isNull() & F.try_variant_get(tree, f"$.{name}", "variant").isNotNull()
 
 
-def not_a_number(value: Column, tree: Column, name: str) -> Column:
+def not_a_number(value: Column, kind: Column) -> Column:
     """The part's value says something and is no number, so that it cannot be
     written with separators. An empty text, list or object is just missing."""
-    kind = kind_of(tree, f"$.{name}.value")
     return F.coalesce(truthy(value, kind) & ~is_number(kind) & (kind != "BOOLEAN"), F.lit(False))

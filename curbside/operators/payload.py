@@ -1,13 +1,15 @@
 """Stored JSON payloads to raw listings. Native expressions only."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbside import fixed_values as fv
 from curbside import schema
 from curbside.functions import payload as fn
 from curbside.functions import urls
-from curbside.session import once
+from curbside.session import compile_methods, once
 
 
 def payload_homes(payloads: DataFrame) -> DataFrame:
@@ -25,15 +27,29 @@ def cap_payload(homes: DataFrame, n: int | None = fv.LISTINGS_PER_LOCATION) -> D
     return homes if n is None else homes.where(F.col("pos") < n)
 
 
+#: Parts whose kind matters: as a whole, or that of their value.
+KINDS = [*schema.SUB_OBJECTS, "city", "state", "zip", "listingId", "mlsStatus", "propertyType", "beds", "baths"]
+
+
 def _parsed(homes: DataFrame) -> DataFrame:
-    """Each home read once as a struct ``_p`` and once as a variant ``_v``."""
-    read = once(homes, _p=F.from_json("home", schema.PAYLOAD_HOME), _v=F.try_parse_json("home"))
-    tree, broken = F.col("_v"), F.lit(False)
-    for name in schema.SUB_OBJECTS:
-        broken = broken | fn.misshapen(F.col(f"_p.{name}"), tree, name)
-    for name in ("price", "sqFt", "lotSize"):
-        broken = broken | fn.not_a_number(F.col(f"_p.{name}.value"), tree, name)
-    return read.withColumn("_broken", broken)
+    """Each home read once as a struct ``_p`` and once as a variant, and from it
+    the kind ``_k_<name>`` of each part.
+
+    Plain columns, one step after the other: the optimizer leaves a costly one
+    alone that the next step uses several times. Only the flag is kept apart by
+    ``once``, as the filter on it would read the home again.
+    """
+    compile_methods(homes.sparkSession)
+    tree = F.col("_v")
+    paths = {name: f"$.{name}.value" if name in schema.SUB_OBJECTS else f"$.{name}" for name in KINDS}
+    shapeless = [fn.misshapen(F.col(f"_p.{name}"), tree, name) for name in schema.SUB_OBJECTS]
+    known = homes.withColumns({"_p": F.from_json("home", schema.PAYLOAD_HOME), "_v": F.try_parse_json("home")}).withColumns({
+        **{f"_k_{name}": fn.kind_of(tree, path) for name, path in paths.items()},
+        "_shapeless": reduce(Column.__or__, shapeless),
+    }).drop("_v")
+    broken = [fn.not_a_number(F.col(f"_p.{name}.value"), F.col(f"_k_{name}")) for name in ("price", "sqFt", "lotSize")]
+    known = known.withColumn("_unfit", reduce(Column.__or__, broken, F.col("_shapeless")))
+    return once(known, _broken=F.col("_unfit"))
 
 
 def payload_rejects(homes: DataFrame) -> DataFrame:
@@ -51,35 +67,32 @@ def normalize_home(homes: DataFrame, payload_baths: bool = False) -> DataFrame:
     def f(name):
         return F.col(f"_p.{name}.value" if name in schema.SUB_OBJECTS else f"_p.{name}")
 
-    def text(name, default=None):
-        path = f"$.{name}.value" if name in schema.SUB_OBJECTS else f"$.{name}"
-        return fn.spelled(f(name), F.col("_v"), path, default)
-
     def kind(name):
-        path = f"$.{name}.value" if name in schema.SUB_OBJECTS else f"$.{name}"
-        return fn.kind_of(F.col("_v"), path)
+        return F.col(f"_k_{name}")
+
+    def text(name, default=None):
+        return fn.spelled(f(name), kind(name), default)
 
     def nonzero(name):
         return F.when(fn.truthy(f(name), kind(name)), fn.number_text(f(name)))
 
     # Each part once; the texts below use them several times.
-    parts = once(
-        _parsed(homes).where("not _broken"),
-        _beds=fn.number_text(text("beds")),
-        _baths=fn.number_text(text("baths")),
-        _street=text("streetLine", ""),
-        _city=text("city", F.col("dim_city")),
-        _state=text("state", F.upper("dim_state")),
-        _type=fn.payload_type(f("propertyType"), kind("propertyType")),
-        _mls=text("mlsId", ""),
-        _status=text("mlsStatus", ""),
-        _size=nonzero("sqFt"),
-        _year=nonzero("yearBuilt"),
-        _lot=nonzero("lotSize"),
-        _fee=nonzero("hoa"),
-        _days=nonzero("dom"),
-    )
     lit, col = F.lit, F.col
+    parts = _parsed(homes).where("not _broken").withColumns({
+        "_beds": fn.number_text(text("beds")),
+        "_baths": fn.number_text(text("baths")),
+        "_street": text("streetLine", ""),
+        "_city": text("city", F.col("dim_city")),
+        "_state": text("state", F.upper("dim_state")),
+        "_type": fn.payload_type(f("propertyType"), kind("propertyType")),
+        "_mls": text("mlsId", ""),
+        "_status": text("mlsStatus", ""),
+        "_size": nonzero("sqFt"),
+        "_year": nonzero("yearBuilt"),
+        "_lot": nonzero("lotSize"),
+        "_fee": nonzero("hoa"),
+        "_days": nonzero("dom"),
+    })
 
     def part(name, default):
         return F.coalesce(name, lit(default))

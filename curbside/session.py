@@ -37,6 +37,13 @@ def build_session(app: str = "curbside", master: str | None = None, **extra) ->
     return spark
 
 
+def compile_methods(spark: SparkSession) -> None:
+    """The JVM leaves methods above 8,000 bytes of code to its interpreter. A
+    stage that would be one such method runs operator by operator instead, in
+    methods short enough to be compiled."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables that all executors see.
 

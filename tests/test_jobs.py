@@ -92,6 +92,14 @@ def test_payload_baths(spark):
     assert normal(spark, FULL, payload_baths=True)[0]["raw_housing_info"] == "3br / 1.5ba - 1500ft2 - house"
 
 
+def test_payload_kinds_are_looked_up_once(spark):
+    """Each kind is one expression of the plan, whatever uses it."""
+    df = spark.createDataFrame([("milwaukee", json.dumps({"payload": {"homes": [FULL]}}))], "location_key string, body string")
+    rows = payload.normalize_home(join_location(payload.payload_homes(df)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("schemaOfVariant(") + plan.count("schema_of_variant(") <= len(payload.KINDS)
+
+
 def test_payload_bodies_and_cap(spark):
     homes = [without(listingId=i, url=f"/h/{i}", beds=i % 9) for i in range(1, 12)]
     bodies = [("milwaukee", 0, "{}&&" + json.dumps({"payload": {"homes": homes}})), ("columbus", 0, '{"payload": null}'),
