@@ -1,6 +1,7 @@
 """The same records as streams. State is bounded by watermarks; what comes
 later than that is held against the published keys (``published``)."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,13 +96,24 @@ def run_available(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def _open_attempts(frame: pd.DataFrame, room: int) -> pd.DataFrame:
-    """Attempts in order, with the successes before each in ``_before``, while
-    these are fewer than ``room``."""
-    frame = frame.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
-    won = frame["success"].eq(True).astype("int64")
-    frame["_before"] = won.cumsum() - won
-    return frame[frame["_before"] < room]
+#: Rows of a batch of attempts, which are a few numbers each.
+ATTEMPTS_PER_BATCH = 20_000
+
+
+def _open_attempts(frame: pd.DataFrame, room: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Attempts in order while the successes before each are fewer than
+    ``room``, and these numbers. By arrays: one call a session has few rows, and
+    pandas takes longer to begin than they take."""
+    places = [frame["event_id"].to_numpy(), frame["ts"].to_numpy()]
+    if any(p.dtype == object for p in places):
+        frame = frame.sort_values(["ts", "event_id"], kind="stable")
+        order = np.arange(len(frame))
+    else:
+        order = np.lexsort(places)
+    won = (frame["success"].to_numpy() == True).astype(np.int64)[order]  # noqa: E712
+    before = won.cumsum() - won
+    open_ = int(np.searchsorted(before, room))
+    return frame.take(order[:open_]), before[:open_]
 
 
 def stream_quota(events: DataFrame, limit: int = fv.ACTION_LIMIT, forget_after_ms: int | None = None) -> DataFrame:
@@ -130,14 +142,15 @@ def stream_quota(events: DataFrame, limit: int = fv.ACTION_LIMIT, forget_after_m
         held = None
         for frame in frames:
             if used < limit:
-                held = frame if held is None else pd.concat([held.drop(columns="_before"), frame], ignore_index=True)
-                held = _open_attempts(held, limit - used)
+                held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+                held, before = _open_attempts(held, limit - used)
         if held is not None:
-            before = held.pop("_before")
-            won = held["success"].astype("boolean").astype("Int64")
+            won = held["success"]
+            won = won.astype("int64") if won.dtype == bool else won.astype("boolean").astype("Int64")
             yield held.assign(action_number=used + before + 1, remaining=limit - used - before - won)
-            used += int(won.fillna(0).sum())
-        state.update((used,))
+            state.update((used + int(won.sum()),))
+        elif forget_after_ms is not None:
+            state.update((used,))
         if forget_after_ms is not None:
             state.setTimeoutDuration(forget_after_ms)
 
@@ -149,7 +162,14 @@ def run_quota(events: DataFrame, out: str, checkpoint: str, limit: int = fv.ACTI
     """Write the accepted attempts of all events that have arrived, then stop.
     Counters go on from the checkpoint."""
     attempts = events.select("session", "ts", "event_id", "success")
-    run_available(stream_quota(attempts, limit), f"{out}/ledger", checkpoint)
+    # A stream takes the settings it is started with; pages need smaller batches.
+    conf, name = events.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    small = conf.get(name)
+    conf.set(name, str(ATTEMPTS_PER_BATCH))
+    try:
+        run_available(stream_quota(attempts, limit), f"{out}/ledger", checkpoint)
+    finally:
+        conf.set(name, small)
 
 
 def read_ledger(spark: SparkSession, out: str) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from curbside.operators import clean, crawl, dedup, html, metrics, quota
@@ -129,6 +130,15 @@ def test_quota_state_is_kept_by_session(spark):
     assert ledger.columns == ["session", "ts", "event_id", "success", "action_number", "remaining"]
 
 
+def test_open_attempts_in_order():
+    """Ties, missing times and missing outcomes; ids that are no numbers."""
+    ts = pd.to_datetime(["2024-01-02", "2024-01-01", None, "2024-01-01", "2024-01-01"])
+    for ids in ([5, 4, 3, 2, 1], ["5", "4", "3", "2", "1"]):
+        frame = pd.DataFrame({"ts": ts, "event_id": ids, "success": [True, True, True, None, True]})
+        got, before = streams._open_attempts(frame, 3)
+        assert [int(e) for e in got["event_id"]] == [1, 2, 4, 5] and before.tolist() == [0, 1, 1, 2]
+
+
 # --- published keys ---------------------------------------------------------
 
 ROW = "url string, location string, seen timestamp, title string"
