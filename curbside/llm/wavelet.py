@@ -61,12 +61,13 @@ class WaveletMatrix:
     def planes_of(ids: np.ndarray, count: int) -> list[np.ndarray]:
         planes, now = [], ids
         for bit in range(count - 1, -1, -1):
-            ones = (now >> bit & 1).astype(bool)
+            ones = (now & now.dtype.type(1 << bit)).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             padded = np.zeros(-(-len(ids) // 64) * 8, np.uint8)
             padded[: len(packed)] = packed
             planes.append(padded.view("<u8"))
-            now = np.concatenate([now[~ones], now[ones]])
+            if bit:  # nothing follows the last plane
+                now = np.concatenate([now.compress(~ones), now.compress(ones)])
         return planes
 
     @classmethod
@@ -99,8 +100,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level].view(np.uint8), bitorder="little", count=self.size).view(bool)
             before = np.empty_like(now)
-            before[~ones] = now[: self.zeros[level]]
-            before[ones] = now[self.zeros[level] :] | np.uint32(1 << len(self.planes) - 1 - level)
+            before[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            before[np.flatnonzero(ones)] = now[self.zeros[level] :] | np.uint32(1 << len(self.planes) - 1 - level)
             now = before
         return now
 
