@@ -23,6 +23,7 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,41 +171,64 @@ def from_file(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 # --- tokens -----------------------------------------------------------------
 
 
-# How the vocabulary's pattern splits a word in small letters, for
-# words of ASCII and of Latin letters with accents. Its first steps, composing
-# characters and making letters small, change such words as str.lower does.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
-PLAIN = re.compile(r"[\x21-\x7eÀ-ɏ]*")
+# How the vocabulary's pattern splits words in small letters, a line
+# for each, for words of ASCII and of Latin letters with accents. Its first steps,
+# composing characters and making letters small, change such words as str.lower
+# does; of some the small letter is one of phonetic script.
+LETTERS = "a-zß-öø-ʯⱥⱦ"
+PIECE = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\n0-9{LETTERS}]+|\n")
+#: What other words have: other characters, or the vocabulary's own marks such as
+#: <|endoftext|>, which are not split.
+ODD = r"[^\x21-\x7eÀ-ɏ]|<\|"
 
 
 class _Known(dict):
-    """Entries met before, others made by ``make``, in two generations: when the
-    younger is full it takes the place of the older, and entries that come again
-    move up. Rare ones fall out, frequent ones stay, long ones are not kept at
-    all: the memory is bounded."""
+    """Ids of entries met before, others made by ``make``, in two generations:
+    when the younger is full it takes the place of the older, and entries that
+    come again move up. Rare ones fall out, frequent ones stay, long ones are not
+    kept at all: the memory is bounded."""
 
     def __init__(self, keep: int, make):
         super().__init__()
         self.keep, self.make, self.old = keep, make, {}
 
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-            if len(key) > KNOWN_CHARS:
-                return found
-        if len(self) >= self.keep:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
+    def all_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``keys`` one after another, and how many each has."""
+        found = list(map(self.get, keys))
+        lacking = [k for k, ids in enumerate(found) if ids is None]
+        for k in lacking:
+            key = keys[k]
+            found[k] = ids = self.old.get(key) or self.make(key)
+            if len(key) <= KNOWN_CHARS:
+                if len(self) >= self.keep:
+                    self.old = dict(self)
+                    self.clear()
+                self[key] = ids
+        return np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
+
+
+def _in_order(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``ids``, which have the given sizes, one after another in the
+    given order, and where each ends."""
+    now = sizes[order]
+    ends = np.cumsum(now)
+    places = np.repeat((np.cumsum(sizes) - sizes)[order] - ends + now, now)
+    places += np.arange(len(places))
+    return ids[places], ends
+
+
+def _line(words: pa.Array, mark: str) -> str:
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, pa.scalar(mark, words.type))[0].as_py()
 
 
 class WordCoder:
     """Ids of words as bytes, by the tokenizers library. Its splitting pattern
     drops white space and cuts there, so that a text's ids are those of its
     words one after another; a word's ids are in turn those of the pieces that
-    the pattern makes of it. Words and pieces met before are remembered."""
+    the pattern makes of it. Each different word of a column, and each different
+    piece of these, is dealt with once; pieces, and words that are not cut into
+    pieces here, are remembered from column to column."""
 
     def __init__(self, path: str, words: int = KNOWN_WORDS, pieces: int = KNOWN_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -213,28 +237,53 @@ class WordCoder:
         self.coder = Tokenizer.from_file(path)
         self.coder.no_truncation()
         self.coder.no_padding()
-        self.model = self.coder.model
+        self.tokenize = self.coder.model.tokenize
         self.letter = letter_of_byte()
         self.words, self.pieces = _Known(words, self._word), _Known(pieces, self._piece)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece by the tokenizer's model alone: nothing is left to
         compose, to make small or to split."""
+        if piece == "\n":  # the end of a word
+            return b""
         letters = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
-        return array("H", [token.id for token in self.model.tokenize(letters)]).tobytes()
+        return array("H", [token.id for token in self.tokenize(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self.pieces[word.lower()]
-        # Marks of the vocabulary's own, such as <|endoftext|>, are not split.
-        if not PLAIN.fullmatch(word) or "<|" in word:
-            return array("H", self.coder.encode(word, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+        return array("H", self.coder.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that have nothing odd, and how many each has."""
+        if not len(words):
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        lines = _line(words, "\n").lower() + "\n"
+        coded = pa.array(PIECE.findall(lines), pa.string()).dictionary_encode()
+        pieces, order = coded.dictionary, coded.indices.to_numpy()
+        ids, ends = _in_order(*self.pieces.all_of(_line(pieces, " ").split(" ")), order)
+        return ids, np.diff(ends[order == pieces.index("\n").as_py()], prepend=0)
+
+    def encode_column(self, column: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column's texts (null: empty), 16 bits each, one text after
+        another, ``end`` behind each; and the places where the texts end."""
+        words = pc.ascii_split_whitespace(column.fill_null(""))
+        coded = words.values.dictionary_encode()
+        odd = pc.match_substring_regex(coded.dictionary, ODD)
+        plain_ids, plain_sizes = self._plain(coded.dictionary.filter(pc.invert(odd)))
+        odd_ids, odd_sizes = self.words.all_of(coded.dictionary.filter(odd).to_pylist())
+        # Plain words come first, then odd ones, then ``end``.
+        place = np.empty(len(odd), np.int64)
+        place[np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(odd))
+        ids = np.concatenate([plain_ids, odd_ids, np.array(end, "<u2")])
+        sizes = np.concatenate([plain_sizes, odd_sizes, [len(end)]])
+        last = words.offsets.to_numpy()[1:]
+        order = np.insert(place[coded.indices.to_numpy()], last, len(place))
+        ids, ends = _in_order(ids, sizes, order)
+        return ids, ends[last + np.arange(len(last))]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text, 16 bits each: one lookup for a word."""
-        get = self.words.__getitem__
-        return [b"".join(map(get, text.replace("\n", " ").split(" "))) for text in batch]
+        """Ids of each text, 16 bits each."""
+        ids, ends = self.encode_column(pa.array(batch, pa.string()), [])
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -247,8 +296,9 @@ def _coded(path: str | None):
         place = path or public_tokenizers.path(VOCABULARY)
         if place not in _CODERS:
             _CODERS[place] = WordCoder(place)
-        end = np.array([END_ID], "<u2").tobytes()
-        return pa.array([ids + end for ids in _CODERS[place].encode(texts(text))], pa.binary())
+        ids, ends = _CODERS[place].encode_column(text, [END_ID])
+        offsets = pa.array(np.concatenate([[0], 2 * ends])).cast(pa.int32())
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets.buffers()[1], pa.py_buffer(ids)])
 
     return code
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_cases import ODD, documents
 from tokenizers import Tokenizer
@@ -66,6 +67,41 @@ def test_words_are_the_librarys():
     assert max(map(len, {**coder.words, **coder.words.old})) <= wavelet.KNOWN_CHARS
 
 
+def library_ids(texts):
+    library = Tokenizer.from_file(public_tokenizers.path(wavelet.VOCABULARY))
+    return [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_letters_whose_small_one_is_phonetic():
+    """Every character that is not left to the library, between letters."""
+    coder = wavelet.WordCoder(public_tokenizers.path(wavelet.VOCABULARY))
+    texts = [f"a{chr(k)}b{chr(k)}{chr(k)} {chr(k)}'s1" for k in [*range(9, 14), *range(28, 0x7F), *range(0xC0, 0x250)]]
+    texts += ["Əli", "ƎƏƐ", "Ⱥx Ⱦ Ʉ"]
+    assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(texts)] == library_ids(texts)
+
+
+def test_different_words_of_a_column_are_coded_once():
+    """Whatever the memory holds, and however often and in whatever case words come."""
+    coder = wavelet.WordCoder(public_tokenizers.path(wavelet.VOCABULARY), words=1, pieces=1)
+    made = []
+    for known in (coder.words, coder.pieces):
+        known.make = lambda key, make=known.make: made.append(key) or make(key)
+    texts = ["Red green, blue red\u00a0green \U0001f600 x " * 50] * 20
+    assert [np.frombuffer(b, "<u2").tolist() for b in coder.encode(texts)] == library_ids(texts)
+    assert len(made) == len(set(made)) <= 8
+
+
+def test_columns_of_texts():
+    coder = wavelet.WordCoder(public_tokenizers.path(wavelet.VOCABULARY))
+    whole = ["cut off", None, "", " \n", "\u00a0", "two words", "😀 <|endoftext|>x", None]
+    for kind in (pa.string(), pa.large_string()):
+        for part in (whole, whole[:0], [None], ["", ""], ["\u00a0"], ["😀"], ["a"]):
+            column = pa.array(["before it", *part, "behind"], kind)[1:-1]
+            ids, ends = coder.encode_column(column, [1])
+            assert [p.tolist() for p in np.split(ids, ends)[:-1]] == [i + [1] for i in library_ids(part)]
+            assert len(ends) == len(part) and ids.dtype == np.dtype("<u2")
+
+
 # --- top-k ------------------------------------------------------------------
 
 
